@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from propensity.functions.keyhash import key_hash
 from propensity.operators.cleaning import cast_to_double, rename_columns
 from propensity.schema import CLEAN_NAMES
+from propensity.sources.tables import scan_spread
 
 
-def raw_appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table as the file holds it: file column names, integers and booleans."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+def raw_appointments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The table as the file holds it: file column names, integers and booleans.
+
+    ``spread`` uses all cores even where the orders come in few partitions.
+    """
+    path = f"{sf_dir}/orders.parquet"
+    orders = scan_spread(spark, path) if spread else spark.read.parquet(path)
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     # No broadcast hint: customers grow with the data, so statistics (or AQE at run time) choose the join.
     visits = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
@@ -55,6 +60,6 @@ def raw_appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def appointments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """The cleaned table: snake-case names, integers and booleans as doubles."""
-    return cast_to_double(rename_columns(raw_appointments(spark, sf_dir), CLEAN_NAMES))
+    return cast_to_double(rename_columns(raw_appointments(spark, sf_dir, spread), CLEAN_NAMES))

@@ -33,7 +33,8 @@ def _ratio(part, whole):
 def per_class_metrics(confusion: DataFrame) -> DataFrame:
     """Support, precision, recall and F1 of each class of a confusion matrix.
 
-    Ratios with an empty denominator are 0.
+    Ratios with an empty denominator are 0. A confusion matrix has a row per pair of classes, so one task
+    handles it.
     """
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     as_label = F.struct(
@@ -45,7 +46,8 @@ def per_class_metrics(confusion: DataFrame) -> DataFrame:
         F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("hits"),
     )
     classes = (
-        confusion.select(F.inline(F.array(as_label, as_prediction)))
+        confusion.coalesce(1)
+        .select(F.inline(F.array(as_label, as_prediction)))
         .groupBy("class")
         .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
     )

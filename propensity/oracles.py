@@ -65,8 +65,7 @@ def plain(columns: list[str]) -> str:
 
 
 def rounded(expression: str, name: str) -> str:
-    # "+ 0" would be folded away; the CASE turns a rounded -0.0 into 0.0
-    return f"CASE WHEN round({expression}, 9) = 0 THEN 0.0::DOUBLE ELSE round({expression}, 9) END AS {name}"
+    return f"floor(({expression}) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS {name}"
 
 
 # --- calendar parts --------------------------------------------------------------------------------------

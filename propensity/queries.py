@@ -77,7 +77,9 @@ def key_is(divisor: int, remainder: int) -> Column:
 
 
 def rounded(columns: list[str], digits: int = 9) -> list[Column]:
-    return [F.round(F.col(name), digits).alias(name) for name in columns]
+    """Columns rounded half up, in plain arithmetic: ``F.round`` goes through decimals, row by row."""
+    scale = float(10**digits)
+    return [(F.floor(F.col(name) * scale + 0.5) / scale).alias(name) for name in columns]
 
 
 def text(column: str) -> Column:
@@ -352,7 +354,7 @@ def target_encode_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
+    rows = op.drop_null_labels(appointments(spark, sf_dir, spread=True), LABEL)
     encoded = Pipeline(stages=feature_stages("full")).fit(training_rows(rows)).transform(rows)
     names = feature_names(encoded)
     # which genders get an indicator depends on their frequencies, so these are numbered
@@ -421,16 +423,16 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str, **options) -> PreparedData:
-    return prepare(appointments(spark, sf_dir), **options)
+    return prepare(appointments(spark, sf_dir, spread=True), **options)
 
 
 def predictions(model, test: DataFrame) -> DataFrame:
     return model.transform(test).select(
         ROW_KEY,
         LABEL,
-        F.round(vector_elements("probability", ["p0", "p1"])[1], 6).alias("probability"),
+        vector_elements("probability", ["not_shown", "probability"])[1],
         "prediction",
-    )
+    ).withColumns({"probability": rounded(["probability"], 6)[0]})
 
 
 @query

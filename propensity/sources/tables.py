@@ -34,6 +34,18 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
+def scan_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Scan parquet files; where they make fewer partitions than there are cores, spread the rows.
+
+    Training passes over its input many times, so idle cores cost more than one shuffle of so few
+    partitions. Large tables make many partitions, and are scanned as they are. The number is known from
+    planning the scan; no job runs.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def stage_split(df: DataFrame, key: str, train_percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Split by ``key``, write once, and return scans of the train and the test side.
 
