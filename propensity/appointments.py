@@ -8,9 +8,8 @@ home nation.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from propensity.functions.keyhash import key_hash
+from propensity.functions.keyhash import MODULUS
 from propensity.operators.cleaning import cast_to_double, rename_columns
 from propensity.schema import CLEAN_NAMES
 from propensity.sources.tables import scan_spread
@@ -26,37 +25,28 @@ def raw_appointments(spark: SparkSession, sf_dir: str, spread: bool = False) ->
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     # No broadcast hint: customers grow with the data, so statistics (or AQE at run time) choose the join.
     visits = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-
-    key = F.col("o_orderkey")
-    day = F.to_date("o_orderdate")
-    lead = F.pmod(F.pmod(key, F.lit(60)) * 7919, F.lit(60)).cast("int")
-    reminded = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    reminded = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+    day = "CAST(o_orderdate AS DATE)"
+    lead = "CAST(pmod(pmod(o_orderkey, 60) * 7919, 60) AS INT)"
+    draw = f"pmod(pmod(pmod(o_orderkey, {MODULUS}) * 1664525 + 1013904223, {MODULUS}), 100)"
     # attendance chance in tenths of a percent
-    chance = (
-        F.lit(880)
-        - lead * 3
-        + F.when(reminded, 80).otherwise(0)
-        - F.when(F.col("c_nationkey") % 5 == 0, 120).otherwise(0)
-    )
-    draw = F.pmod(key_hash(key, 1664525, 1013904223), F.lit(100))
-    return visits.select(
-        F.col("o_custkey").alias("PatientId"),
-        key.alias("AppointmentID"),
-        F.when(F.pmod(key, F.lit(97)) != 5, F.col("c_mktsegment")).alias("Gender"),
-        day.alias("ScheduledDay"),
-        F.date_add(day, lead).alias("AppointmentDay"),
-        F.when(
-            F.pmod(key, F.lit(89)) != 7, (F.floor(F.col("o_totalprice") / 7000) + 18).cast("int")
-        ).alias("Age"),
-        F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), F.col("c_mktsegment")).alias("Neighborhood"),
-        (F.col("c_acctbal") < 0).alias("Scholarship"),
-        (F.col("o_orderstatus") == "F").alias("Hypertension"),
-        (F.col("o_orderstatus") == "O").alias("Diabetes"),
-        (F.col("c_acctbal") > 8000).alias("Alcoholism"),
-        (F.pmod(key, F.lit(25)) == 3).alias("Handicap"),
-        reminded.alias("SMS_received"),
-        F.when(F.pmod(key, F.lit(101)) != 9, draw * 10 < chance).alias("Showed_up"),
-        lead.alias("Date.diff"),
+    chance = f"880 - 3 * {lead} + IF({reminded}, 80, 0) - IF(c_nationkey % 5 = 0, 120, 0)"
+    return visits.selectExpr(
+        "o_custkey AS PatientId",
+        "o_orderkey AS AppointmentID",
+        "IF(pmod(o_orderkey, 97) = 5, NULL, c_mktsegment) AS Gender",
+        f"{day} AS ScheduledDay",
+        f"date_add({day}, {lead}) AS AppointmentDay",
+        "IF(pmod(o_orderkey, 89) = 7, NULL, CAST(18 + floor(o_totalprice / 7000) AS INT)) AS Age",
+        "concat(CAST(c_nationkey AS STRING), '-', c_mktsegment) AS Neighborhood",
+        "c_acctbal < 0 AS Scholarship",
+        "o_orderstatus = 'F' AS Hypertension",
+        "o_orderstatus = 'O' AS Diabetes",
+        "c_acctbal > 8000 AS Alcoholism",
+        "pmod(o_orderkey, 25) = 3 AS Handicap",
+        f"{reminded} AS SMS_received",
+        f"IF(pmod(o_orderkey, 101) = 9, NULL, 10 * {draw} < {chance}) AS Showed_up",
+        f"{lead} AS `Date.diff`",
     )
 
 

@@ -27,9 +27,9 @@ def cast_to_double(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     64-bit integers are left alone by default: they are identifiers, which a double cannot hold exactly.
     """
     chosen = set(columns_of_type(df, T.IntegerType, T.BooleanType) if columns is None else columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(quoted(name)).cast("double").alias(name) if name in chosen else F.col(quoted(name))
+            f"CAST({quoted(name)} AS DOUBLE) AS {quoted(name)}" if name in chosen else quoted(name)
             for name in df.columns
         ]
     )

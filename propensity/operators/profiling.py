@@ -23,7 +23,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     aggregate's single partition, so the sort over its few rows needs no further exchange.
     """
     totals = df.agg(*null_counts(df))
-    pairs = [F.struct(F.lit(name).alias("c"), F.col(quoted(name)).alias("n")) for name in df.columns]
+    pairs = [F.struct(F.lit(name), F.col(quoted(name))) for name in df.columns]
     return (
         totals.select(F.inline(F.array(*pairs)).alias("column", "missing_count"))
         .orderBy(F.col("missing_count").desc(), "column")

@@ -20,6 +20,10 @@ def build_session(app_name: str = "propensity", master: str | None = None, **con
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # the train/test table has two partitions: write both at once instead of sorting rows by side
+        .config("spark.sql.maxConcurrentOutputFileWriters", "8")
+        # no call-site capture per column expression: it takes most of the time of building a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
