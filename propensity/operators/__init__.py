@@ -32,13 +32,14 @@ from propensity.operators.target_encoding import (
     AutoTargetEncoderModel,
     out_of_fold_encode,
 )
-from propensity.operators.weighting import with_balanced_weights, with_class_weights
+from propensity.operators.weighting import balanced_weights, with_balanced_weights, with_class_weights
 
 __all__ = [
     "AutoTargetEncoder",
     "AutoTargetEncoderModel",
     "CyclicalDateTransformer",
     "area_under_roc",
+    "balanced_weights",
     "cast_to_double",
     "class_balance",
     "columns_of_type",

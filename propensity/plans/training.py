@@ -8,7 +8,12 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
 from propensity.operators.cleaning import drop_null_labels
-from propensity.operators.weighting import with_balanced_weights, with_class_weights
+from propensity.operators.weighting import (
+    NEGATIVE_WEIGHT,
+    POSITIVE_WEIGHT,
+    balanced_weights,
+    with_class_weights,
+)
 from propensity.plans.features import feature_stages
 from propensity.plans.tuning import SharedFeaturesPipeline
 from propensity.schema import LABEL, ROW_KEY
@@ -25,9 +30,13 @@ def prepare(df: DataFrame, key: str = ROW_KEY, train_percent: int = 80, weights:
 
     ``weights`` is ``"constant"`` (0.2 / 0.8) or ``"balanced"`` (from the class counts of the training side).
     """
-    weigh = {"constant": with_class_weights, "balanced": with_balanced_weights}[weights]
+    if weights not in ("constant", "balanced"):
+        raise ValueError(f"weights are 'constant' or 'balanced', got {weights!r}")
     train, test = stage_split(drop_null_labels(df, LABEL), key, train_percent)
-    return PreparedData(weigh(train, LABEL), test)
+    positive, negative = (
+        (POSITIVE_WEIGHT, NEGATIVE_WEIGHT) if weights == "constant" else balanced_weights(train, LABEL)
+    )
+    return PreparedData(with_class_weights(train, LABEL, positive, negative), test)
 
 
 def training_pipeline(

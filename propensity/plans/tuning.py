@@ -27,8 +27,14 @@ class SharedFeaturesPipeline(Pipeline):
     not per grid point: a grid over the learner leaves them as they are. So their output is computed once per
     fold, kept in executor memory or on executor disks while the fold's models are trained, and recomputed
     from the lineage where an executor is lost.
+
+    ``concurrent_fits`` is the number of models trained at a time. Input with no more partitions than cores
+    could not keep the cores busy for all of them but would cost each fit a task per partition and step; it is
+    merged so that the concurrent fits together fill the cores. Larger input keeps its partitions.
     """
 
+    concurrent_fits = 1
+
     def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, PipelineModel]]:
         *feature_part, learner = self.getStages()
         if any(param.parent != learner.uid for params in paramMaps for param in params):
@@ -37,7 +43,11 @@ class SharedFeaturesPipeline(Pipeline):
         needed = [learner.getFeaturesCol(), learner.getLabelCol()]
         if learner.isDefined("weightCol") and learner.getOrDefault("weightCol"):
             needed.append(learner.getOrDefault("weightCol"))
-        encoded = encoders.transform(dataset).select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+        encoded = encoders.transform(dataset).select(*needed)
+        cores = dataset.sparkSession.sparkContext.defaultParallelism
+        if dataset.rdd.getNumPartitions() <= cores:
+            encoded = encoded.coalesce(max(1, cores // self.concurrent_fits))
+        encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
         return _FittedInTurn(learner, encoders, encoded, paramMaps)
 
 
@@ -103,6 +113,8 @@ def cross_validate(
     parallelism: int = 4,
 ) -> CrossValidatorModel:
     """Search ``grid`` by mean area under ROC over key-hashed folds and refit the best point on all rows."""
+    if isinstance(pipeline, SharedFeaturesPipeline):
+        pipeline.concurrent_fits = min(parallelism, len(grid))
     search = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=grid,

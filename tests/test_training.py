@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from propensity.appointments import appointments
 from propensity.functions import linear_score
-from propensity.operators import with_class_weights
+from propensity.operators import with_balanced_weights
 from propensity.plans import (
     coefficient_table,
     cross_validate,
@@ -147,6 +147,10 @@ def test_balanced_weights_train(spark, tables):
     balanced = prepare(appointments(spark, tables), weights="balanced").train
     sums = [r["w"] for r in balanced.groupBy(LABEL).agg(F.sum("weight_col").alias("w")).collect()]
     assert sums[0] == pytest.approx(sums[1])
+    lazily = with_balanced_weights(balanced.drop("weight_col"), LABEL)
+    assert lazily.select(*balanced.columns).exceptAll(balanced).isEmpty()
+    with pytest.raises(ValueError):
+        prepare(appointments(spark, tables), weights="none")
 
 
 def test_loaded_pipeline_takes_raw_columns(spark, data):
@@ -178,7 +182,7 @@ def test_metrics_score_the_rows_once(data):
     assert "ReusedExchange" in metrics._jdf.queryExecution().executedPlan().toString()
 
 
-def test_full_grid_has_all_distinct_points():
+def test_full_grid_has_all_distinct_points(spark):
     points = full_logistic_grid(logistic_regression())
     texts = {json.dumps({p.name: v for p, v in point.items()}, sort_keys=True) for point in points}
     assert len(points) == len(texts) == 244
