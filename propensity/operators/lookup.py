@@ -32,7 +32,8 @@ def join_lookup(
       ``HOT_PARTS``, whatever the data, and are broadcast; the rows they match, and rows with a NULL key,
       never enter a shuffle. Only the rows of the remaining keys are shuffled, none of which is large enough
       to make a straggler. A key that is frequent in ``df`` but was rare or absent when the counts were
-      taken is left to the skew handling of adaptive execution.
+      taken is left to the skew handling of adaptive execution. ``df`` is evaluated twice in this form, once
+      for either part, so it must give the same rows each time.
     """
     on = list(on)
     values = [name for name in lookup.columns if name not in (*on, rows_column)]

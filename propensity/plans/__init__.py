@@ -13,7 +13,7 @@ from propensity.plans.learners import (
     logistic_regression,
     random_forest,
 )
-from propensity.plans.training import PreparedData, prepare, training_pipeline
+from propensity.plans.training import PreparedData, fit_out_of_fold, prepare, training_pipeline
 from propensity.plans.tuning import (
     cross_validate,
     full_logistic_grid,
@@ -27,6 +27,7 @@ __all__ = [
     "cross_validate",
     "feature_names",
     "feature_stages",
+    "fit_out_of_fold",
     "full_logistic_grid",
     "gradient_boosted_trees",
     "leaderboard",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 
 from propensity.operators.cleaning import drop_null_labels
+from propensity.operators.splitting import with_fold
+from propensity.operators.target_encoding import out_of_fold_encode
 from propensity.operators.weighting import (
     NEGATIVE_WEIGHT,
     POSITIVE_WEIGHT,
@@ -44,3 +46,27 @@ def training_pipeline(
 ) -> SharedFeaturesPipeline:
     """Feature stages and learner as one estimator, so that no statistic sees rows outside its training set."""
     return SharedFeaturesPipeline(stages=[*feature_stages(feature_set, scale, **feature_options), learner])
+
+
+def fit_out_of_fold(
+    learner: Estimator, train: DataFrame, key: str = ROW_KEY, folds: int = 3, scale: bool = False
+) -> PipelineModel:
+    """Fit the ``full`` feature set without the training rows' own labels in their encodings.
+
+    A plain fit encodes a training row with statistics that include its own label, so that the learner trusts
+    rare categories too much. Here the learner is trained on out-of-fold encodings. The result is a pipeline like
+    any other: it scores new rows with the encoder fitted on all training rows.
+    """
+    encoder, *others = feature_stages("full", scale)
+    fold = "__fold"
+    encoded = out_of_fold_encode(
+        with_fold(train, key, folds, fold),
+        encoder.getInputCol(),
+        encoder.getLabelCol(),
+        fold,
+        encoder.getOutputCol(),
+        folds,
+        encoder.getOrDefault("smoothing"),
+    ).drop(fold)
+    fitted = Pipeline(stages=[*others, learner]).fit(encoded)
+    return PipelineModel([encoder.fit(train), *fitted.stages])

@@ -6,7 +6,13 @@ from pyspark.ml import PipelineModel
 
 
 def save_pipeline(model: PipelineModel, path: str) -> None:
-    """Save a fitted pipeline, replacing what is at ``path``."""
+    """Save a fitted pipeline, replacing what is at ``path``.
+
+    A loaded target encoder reads its lookup from where it was saved, so a pipeline cannot replace itself.
+    """
+    own_files = [file for stage in model.stages if hasattr(stage, "encodings") for file in stage.encodings.inputFiles()]
+    if any(f"{path.rstrip('/')}/" in file for file in own_files):
+        raise ValueError(f"this pipeline was loaded from {path}; save it to another path")
     model.write().overwrite().save(path)
 
 

@@ -17,6 +17,7 @@ from propensity.plans import (
     cross_validate,
     feature_names,
     feature_stages,
+    fit_out_of_fold,
     full_logistic_grid,
     gradient_boosted_trees,
     leaderboard,
@@ -159,6 +160,8 @@ def test_loaded_pipeline_takes_raw_columns(spark, data):
     save_pipeline(model, path)
     save_pipeline(model, path)
     loaded = load_pipeline(path)
+    with pytest.raises(ValueError, match="another path"):
+        save_pipeline(loaded, path)
     fields = ["appointment_id", "rawPrediction", "prediction"]
     assert model.transform(data.test).select(fields).collect() == loaded.transform(data.test).select(fields).collect()
 
@@ -225,3 +228,22 @@ def test_grid_over_a_feature_stage_falls_back_to_full_fits(data):
     grid = ParamGridBuilder().addGrid(encoder.smoothing, ["auto", 20.0]).build()
     model = cross_validate(pipeline, grid, data.train, folds=2)
     assert len(model.avgMetrics) == 2
+
+
+def test_out_of_fold_fit_does_not_trust_meaningless_categories(spark, data):
+    """Categories of two or three rows say nothing here, but a plain encoding of a row repeats its label."""
+    noise = F.concat(F.lit("n"), F.pmod(F.hash("appointment_id"), F.lit(400)))
+    train = data.train.withColumn("neighborhood", noise)
+    test = data.test.withColumn("neighborhood", noise)
+
+    def fitted(model):
+        names = feature_names(model.transform(test))
+        return model, abs(model.stages[-1].coefficients[names.index("neighborhood_te")])
+
+    plain, plain_trust = fitted(training_pipeline(logistic_regression()).fit(train))
+    honest, honest_trust = fitted(fit_out_of_fold(logistic_regression(), train))
+    assert honest_trust < plain_trust / 3
+    assert auc_of(plain.transform(train)) > 0.85 > auc_of(honest.transform(test))
+    path = scratch_path(spark, "honest")
+    save_pipeline(honest, path)
+    assert load_pipeline(path).transform(test).count() == honest.transform(test).count()
