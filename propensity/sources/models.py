@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.ml import PipelineModel
 
 
@@ -10,8 +12,9 @@ def save_pipeline(model: PipelineModel, path: str) -> None:
 
     A loaded target encoder reads its lookup from where it was saved, so a pipeline cannot replace itself.
     """
-    own_files = [file for stage in model.stages if hasattr(stage, "encodings") for file in stage.encodings.inputFiles()]
-    if any(f"{path.rstrip('/')}/" in file for file in own_files):
+    folder = urlparse(path).path.rstrip("/") + "/"
+    lookups = [stage.encodings for stage in model.stages if hasattr(stage, "encodings")]
+    if any(urlparse(file).path.startswith(folder) for lookup in lookups for file in lookup.inputFiles()):
         raise ValueError(f"this pipeline was loaded from {path}; save it to another path")
     model.write().overwrite().save(path)
 
