@@ -8,6 +8,13 @@ from propensity.llm.bpe import encode_and_decode
 from propensity.llm.common import read_table, stage
 from propensity.llm.exact_dedup import drop_exact_duplicates
 from propensity.llm.mixing import apply_mix
+from propensity.llm.near_dedup import drop_near_duplicates
+from propensity.llm.toxicity import drop_toxic, fit_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labelled ones, does not predict as toxic."""
+    return drop_toxic(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +22,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id: five words to a shingle, similarity 0.8."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for; the one at a source's cut in part."""
     return apply_mix(docs)
@@ -26,7 +38,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
     ("mixing", mixing),
     ("byte bpe", byte_bpe),
 ]

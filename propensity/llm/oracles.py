@@ -76,3 +76,59 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM hashed
 """
+
+ORACLES_LLM["op5_near_dedup"] = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle
+    FROM worded
+),
+counts AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b FROM common JOIN counts x ON x.doc_id = a JOIN counts y ON y.doc_id = b
+    WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+    SELECT doc_id AS node, doc_id AS seen FROM documents
+    UNION
+    SELECT r.node, s.b FROM reached r JOIN sides s ON s.a = r.seen
+),
+parts AS (SELECT node, min(seen) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, p.component_id, d.doc_id = p.component_id AS kept
+FROM documents d LEFT JOIN counts c USING (doc_id) JOIN parts p ON p.node = d.doc_id
+"""
+
+ORACLES_LLM["op8_embedding_dedup"] = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+),
+usable AS (
+    SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS length FROM vectors
+    WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / (a.length * b.length) >= 0.93
+),
+reached AS (
+    SELECT vec_id AS node, vec_id AS seen FROM embeddings
+    UNION
+    SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.seen
+),
+parts AS (SELECT node, min(seen) AS component_id FROM reached GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN parts p ON p.node = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""

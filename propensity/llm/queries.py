@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from propensity.llm.bpe import encode_and_decode
 from propensity.llm.common import key_remainder, read_table
+from propensity.llm.embedding_dedup import near_duplicate_vectors
 from propensity.llm.exact_dedup import exact_duplicates
 from propensity.llm.langid import fit_profiles, identify_languages
 from propensity.llm.mixing import mix_sources
+from propensity.llm.near_dedup import near_duplicates
 from propensity.llm.pii import KINDS, find_personal_data, train_field
 from propensity.llm.sharding import assign_shards
 from propensity.llm.toxicity import fit_toxicity, score_toxicity
@@ -57,6 +59,10 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"), shingle_words=3, percent=85)
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     held_out = key_remainder(F.col("doc_id"), 5) == 0
@@ -69,6 +75,10 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(read_table(spark, folder, "documents"), digest_all=True)
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_vectors(read_table(spark, folder, "embeddings"))
+
+
 def op9_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(read_table(spark, folder, "documents"))
 
@@ -89,8 +99,10 @@ LLM_QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mix_sources": op3_mix_sources,
     "op4_personal_data": op4_personal_data,
+    "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_warc": op10_warc,
 }
