@@ -80,12 +80,13 @@ def _tasks(function, schema: pa.Schema, column: str, rank_path: str | None):
     """A ``mapInArrow`` function that replaces a binary column, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         enc = encoding(rank_path)
         for batch in batches:
-            values = batch.column(column).to_pylist()
-            for part in pieces(values, [len(value) for value in values]):
-                made = pa.array([function(enc, value) for value in values[part]], pa.binary())
+            for part in pieces(pc.binary_length(batch.column(column)).to_pylist()):
                 kept = batch.slice(part.start, part.stop - part.start)
+                made = pa.array([function(enc, value.as_py()) for value in kept.column(column)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*kept.columns[:-1], made], schema=schema)
 
     return run

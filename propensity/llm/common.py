@@ -72,13 +72,34 @@ def as_bytes(column: Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit("").cast("binary"))
 
 
-def pieces(values: list, sizes: list[int], limit: int = 32 << 20) -> Iterator[slice]:
-    """Slices of ``values`` whose ``sizes`` add up to ``limit`` at most, unless one value alone is larger."""
+def pieces(sizes: list[int], limit: int = 4 << 20) -> Iterator[slice]:
+    """Slices of rows whose ``sizes`` add up to ``limit`` at most, unless one row alone is larger."""
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and held + size > limit:
             yield slice(start, i)
             start, held = i, 0
         held += size
-    if start < len(values):
-        yield slice(start, len(values))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by their place, so that names that clash do no harm; ``toDF(*df.columns)`` takes it back."""
+    return df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
+
+
+def text_hash(column: Column) -> Column:
+    """Tells the rows apart that repeat an id."""
+    return F.xxhash64(as_bytes(column))
+
+
+def without_rows(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, name: str) -> DataFrame:
+    """``df`` without the rows whose id and text hash are in ``gone`` (``id``, ``text_hash``); all columns stay, and all rows with a NULL id.
+
+    ``gone`` is staged: where it is small on disk it is broadcast, and the rows stay where they are.
+    """
+    gone = stage(gone.filter("id is not null").distinct(), name)
+    rows = placed(df)
+    key, text = (rows[f"_c{position(df, column)}"] for column in (id_col, text_col))
+    return rows.join(gone, (key == gone["id"]) & (text_hash(text) == gone["text_hash"]), "left_anti").toDF(*df.columns)

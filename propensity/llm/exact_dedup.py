@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import inputs, stage
+from propensity.llm.common import inputs, stage, text_hash, without_rows
 
 
 def exact_duplicates(
@@ -33,6 +33,18 @@ def exact_duplicates(
     text are members of their group, and stay or go together. Where the digest was not needed ``text_sha256``
     is NULL, unless ``digest_all`` asks for all. An empty table gives an empty result.
     """
+    return _grouped(df, id_col, text_col, prefix_chars, length_classes, prefix_buckets, digest_all).drop("text_hash")
+
+
+def _grouped(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    prefix_chars: int = 256,
+    length_classes: int = 1 << 20,
+    prefix_buckets: int = 1 << 20,
+    digest_all: bool = False,
+) -> DataFrame:
     rows = inputs(df, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("length", F.octet_length("text"))
     rows = rows.withColumn("length_class", F.least("length", F.lit(length_classes)))
@@ -61,6 +73,7 @@ def exact_duplicates(
     thin = stage(
         flagged.select(
             "doc_id",
+            text_hash(F.col("text")).alias("text_hash"),
             is_open.alias("open"),
             (hashed if digest_all else F.when(is_open, hashed)).alias("digest"),
         ),
@@ -76,9 +89,10 @@ def exact_duplicates(
         F.when(in_group, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
         "digest",
+        "text_hash",
     )
     alone = thin.filter("not open").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest", "text_hash"
     )
     return found.unionByName(alone).select(
         "doc_id",
@@ -86,14 +100,11 @@ def exact_duplicates(
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_hash",
     )
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay.
-
-    The ids to drop are staged first: where they are few, they are broadcast and the texts stay where they are.
-    """
-    gone = exact_duplicates(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = stage(gone.distinct(), "dedup-gone")
-    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay, and all rows with a NULL id."""
+    gone = _grouped(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("id"), "text_hash")
+    return without_rows(df, id_col, text_col, gone, "dedup-gone")

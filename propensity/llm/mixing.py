@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import WORD, inputs, stage
+from propensity.llm.common import WORD, inputs, placed, position, stage
 from propensity.llm.ranges import deal_ranges, range_totals, sum_within
 
 #: relative weights of the sources in code point order, repeated as often as needed
@@ -117,7 +117,8 @@ def mix_plan(
         F.floor((F.col("open") - F.col("within")) / F.col("rows")).cast("bigint").alias("cut_words"),
     )
     plan = budgets.withColumn("named", named).join(cuts, "named", "left")
-    return stage(plan.select("source", "source_size", "target", "epochs", F.col("cut_key").alias("cut_key"), "cut_id", "cut_size", "cut_words"), "mix-plan"), sized
+    plan = plan.select("source", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words")
+    return stage(plan, "mix-plan"), sized
 
 
 def _before_cut() -> Column:
@@ -192,10 +193,10 @@ def apply_mix(
     without words take no share, and are left out. Only the plan, one row per source, is joined with the texts.
     """
     plan, _ = mix_plan(df, id_col, text_col, source_col, weights, limit)
-    columns = [f"_c{i}" for i in range(len(df.columns))]
-    placed = df.toDF(*columns)
-    at = {name: columns[df.columns.index(old)] for name, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
-    working = placed.withColumns(
+    rows = placed(df)
+    columns = rows.columns
+    at = {name: columns[position(df, old)] for name, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))}
+    working = rows.withColumns(
         {
             "doc_id": F.col(at["doc_id"]),
             "source": F.col(at["source"]),

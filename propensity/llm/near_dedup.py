@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, stage
+from propensity.llm.common import as_bytes, inputs, stage, text_hash, without_rows
 from propensity.llm.components import connected_components
 
 #: words in a shingle, and similarity (in percent) from which texts are linked
@@ -116,7 +116,7 @@ def is_similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(one) + len(other) - common)
 
 
-SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, short binary"
+SKETCH_SCHEMA = "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>, short binary"
 
 
 def _sketch_task(width: int):
@@ -136,12 +136,13 @@ def _sketch_task(width: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(counts, pa.int64()),
                     pa.array(set_keys, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(shorts, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands", "short"],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "short"],
             )
 
     return run
@@ -296,8 +297,13 @@ def near_duplicates(
     shingle; NULL and empty texts and those without a word have no shingle and link with nothing. A NULL id links
     with nothing, has a NULL component, and is kept. Rows that repeat an id are judged by their texts, each by itself. An empty table gives an empty result.
     """
+    return _parted(df, id_col, text_col, shingle_words, percent).drop("text_hash")
+
+
+def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
     docs = inputs(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), as_bytes(F.col("text")).alias("text"))
-    sketches = stage(docs.mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")
+    hashed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    sketches = stage(hashed.mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")
     linkable = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"),
@@ -323,12 +329,12 @@ def near_duplicates(
     named = classes.join(components, classes["rep"] == components["node"], "left")
     named = named.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     named = stage(named, "near-named")
-    found = linkable.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    found = linkable.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     alone = sketches.filter("n_shingles = 0 or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")
     )
     return (
-        found.select("doc_id", "n_shingles", "component_id")
+        found.select("doc_id", "text_hash", "n_shingles", "component_id")
         .unionByName(alone)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
@@ -338,6 +344,5 @@ def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """``df`` with one document of each component, that of the smallest id; all columns stay."""
-    gone = near_duplicates(df, id_col, text_col, shingle_words, percent).filter(~F.col("kept"))
-    gone = stage(gone.select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    gone = _parted(df, id_col, text_col, shingle_words, percent).filter(~F.col("kept"))
+    return without_rows(df, id_col, text_col, gone.select(F.col("doc_id").alias("id"), "text_hash"), "near-gone")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, row_share, stage
+from propensity.llm.common import as_bytes, inputs, placed, position, row_share, stage
 
 #: labelled rows that the model is fitted on, at most (in expectation)
 MAX_ROWS = 16_000
@@ -170,4 +170,5 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``df`` without the rows that the model predicts as toxic; all columns stay."""
-    return df.filter(model.score(F.col(f"`{text_col}`")) < 0.5)
+    rows = placed(df)
+    return rows.filter(model.score(rows[f"_c{position(df, text_col)}"]) < 0.5).toDF(*df.columns)
