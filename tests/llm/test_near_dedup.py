@@ -1,0 +1,137 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from propensity.llm import near_dedup
+from propensity.llm.near_dedup import (
+    BANDS, SKETCH, WordHashes, band_keys, drop_near_duplicates, near_duplicates, seeds, shingle_set, short_sketch, sketch,
+)
+
+SCHEMA = "doc_id bigint, text string"
+TABLE = bytes.maketrans(near_dedup.UPPER, near_dedup.LOWER)
+
+
+def plain_set(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return set()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def plain_components(rows, width, percent):
+    sets = {i: plain_set(t, width) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def families(words):
+    """Copies with few and with many changed words, and chains in which only neighbours are alike."""
+    rows, source = [], random.Random(8)
+    for family in range(12):
+        text = words(120, family).split()
+        for copy in range(15):
+            changed = list(text)
+            for _ in range(source.randrange(0, 9)):
+                changed[source.randrange(len(changed))] = f"new{source.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    chain = words(200, 99).split()
+    for step in range(12):
+        chain[step * 12 : step * 12 + 6] = [f"c{step}x{i}" for i in range(6)]
+        rows.append((len(rows), " ".join(chain)))
+    return rows
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_components_equal_brute_force(clashing, words, width, percent):
+    rows = families(words)
+    rows += [(i, t) for i, t in enumerate([None, "", " \t", "Two words", "two WORDS", "one", "ONE", "É é", "é é", "a b c", "a b  c\n"], 1000)]
+    rows += [(2000, words(30_000, 5)), (2001, words(30_000, 5) + " tail")]
+    found = near_duplicates(clashing(rows, SCHEMA), shingle_words=width, percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_components(rows, width, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_small_blocks_change_nothing(clashing, words, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = families(words)
+    found = near_duplicates(clashing(rows, SCHEMA), shingle_words=3, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_components(rows, 3, 85)
+
+
+def test_blocks_link_what_hubs_miss(words):
+    import pandas as pd
+
+    hashes, seed = WordHashes(), seeds()
+    base = words(100, 1).split()
+    texts = [" ".join(base), " ".join(base[:-2] + ["x", "y"]), words(100, 2), words(100, 2) + " z", words(90, 3)]
+    sets = [shingle_set(t.encode(), 3, hashes, TABLE) for t in texts]
+    members = pd.DataFrame({
+        "rep": range(5), "component": range(5), "n_shingles": [len(s) for s in sets], "side": -1,
+        "short": [short_sketch(sketch(s, seed)) for s in sets], "shingles": [s.tobytes() for s in sets],
+    })
+    assert sorted(near_dedup.link_block(members, 85)) == [(0, 1), (2, 3)]
+
+
+def test_sketch_fills_every_coordinate_and_estimates_similarity():
+    random_ = np.random.default_rng(4)
+    seed = seeds()
+    for size in (1, 2, 5, 50, 500, 5000):
+        own = np.unique(random_.integers(0, 2**63, size).astype(np.uint64))
+        bins = sketch(own, seed)
+        assert len(bins) == SKETCH and bins.max() < near_dedup.FULL
+        assert len(set(band_keys(bins).tolist())) == BANDS
+    agree = []
+    for _ in range(60):
+        shared = random_.integers(0, 2**63, 400).astype(np.uint64)
+        extra = random_.integers(0, 2**63, 100).astype(np.uint64)
+        one, other = (np.unique(np.concatenate((shared, part))) for part in (extra[:50], extra[50:]))
+        agree.append((sketch(one, seed) == sketch(other, seed)).mean())
+    assert abs(np.mean(agree) - 0.8) < 0.02 and min(agree) * SKETCH >= near_dedup.AGREE
+
+
+def test_rounds_at_once_equal_rounds_one_by_one():
+    seed, own = seeds(), np.arange(1, 40, dtype=np.uint64) * np.uint64(7919)
+    bins = np.full(SKETCH, near_dedup.FULL)
+    for i in range(SKETCH):
+        for thrown in near_dedup.mix(own ^ seed[i]):
+            place = (int(thrown >> np.uint64(32)) * SKETCH) >> 32
+            bins[place] = min(bins[place], np.uint64(i << 32 | int(thrown) & 0xFFFFFFFF))
+        if bins.max() != near_dedup.FULL:
+            break
+    assert np.array_equal(sketch(own, seed), bins)
+
+
+def test_repeated_and_missing_ids_and_dropping(clashing, words):
+    same, other = words(50, 1), words(50, 2)
+    rows = [(1, same), (5, same), (5, other), (None, same), (None, None), (9, other), (1, same)]
+    table = clashing(rows, SCHEMA)
+    found = near_duplicates(table).collect()
+    by = defaultdict(set)
+    for r in found:
+        by[r.doc_id].add((r.component_id, r.kept))
+    assert by == {1: {(1, True)}, 5: {(1, False), (5, True)}, None: {(None, True)}, 9: {(5, False)}}
+    kept = drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(1, same), (1, same), (5, other), (0, same), (0, "")]
+    )
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
