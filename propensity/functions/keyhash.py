@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 MODULUS = 2147483647
 MULTIPLIER = 1103515245
 INCREMENT = 12345
+# Another step, for folds, which must not depend on the split.
+FOLD_MULTIPLIER = 1566083941
+FOLD_INCREMENT = 2531011
 
 
 def key_hash(key: Column, multiplier: int = MULTIPLIER, increment: int = INCREMENT) -> Column:
@@ -21,6 +24,8 @@ def key_hash(key: Column, multiplier: int = MULTIPLIER, increment: int = INCREME
     return F.pmod(reduced * multiplier + increment, F.lit(MODULUS))
 
 
-def hash_bucket(key: Column, buckets: int = 100) -> Column:
+def hash_bucket(
+    key: Column, buckets: int = 100, multiplier: int = MULTIPLIER, increment: int = INCREMENT
+) -> Column:
     """Bucket number of a key in [0, buckets)."""
-    return F.pmod(key_hash(key), F.lit(buckets))
+    return F.pmod(key_hash(key, multiplier, increment), F.lit(buckets))

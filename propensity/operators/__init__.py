@@ -12,7 +12,9 @@ from propensity.operators.cleaning import (
 from propensity.operators.cyclical_dates import CyclicalDateTransformer
 from propensity.operators.lookup import join_lookup
 from propensity.operators.metrics import (
+    area_of_scores,
     area_under_roc,
+    binary_metrics,
     confusion_matrix,
     per_class_metrics,
     score_counts,
@@ -38,8 +40,10 @@ __all__ = [
     "AutoTargetEncoder",
     "AutoTargetEncoderModel",
     "CyclicalDateTransformer",
+    "area_of_scores",
     "area_under_roc",
     "balanced_weights",
+    "binary_metrics",
     "cast_to_double",
     "class_balance",
     "columns_of_type",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propensity.operators.profiling import null_counts, quoted
+from propensity.operators.profiling import is_empty, null_counts, quoted
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -45,18 +47,19 @@ def skip_invalid_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns))
 
 
-def drop_sparse_rows(df: DataFrame, max_null_percent: int = 80) -> DataFrame:
-    """Keep rows in which at most ``max_null_percent`` of the fields are NULL or NaN."""
-    fields = len(df.columns)
-    return df.dropna(thresh=fields - fields * max_null_percent // 100)
+def drop_sparse_rows(df: DataFrame, max_null_percent: int = 80, nan_is_null: bool = False) -> DataFrame:
+    """Keep rows in which at most ``max_null_percent`` of the fields are NULL (or NaN, with ``nan_is_null``)."""
+    empty = reduce(add, [is_empty(df, name, nan_is_null).cast("int") for name in df.columns])
+    return df.filter(empty * 100 <= len(df.columns) * max_null_percent)
 
 
-def drop_sparse_columns(df: DataFrame, max_null_percent: int = 80) -> DataFrame:
-    """Drop the columns in which more than ``max_null_percent`` of the rows are NULL.
+def drop_sparse_columns(df: DataFrame, max_null_percent: int = 80, nan_is_null: bool = False) -> DataFrame:
+    """Drop the columns in which more than ``max_null_percent`` of the rows are NULL (or NaN, with ``nan_is_null``).
 
     The result's schema depends on the data, so one aggregate runs now; it returns a single row.
     """
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.struct(*null_counts(df)).alias("nulls")).first()
+    nulls = F.struct(*null_counts(df, nan_is_null))
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), nulls.alias("nulls")).first()
     limit = counts["rows"] * max_null_percent
     sparse = [name for name, nulls in zip(df.columns, counts["nulls"]) if (nulls or 0) * 100 > limit]
     return df.drop(*sparse)

@@ -29,29 +29,32 @@ def join_lookup(
 
     * A lookup of at most ``max_broadcast_bytes`` is broadcast; ``df`` is not shuffled.
     * A larger one is split by those counts. Keys with more than 1/``HOT_PARTS`` of the rows are fewer than
-      ``HOT_PARTS``, whatever the data, and are broadcast; the rows they match, and rows with a NULL key,
-      never enter a shuffle. Only the rows of the remaining keys are shuffled, none of which is large enough
-      to make a straggler. A key that is frequent in ``df`` but was rare or absent when the counts were
-      taken is left to the skew handling of adaptive execution. ``df`` is evaluated twice in this form, once
-      for either part, so it must give the same rows each time.
+      ``HOT_PARTS``, whatever the data, and are broadcast. One join by key then serves the other rows; rows that are settled,
+      by a hot key or by having no key, carry a salt in it that no lookup row has, so they match nothing there and
+      spread over all tasks. ``df`` is evaluated once. A key that is frequent in ``df`` but was rare or absent when the
+      counts were taken is left to the skew handling of adaptive execution.
     """
     on = list(on)
     values = [name for name in lookup.columns if name not in (*on, rows_column)]
-    renamed = lookup.withColumnsRenamed({name: f"__key_{name}" for name in on})
-    keys = [f"__key_{name}" for name in on]
-    condition = reduce(
-        lambda a, b: a & b, [F.col(name) == F.col(key) for name, key in zip(on, keys)]
-    )
+
+    def matches(prefix: str):
+        return reduce(lambda a, b: a & b, [F.col(name) == F.col(f"{prefix}{name}") for name in on])
+
+    def renamed(part: DataFrame, prefix: str) -> DataFrame:
+        return part.drop(rows_column).withColumnsRenamed({name: f"{prefix}{name}" for name in (*on, *values)})
 
     if lookup_bytes <= max_broadcast_bytes:
-        return df.join(F.broadcast(renamed.drop(rows_column)), condition, "left").drop(*keys)
+        small = renamed(lookup, "__hot_")
+        joined = df.join(F.broadcast(small), matches("__hot_"), "left")
+        return joined.withColumnsRenamed({f"__hot_{name}": name for name in values}).drop(*(f"__hot_{name}" for name in on))
 
     is_hot = F.col(rows_column) * HOT_PARTS > F.lit(total_rows)
-    hot = renamed.filter(is_hot).drop(rows_column)
-    cold = renamed.filter(~is_hot).drop(rows_column)
-    tagged = df.join(F.broadcast(hot), condition, "left")
-    matched = F.col(keys[0]).isNotNull()
+    hot = renamed(lookup.filter(is_hot), "__hot_")
+    cold = renamed(lookup.filter(~is_hot), "__cold_").withColumn("__cold_salt", F.lit(-1).cast("bigint"))
+    tagged = df.join(F.broadcast(hot), matches("__hot_"), "left")
     without_key = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in on])
-    settled = tagged.filter(matched | without_key).drop(*keys)
-    rest = tagged.filter(~matched & ~without_key).drop(*keys, *values)
-    return settled.unionByName(rest.join(cold, condition, "left").drop(*keys))
+    settled = F.col(f"__hot_{on[0]}").isNotNull() | without_key
+    salted = tagged.withColumn("__salt", F.when(settled, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    joined = salted.join(cold, matches("__cold_") & (F.col("__salt") == F.col("__cold_salt")), "left")
+    found = {name: F.coalesce(f"__hot_{name}", f"__cold_{name}") for name in values}
+    return joined.withColumns(found).select(*df.columns, *values)

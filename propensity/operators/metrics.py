@@ -5,17 +5,24 @@ All are unweighted and expect rows without NULL labels.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def score_counts(df: DataFrame, label: str, prediction: str, score: str) -> DataFrame:
-    """Rows per ``(score, label, prediction)``, the common base of all metrics of one model.
+    """Rows per ``score``: ``pos`` and ``neg`` by label, ``pos_hit`` and ``neg_hit`` of them predicted as 1.
 
-    Both :func:`confusion_matrix` and :func:`area_under_roc` accept it through their ``count`` argument;
-    used together, they share this one aggregate and so score the rows once.
+    The common base of all metrics of one binary model: :func:`binary_metrics` has them all from this one aggregate.
     """
-    return df.groupBy(score, label, prediction).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.col(prediction) == 1
+    return df.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"),
+        F.count_if(F.col(label) == 0).alias("neg"),
+        F.count_if((F.col(label) == 1) & hit).alias("pos_hit"),
+        F.count_if((F.col(label) == 0) & hit).alias("neg_hit"),
+    )
 
 
 def confusion_matrix(
@@ -89,18 +96,32 @@ def weighted_metrics(confusion: DataFrame) -> DataFrame:
 def area_under_roc(df: DataFrame, label: str, score: str, count: str | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counting half, as one row ``(positives, negatives, auc)``.
 
-    Each positive row is worth the negatives below it plus half of those tied with it. Rows with equal
-    scores collapse first, so a hot score is one row from then on. The distinct scores are range-partitioned
-    and summed up within each range; the ranges, at most one per shuffle partition, then add the negatives of
-    all lower ranges. Counts are exact integers. ``auc`` is NULL if a class is missing.
+    ``count`` names a column of row counts of pre-aggregated input. ``auc`` is NULL if a class is missing.
     """
     rows = F.col(count) if count else F.lit(1)
-    zero = F.lit(0).cast("bigint")
     per_score = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, rows).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 0, rows).otherwise(0)).alias("neg"),
     )
-    ranged = per_score.repartitionByRange("score").withColumn("range", F.spark_partition_id())
+    return area_of_scores(per_score)
+
+
+def area_of_scores(per_score: DataFrame, ranges: int = 128) -> DataFrame:
+    """:func:`area_under_roc` of counts per distinct score (``score``, ``pos``, ``neg``); sums of further columns are added.
+
+    Each positive row is worth the negatives below it plus half of those tied with it. Equal scores have
+    collapsed, so a hot score is one row. The distinct scores are dealt to ``ranges`` ranges between their approximate
+    percentiles, in one shuffle, and summed up within each; the ranges then add the negatives of all lower ones. Any
+    boundaries give the exact value: counts are exact integers, so it does not depend on the partitioning either.
+    """
+    zero = F.lit(0).cast("bigint")
+    sums = [name for name in per_score.columns if name != "score"]
+    steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    # names all columns, so that the boundaries come from the very shuffle that the sums come from
+    counted = reduce(lambda a, b: a + b, [F.col(name) for name in sums]) >= 0
+    edges = per_score.select(F.percentile_approx(F.when(counted, F.col("score")), steps)).scalar()
+    number = F.coalesce(F.size(F.filter("edges", lambda edge: edge < F.col("score"))), F.lit(0))
+    ranged = per_score.withColumn("edges", edges).select("score", *sums, number.alias("range")).repartition("range")
     lower_scores = (
         Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -113,22 +134,41 @@ def area_under_roc(df: DataFrame, label: str, score: str, count: str | None = No
     summed = (
         ranged.withColumn("twice_won", product(F.col("pos"), 2 * below + F.col("neg")))
         .groupBy("range")
-        .agg(
-            F.min("score").alias("lowest"),
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-            F.sum("twice_won").alias("twice_won"),
-        )
+        .agg(*(F.sum(name).alias(name) for name in [*sums, "twice_won"]))
     )
-    lower_ranges = Window.orderBy("lowest").rowsBetween(Window.unboundedPreceding, -1)
+    lower_ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     total = summed.withColumn("below", F.coalesce(F.sum("neg").over(lower_ranges), zero)).agg(
-        F.coalesce(F.sum("pos"), zero).alias("positives"),
-        F.coalesce(F.sum("neg"), zero).alias("negatives"),
         F.sum(F.col("twice_won") + 2 * product(F.col("pos"), F.col("below"))).alias("twice_won"),
+        *(F.coalesce(F.sum(name), zero).alias(name) for name in sums),
     )
-    pairs = F.col("positives").cast("double") * F.col("negatives").cast("double")
+    pairs = F.col("pos").cast("double") * F.col("neg").cast("double")
     return total.select(
-        "positives",
-        "negatives",
+        F.col("pos").alias("positives"),
+        F.col("neg").alias("negatives"),
         F.when(pairs > 0, F.col("twice_won").cast("double") / (2 * pairs)).alias("auc"),
+        *(name for name in sums if name not in ("pos", "neg")),
+    )
+
+
+def binary_metrics(counts: DataFrame) -> DataFrame:
+    """All metrics of :func:`score_counts` as one row: those of :func:`weighted_metrics` and ``auc``, from one pass over the scores."""
+    row = area_of_scores(counts)
+    hits = {1: F.col("pos_hit"), 0: F.col("negatives") - F.col("neg_hit")}
+    support = {1: F.col("positives"), 0: F.col("negatives")}
+    predicted = {1: F.col("pos_hit") + F.col("neg_hit")}
+    predicted[0] = support[0] + support[1] - predicted[1]
+    rows = support[0] + support[1]
+
+    def weighted(values):
+        return (support[0] * values[0] + support[1] * values[1]) / rows
+
+    recall = {c: _ratio(hits[c], support[c]) for c in (0, 1)}
+    return row.select(
+        rows.alias("n"),
+        ((hits[0] + hits[1]) / rows).alias("accuracy"),
+        weighted({c: _ratio(hits[c], predicted[c]) for c in (0, 1)}).alias("weighted_precision"),
+        weighted(recall).alias("weighted_recall"),
+        weighted({c: _ratio(2 * hits[c], support[c] + predicted[c]) for c in (0, 1)}).alias("f1"),
+        F.when((support[0] > 0) | (predicted[0] > 0), recall[0]).alias("recall_negative"),
+        "auc",
     )

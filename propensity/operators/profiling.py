@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quoted(name: str) -> str:
@@ -11,9 +12,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def null_counts(df: DataFrame) -> list[Column]:
-    """One aggregate per column: its number of NULLs."""
-    return [F.count_if(F.col(quoted(name)).isNull()).alias(name) for name in df.columns]
+def is_empty(df: DataFrame, name: str, nan_is_null: bool = False) -> Column:
+    """Whether a field is NULL; with ``nan_is_null`` also whether it is NaN."""
+    column = F.col(quoted(name))
+    if nan_is_null and isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return column.isNull() | F.isnan(column)
+    return column.isNull()
+
+
+def null_counts(df: DataFrame, nan_is_null: bool = False) -> list[Column]:
+    """One aggregate per column: its number of empty fields."""
+    return [F.count_if(is_empty(df, name, nan_is_null)).alias(name) for name in df.columns]
 
 
 def missing_report(df: DataFrame) -> DataFrame:

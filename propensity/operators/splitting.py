@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.functions.keyhash import hash_bucket
+from propensity.functions.keyhash import FOLD_INCREMENT, FOLD_MULTIPLIER, hash_bucket
 
 
 def with_split(df: DataFrame, key: str, train_percent: int = 80) -> DataFrame:
@@ -33,8 +33,12 @@ def random_split(df: DataFrame, train_share: float = 0.8, seed: int = 42) -> tup
 
 
 def with_fold(df: DataFrame, key: str, folds: int = 3, column: str = "fold") -> DataFrame:
-    """Add the cross-validation fold of each row, an int in [0, folds), from its key."""
-    return df.withColumn(column, hash_bucket(F.col(key), folds).cast("int"))
+    """Add the cross-validation fold of each row, an int in [0, folds), from its key.
+
+    Folds come from another hash than the split, so that within either side of it all folds are alike.
+    """
+    fold = hash_bucket(F.col(key), folds, FOLD_MULTIPLIER, FOLD_INCREMENT)
+    return df.withColumn(column, fold.cast("int"))
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

@@ -30,9 +30,11 @@ from pyspark.ml.util import (
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from propensity.functions.literals import literal_map
 from propensity.operators.lookup import MAX_BROADCAST_BYTES, join_lookup
+from propensity.operators.splitting import with_fold
 from propensity.session import scratch_path
 
 # Bytes of a lookup row next to its category text: counts, encoding and row overhead.
@@ -87,24 +89,63 @@ class _TargetEncoderParams(HasInputCol, HasOutputCol, HasLabelCol):
         "size up to which the lookup is broadcast",
         typeConverter=TypeConverters.toInt,
     )
+    outOfFold = Param(
+        Params._dummy(),
+        "outOfFold",
+        "folds by which training rows are encoded without their own label; 0: like all other rows",
+        typeConverter=TypeConverters.toInt,
+    )
+    keyCol = Param(
+        Params._dummy(), "keyCol", "row key that decides the fold", typeConverter=TypeConverters.toString
+    )
 
     def __init__(self):
         super().__init__()
-        self._setDefault(smoothing="auto", maxBroadcastBytes=MAX_BROADCAST_BYTES)
+        self._setDefault(smoothing="auto", maxBroadcastBytes=MAX_BROADCAST_BYTES, outOfFold=0)
 
 
 class AutoTargetEncoder(Estimator, _TargetEncoderParams, DefaultParamsReadable, DefaultParamsWritable):
     """Learns one number per category from a 0/1 label.
 
     Fitting is one aggregate over two columns. Its result, one row per category, is written to the shared
-    folder: later transforms read it back instead of aggregating the training rows again.
+    folder: later transforms read it back instead of aggregating the training rows again. So a fitted model
+    lives as long as that table: save it, and load it from there, before the folder is cleaned.
+
+    With ``outOfFold`` folds, :meth:`encode_training` gives the rows that the next stages are to be fitted on: each encoded
+    from the other folds only. Fitting and scoring are not affected.
     """
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, labelCol=None, smoothing=None, maxBroadcastBytes=None):
+    def __init__(
+        self,
+        *,
+        inputCol=None,
+        outputCol=None,
+        labelCol=None,
+        smoothing=None,
+        maxBroadcastBytes=None,
+        outOfFold=None,
+        keyCol=None,
+    ):
         super().__init__()
         self._set(**self._input_kwargs)
 
+    def encode_training(self, dataset: DataFrame, model: AutoTargetEncoderModel) -> DataFrame:
+        """Training rows for the stages behind this one."""
+        folds = self.getOrDefault("outOfFold")
+        if not folds:
+            return model.transform(dataset)
+        return out_of_fold_encode(
+            with_fold(dataset, self.getOrDefault("keyCol"), folds, "__fold"),
+            self.getInputCol(),
+            self.getLabelCol(),
+            "__fold",
+            self.getOutputCol(),
+            folds,
+            self.getOrDefault("smoothing"),
+            self.getOrDefault("maxBroadcastBytes"),
+        ).drop("__fold")
+
     def _fit(self, dataset: DataFrame) -> AutoTargetEncoderModel:
         spark = dataset.sparkSession
         counts_path = scratch_path(spark, "category-counts")
@@ -225,6 +266,10 @@ def out_of_fold_encode(
     category_counts(pairs, ["category", "fold"], "label").write.parquet(path)
     counts = spark.read.parquet(path)
 
+    bounds = counts.agg(F.min("fold").alias("low"), F.max("fold").alias("high"), F.count_if(F.col("fold").isNull()).alias("none")).first()
+    whole = isinstance(df.schema[fold].dataType, IntegralType)
+    if not whole or bounds["none"] or (bounds["low"] is not None and not 0 <= bounds["low"] <= bounds["high"] < folds):
+        raise ValueError(f"column {fold!r} must hold integers in [0, {folds})")
     # one row per fold reaches the driver
     by_fold = {
         row["fold"]: row
@@ -235,11 +280,8 @@ def out_of_fold_encode(
             F.sum("unusable").alias("unusable"),
             F.sum(F.octet_length(F.col("category").cast("string")) + ROW_BYTES).alias("bytes"),
         )
-        .limit(folds + 1)
         .collect()
     }
-    if not set(by_fold) <= set(range(folds)):
-        raise ValueError(f"column {fold!r} must hold integers in [0, {folds})")
     if any(row["unusable"] for row in by_fold.values()):
         raise ValueError("labels must be 0 or 1")
     rows = sum(row["n"] for row in by_fold.values())

@@ -1,6 +1,7 @@
 """The queries once more as plain SQL, written independently of the DataFrame code: ``name -> SQL``.
 
-The learners and searches have no SQL form and no entry here; their tests check properties instead.
+Most learners and searches have no SQL form and no entry here; their tests check properties instead. Those with one input or one
+split do have one, and run the same code.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ appointments AS (
   FROM visits
 ),
 hashed AS (
-  SELECT *, (appointment_id * 1103515245 + 12345) % 2147483647 AS h FROM appointments
+  SELECT *, (appointment_id * 1103515245 + 12345) % 2147483647 AS h,
+         (appointment_id * 1566083941 + 2531011) % 2147483647 AS fold_h
+  FROM appointments
 ),
 split_rows AS (
   SELECT *, h % 100 AS bucket, CASE WHEN h % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM hashed
@@ -126,7 +129,7 @@ def encoding(source: str, name: str, smoothing: str) -> str:
 
 
 OUT_OF_FOLD = """
-folded AS (SELECT *, h % 3 AS fold FROM gaps_train),
+folded AS (SELECT *, fold_h % 3 AS fold FROM gaps_train),
 others AS (
   SELECT a.appointment_id,
          (SELECT count(*) FROM folded x WHERE x.fold <> a.fold) AS rows_out,
@@ -188,8 +191,6 @@ ranks AS (
 )
 """
 
-SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
-
 
 def one_hot(names: list[str]) -> str:
     return ", ".join(f"CAST(gender_index = {i} AS DOUBLE) AS {name}" for i, name in enumerate(names))
@@ -201,6 +202,82 @@ def minmax(columns: list[str]) -> str:
     )
 
 
+# --- learners with a closed form -------------------------------------------------------------------------
+
+FLAGS = ["scholarship", "hypertension", "diabetes", "alcoholism", "handicap", "sms_received"]
+WEIGHTED = "weighted AS (SELECT *, CASE WHEN showed_up = 1 THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END AS w FROM train)"
+#: weight and weighted positives on each side of each flag; impurity is what Gini and variance have in common
+SPLITS = (
+    "sides AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS place, '{c}' AS flag, {c} AS side, sum(w) AS w, sum(w * showed_up) AS pos FROM weighted GROUP BY {c}"
+        for i, c in enumerate(FLAGS)
+    )
+    + """),
+best AS (SELECT flag FROM sides GROUP BY flag, place ORDER BY sum(pos * (w - pos) / w), place LIMIT 1),
+leaves AS (SELECT side, pos / w AS share FROM sides JOIN best USING (flag)),
+placed AS (
+  SELECT t.*, l.share FROM labelled t, best b JOIN leaves l ON l.side = CASE b.flag """
+    + " ".join(f"WHEN '{c}' THEN t.{c}" for c in FLAGS)
+    + """ END
+  WHERE t.split = 'test'
+)"""
+)
+
+
+def scored_rows(probability: str) -> str:
+    value = f"floor(({probability}) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+    return f"SELECT appointment_id, showed_up, {value} AS probability, CAST(share > 0.5 AS DOUBLE) AS prediction FROM placed"
+
+
+FOLD_AREAS = """
+fold_scores AS (
+  SELECT fold_h % 3 AS fold, date_diff, sum(showed_up) AS p, sum(1 - showed_up) AS n FROM train GROUP BY ALL
+),
+fold_below AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY fold ORDER BY date_diff DESC
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM fold_scores
+),
+areas AS (SELECT fold, sum(p * (b + n / 2)) / (sum(p) * sum(n)) AS area FROM fold_below GROUP BY fold)
+"""
+
+BOARD = """
+inputs AS (
+  SELECT showed_up AS y, unnest(['fixed', 'inverted', 'one input']) AS model,
+         unnest([margin, -margin, 15.5 - date_diff]) AS score
+  FROM margins
+),
+per_score AS (
+  SELECT model, score, sum(y) AS p, sum(1 - y) AS n FROM inputs GROUP BY ALL
+),
+lower_scores AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM per_score
+),
+area AS (SELECT model, sum(p * (b + n / 2)) / (sum(p) * sum(n)) AS auc FROM lower_scores GROUP BY model),
+cells AS (
+  SELECT model, count(*)::DOUBLE AS total,
+         count_if(y = 1 AND score > 0) AS tp, count_if(y = 0 AND score > 0) AS fp,
+         count_if(y = 1 AND NOT score > 0) AS fn, count_if(y = 0 AND NOT score > 0) AS tn
+  FROM inputs GROUP BY model
+),
+shares AS (
+  SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tn / nullif(tn + fn, 0), 0) AS p0,
+         coalesce(tp / nullif(tp + fn, 0), 0) AS r1, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
+         (tp + fn) / total AS s1, (tn + fp) / total AS s0
+  FROM cells
+),
+values_of AS (
+  SELECT model, unnest(['accuracy', 'f1', 'weighted_precision', 'weighted_recall', 'recall_negative', 'auc']) AS metric,
+         unnest([(tp + tn) / total,
+                 s1 * coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) + s0 * coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0),
+                 s1 * p1 + s0 * p0, s1 * r1 + s0 * r0, r0, auc]) AS value
+  FROM shares JOIN area USING (model)
+),
+board AS (SELECT model, CAST(rank() OVER (ORDER BY auc DESC, model) AS BIGINT) AS rank FROM area)
+"""
+
 ORACLES: dict[str, str] = {
     "scan_csv": with_tables(
         "SELECT "
@@ -240,7 +317,7 @@ ORACLES: dict[str, str] = {
     ),
     "hash_split": with_tables("SELECT appointment_id, bucket, split FROM split_rows"),
     "split_sizes": with_tables("SELECT split, count(*) AS n FROM split_rows GROUP BY split"),
-    "kfold_assign": with_tables("SELECT appointment_id, h % 3 AS fold FROM hashed"),
+    "kfold_assign": with_tables("SELECT appointment_id, fold_h % 3 AS fold FROM hashed"),
     "date_parts": with_tables(
         "SELECT appointment_id, "
         + ", ".join(
@@ -269,8 +346,10 @@ ORACLES: dict[str, str] = {
         + f" FROM train WHERE {VALID_BASE})",
     ),
     "string_index": with_tables(
-        "SELECT appointment_id, gender, gender_index FROM appointments JOIN ranks USING (gender)",
-        INDEXED.format(source="appointments"),
+        "SELECT appointment_id, gender, gender_index FROM seen JOIN ranks USING (gender)",
+        "seen AS (SELECT * REPLACE (CASE WHEN split = 'test' AND appointment_id % 71 = 3 THEN 'UNSEEN' ELSE gender END "
+        "AS gender) FROM split_rows), seen_train AS (SELECT * FROM seen WHERE split = 'train')",
+        INDEXED.format(source="seen_train"),
     ),
     "one_hot": with_tables(
         f"SELECT appointment_id, {one_hot([f'gender_vec_{i}' for i in range(4)])} "
@@ -361,7 +440,32 @@ ORACLES: dict[str, str] = {
         RANKED,
     ),
     "model_roundtrip": with_tables(
-        "SELECT appointment_id, 1::BIGINT AS same_score FROM labelled "
+        "SELECT appointment_id, 1::BIGINT AS same_lr, 1::BIGINT AS same_rf, 1::BIGINT AS same_gbt FROM labelled "
         f"WHERE split = 'test' AND gender IS NOT NULL AND {VALID_BASE}"
     ),
+    "lr_closed_form": with_tables(
+        "SELECT '(intercept)' AS feature, floor(b0 * 1e5::DOUBLE + 0.5::DOUBLE) / 1e5::DOUBLE AS coefficient FROM odds "
+        "UNION ALL SELECT 'sms_received', floor((b1 - b0) * 1e5::DOUBLE + 0.5::DOUBLE) / 1e5::DOUBLE FROM odds",
+        WEIGHTED,
+        "odds AS (SELECT "
+        + ", ".join(
+            f"ln(sum(w * showed_up) FILTER (WHERE sms_received = {v}) "
+            f"/ sum(w * (1 - showed_up)) FILTER (WHERE sms_received = {v})) AS b{v}"
+            for v in (0, 1)
+        )
+        + " FROM weighted)",
+    ),
+    "tree_stump": with_tables(scored_rows("share"), WEIGHTED, SPLITS),
+    "gbt_first_tree": with_tables(scored_rows("1 / (1 + exp(-2 * (2 * share - 1)))"), WEIGHTED, SPLITS),
+    "cv_one_feature": with_tables(
+        "SELECT params, "
+        + rounded("(SELECT sum(area) / 3 FROM areas)", "avg_metric")
+        + " FROM (VALUES ('{\"regParam\": 0.01}'), ('{\"regParam\": 0.1}')) grid(params)",
+        FOLD_AREAS,
+    ),
+    "leaderboard_fixed": with_tables(
+        f"SELECT rank, model, metric, {rounded('value', 'value')} FROM values_of JOIN board USING (model)",
+        SCORES,
+        BOARD,
+    ),
 }

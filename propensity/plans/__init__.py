@@ -5,6 +5,7 @@ from propensity.plans.features import (
     FEATURE_SETS,
     feature_names,
     feature_stages,
+    needed_columns,
     scaled_features,
 )
 from propensity.plans.learners import (
@@ -13,8 +14,15 @@ from propensity.plans.learners import (
     logistic_regression,
     random_forest,
 )
-from propensity.plans.training import PreparedData, fit_out_of_fold, prepare, training_pipeline
+from propensity.plans.training import (
+    PreparedData,
+    compare_learners,
+    fit_out_of_fold,
+    prepare,
+    training_pipeline,
+)
 from propensity.plans.tuning import (
+    TrainingPipeline,
     cross_validate,
     full_logistic_grid,
     search_table,
@@ -23,7 +31,9 @@ from propensity.plans.tuning import (
 __all__ = [
     "FEATURE_SETS",
     "PreparedData",
+    "TrainingPipeline",
     "coefficient_table",
+    "compare_learners",
     "cross_validate",
     "feature_names",
     "feature_stages",
@@ -33,6 +43,7 @@ __all__ = [
     "leaderboard",
     "logistic_regression",
     "model_metrics",
+    "needed_columns",
     "prepare",
     "random_forest",
     "scaled_features",

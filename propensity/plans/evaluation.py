@@ -9,10 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.operators.metrics import area_under_roc, confusion_matrix, score_counts, weighted_metrics
+from propensity.operators.metrics import binary_metrics, score_counts
 from propensity.schema import LABEL
 
-METRICS = ["accuracy", "f1", "weighted_precision", "weighted_recall", "recall_negative"]
+METRICS = ["accuracy", "f1", "weighted_precision", "weighted_recall", "recall_negative", "auc"]
 
 
 def with_score(predictions: DataFrame, column: str = "score") -> DataFrame:
@@ -23,20 +23,14 @@ def with_score(predictions: DataFrame, column: str = "score") -> DataFrame:
 def model_metrics(predictions: DataFrame, model: str) -> DataFrame:
     """All metrics of one scored frame as rows ``(model, metric, value)``.
 
-    The rows are scored and grouped once; the confusion matrix and the ROC area share that grouping.
+    The rows are scored and grouped once; all metrics come from that grouping.
     """
     scored = with_score(predictions).select(
         F.col(LABEL).alias("label"), F.col("prediction"), F.col("score")
     )
     counts = score_counts(scored, "label", "prediction", "score")
-    by_class = weighted_metrics(confusion_matrix(counts, count="n"))
-    ranking = area_under_roc(counts, "label", "score", count="n")
-
-    def rows(frame, names):
-        pairs = [F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in names]
-        return frame.select(F.lit(model).alias("model"), F.inline(F.array(*pairs)))
-
-    return rows(by_class, METRICS).unionByName(rows(ranking, ["auc"]))
+    pairs = [F.struct(F.lit(name).alias("metric"), F.col(name).alias("value")) for name in METRICS]
+    return binary_metrics(counts).select(F.lit(model).alias("model"), F.inline(F.array(*pairs)))
 
 
 def leaderboard(predictions: Mapping[str, DataFrame]) -> DataFrame:

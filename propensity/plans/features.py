@@ -3,8 +3,9 @@
 ``base8``     the eight numeric columns
 ``backup17``  base8, eight cyclical date columns and the one-hot gender
 ``full``      backup17 and the target-encoded neighborhood
+``columns``   the numeric columns that the caller names, and nothing else
 
-Every set runs the gender indexer, so every set drops rows without a known gender, as well as rows with NULL
+Every set but the last runs the gender indexer, so they drop rows without a known gender. All drop rows with NULL
 or NaN in a numeric input.
 """
 
@@ -25,11 +26,21 @@ from propensity.schema import (
     HIGH_CARDINALITY,
     LABEL,
     LOW_CARDINALITY,
+    ROW_KEY,
 )
 
 FEATURES = "features"
 SCALED_FEATURES = "scaled_features"
-FEATURE_SETS = ("base8", "backup17", "full")
+FEATURE_SETS = ("base8", "backup17", "full", "columns")
+
+
+def needed_columns(feature_set: str = "full", columns: Sequence[str] = ()) -> list[str]:
+    """Columns that a feature set reads."""
+    if feature_set == "columns":
+        return list(columns)
+    dates = DATE_COLUMNS if feature_set in ("backup17", "full") else []
+    categories = [LOW_CARDINALITY] + ([HIGH_CARDINALITY] if feature_set == "full" else [])
+    return [*BASE_COLUMNS, *dates, *categories]
 
 
 def feature_stages(
@@ -37,21 +48,35 @@ def feature_stages(
     scale: bool = False,
     date_parts: Sequence[str] = ("month", "dayofyear"),
     smoothing: str | float = "auto",
+    out_of_fold: int = 0,
+    key: str = ROW_KEY,
+    columns: Sequence[str] = (),
 ) -> list[Estimator | Transformer]:
     """The unfitted stages that turn a cleaned row into the ``features`` vector.
 
     The target encoder comes first, so that it learns from all training rows, also those that a later stage
-    drops. ``scale`` appends a min-max scaler, fitted with the rest, whose output is ``scaled_features``.
+    drops. With ``out_of_fold`` folds (by ``key``) a training pipeline fits what follows on encodings that leave
+    out a row's own label. ``columns`` names the inputs of the set of that name. ``scale`` appends a min-max scaler, fitted with the rest, whose output is ``scaled_features``.
     """
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"unknown feature set {feature_set!r}; known: {FEATURE_SETS}")
     stages: list[Estimator | Transformer] = []
+    if feature_set == "columns":
+        if not columns:
+            raise ValueError("the feature set 'columns' needs columns")
+        stages.append(VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="skip"))
+        return [*stages, scaled_features()] if scale else stages
     inputs = list(BASE_COLUMNS)
     if feature_set == "full":
         encoded = f"{HIGH_CARDINALITY}_te"
         stages.append(
             AutoTargetEncoder(
-                inputCol=HIGH_CARDINALITY, outputCol=encoded, labelCol=LABEL, smoothing=smoothing
+                inputCol=HIGH_CARDINALITY,
+                outputCol=encoded,
+                labelCol=LABEL,
+                smoothing=smoothing,
+                outOfFold=out_of_fold,
+                keyCol=key,
             )
         )
     if feature_set in ("backup17", "full"):

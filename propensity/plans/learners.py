@@ -18,6 +18,7 @@ def logistic_regression(
     elastic_net: float = 0.0,
     features: str = FEATURES,
     weight: str | None = WEIGHT,
+    tolerance: float = 1e-6,
 ) -> LogisticRegression:
     """Logistic regression; ``reg_param=0`` fits without regularization, ``weight=None`` without weights."""
     learner = LogisticRegression(
@@ -26,16 +27,30 @@ def logistic_regression(
         regParam=reg_param,
         elasticNetParam=elastic_net,
         maxIter=max_iter,
+        tol=tolerance,
     )
     return learner.setWeightCol(weight) if weight else learner
 
 
 def random_forest(
-    trees: int = 20, depth: int = 5, features: str = FEATURES, weight: str | None = WEIGHT, seed: int = SEED
+    trees: int = 20,
+    depth: int = 5,
+    features: str = FEATURES,
+    weight: str | None = WEIGHT,
+    seed: int = SEED,
+    bootstrap: bool = True,
+    columns_per_split: str = "auto",
 ) -> RandomForestClassifier:
-    """Random forest with a fixed seed."""
+    """Random forest with a fixed seed; without ``bootstrap`` every tree sees all rows once."""
     learner = RandomForestClassifier(
-        featuresCol=features, labelCol=LABEL, predictionCol="prediction", numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol=features,
+        labelCol=LABEL,
+        predictionCol="prediction",
+        numTrees=trees,
+        maxDepth=depth,
+        seed=seed,
+        bootstrap=bootstrap,
+        featureSubsetStrategy=columns_per_split,
     )
     return learner.setWeightCol(weight) if weight else learner
 

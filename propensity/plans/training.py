@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from propensity.operators.cleaning import drop_null_labels
-from propensity.operators.splitting import with_fold
-from propensity.operators.target_encoding import out_of_fold_encode
 from propensity.operators.weighting import (
     NEGATIVE_WEIGHT,
     POSITIVE_WEIGHT,
@@ -17,9 +17,10 @@ from propensity.operators.weighting import (
     with_class_weights,
 )
 from propensity.plans.features import feature_stages
-from propensity.plans.tuning import SharedFeaturesPipeline
+from propensity.plans.tuning import TrainingPipeline
 from propensity.schema import LABEL, ROW_KEY
-from propensity.sources.tables import stage_split
+from propensity.session import scratch
+from propensity.sources.tables import stage, stage_split
 
 
 class PreparedData(NamedTuple):
@@ -27,14 +28,26 @@ class PreparedData(NamedTuple):
     test: DataFrame
 
 
-def prepare(df: DataFrame, key: str = ROW_KEY, train_percent: int = 80, weights: str = "constant") -> PreparedData:
+def prepare(
+    df: DataFrame,
+    key: str = ROW_KEY,
+    train_percent: int = 80,
+    weights: str = "constant",
+    columns: list[str] | None = None,
+) -> PreparedData:
     """Drop unlabelled rows, split by key into a staged table, and weight the training side only.
 
     ``weights`` is ``"constant"`` (0.2 / 0.8) or ``"balanced"`` (from the class counts of the training side).
+    ``columns`` limits what is staged, next to key and label. Rows without a key are refused: all would fall on one side and
+    into one fold.
     """
     if weights not in ("constant", "balanced"):
         raise ValueError(f"weights are 'constant' or 'balanced', got {weights!r}")
-    train, test = stage_split(drop_null_labels(df, LABEL), key, train_percent)
+    columns = None if columns is None else [LABEL, *columns]
+    train, test = stage_split(drop_null_labels(df, LABEL), key, train_percent, columns)
+    keyless = train.filter(F.col(key).isNull()).count() + test.filter(F.col(key).isNull()).count()
+    if keyless:
+        raise ValueError(f"{keyless} rows have no {key!r}")
     positive, negative = (
         (POSITIVE_WEIGHT, NEGATIVE_WEIGHT) if weights == "constant" else balanced_weights(train, LABEL)
     )
@@ -43,9 +56,12 @@ def prepare(df: DataFrame, key: str = ROW_KEY, train_percent: int = 80, weights:
 
 def training_pipeline(
     learner: Estimator, feature_set: str = "full", scale: bool = False, **feature_options
-) -> SharedFeaturesPipeline:
-    """Feature stages and learner as one estimator, so that no statistic sees rows outside its training set."""
-    return SharedFeaturesPipeline(stages=[*feature_stages(feature_set, scale, **feature_options), learner])
+) -> TrainingPipeline:
+    """Feature stages and learner as one estimator, so that no statistic sees rows outside its training set.
+
+    Options are those of ``feature_stages``; with ``out_of_fold=3`` fits, searches and comparisons train on out-of-fold encodings.
+    """
+    return TrainingPipeline(stages=[*feature_stages(feature_set, scale, **feature_options), learner])
 
 
 def fit_out_of_fold(
@@ -57,16 +73,22 @@ def fit_out_of_fold(
     rare categories too much. Here the learner is trained on out-of-fold encodings. The result is a pipeline like
     any other: it scores new rows with the encoder fitted on all training rows.
     """
-    encoder, *others = feature_stages("full", scale)
-    fold = "__fold"
-    encoded = out_of_fold_encode(
-        with_fold(train, key, folds, fold),
-        encoder.getInputCol(),
-        encoder.getLabelCol(),
-        fold,
-        encoder.getOutputCol(),
-        folds,
-        encoder.getOrDefault("smoothing"),
-    ).drop(fold)
-    fitted = Pipeline(stages=[*others, learner]).fit(encoded)
-    return PipelineModel([encoder.fit(train), *fitted.stages])
+    return training_pipeline(learner, "full", scale, out_of_fold=folds, key=key).fit(train)
+
+
+def compare_learners(
+    learners: Mapping[str, Estimator], data: PreparedData, feature_set: str = "full", **feature_options
+) -> dict[str, DataFrame]:
+    """Scored test rows by learner, all fitted on the same encoded rows.
+
+    The feature stages are fitted once. Encoded rows of both sides are staged once; those of the training side are removed when
+    the learners are fitted.
+    """
+    pipelines = {name: training_pipeline(one, feature_set, **feature_options) for name, one in learners.items()}
+    first = next(iter(pipelines.values()))
+    features = first.fit_features(data.train)
+    held_out = stage(features.transform(data.test).select(*first.learner_columns()[:2]), "encoded-test")
+    with scratch(data.train.sparkSession):
+        encoded = stage(features.encoded, "encoded-train")
+        models = {name: pipeline.fit_learner(encoded) for name, pipeline in pipelines.items()}
+    return {name: model.transform(held_out) for name, model in models.items()}

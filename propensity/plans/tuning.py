@@ -1,85 +1,115 @@
-"""Cross-validated grid search over whole pipelines."""
+"""Training pipelines and cross-validated search over them."""
 
 from __future__ import annotations
 
+import contextvars
 import json
-import threading
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark import inheritable_thread_target, keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
+from propensity.operators.metrics import area_under_roc
 from propensity.operators.splitting import with_fold
+from propensity.operators.target_encoding import AutoTargetEncoder
+from propensity.plans.evaluation import with_score
 from propensity.schema import LABEL, ROW_KEY
+from propensity.session import scratch
+from propensity.sources.tables import stage
 
 FOLD = "fold"
+LAYOUT_PARTITIONS = 16
 
 
-class SharedFeaturesPipeline(Pipeline):
-    """A pipeline that, fitted for many settings of its last stage, fits the stages before it once.
+class FittedFeatures(NamedTuple):
+    """Fitted feature stages, and the training rows as the learner is to see them."""
 
-    Cross-validation asks for one model per grid point and fold. The encoders must be refitted per fold, but
-    not per grid point: a grid over the learner leaves them as they are. So their output is computed once per
-    fold, kept in executor memory or on executor disks while the fold's models are trained, and recomputed
-    from the lineage where an executor is lost.
+    stages: list[Transformer]
+    encoded: DataFrame
 
-    ``concurrent_fits`` is the number of models trained at a time. Input with no more partitions than cores
-    could not keep the cores busy for all of them but would cost each fit a task per partition and step; it is
-    merged so that the concurrent fits together fill the cores. Larger input keeps its partitions.
+    def transform(self, df: DataFrame) -> DataFrame:
+        for fitted in self.stages:
+            df = fitted.transform(df)
+        return df
+
+
+class TrainingPipeline(Pipeline):
+    """Feature stages with a learner behind them.
+
+    Fitting differs from that of a plain pipeline in three ways:
+
+    * A stage that reads columns of the training table learns from that table, not through the stages before it:
+      the plan of a category count has no join in it.
+    * A target encoder with out-of-fold folds hands on training rows encoded without their own label.
+    * Right before the learner, rows are dealt by ``layoutKey`` to ``layoutPartitions`` partitions and sorted by it. Forests
+      and boosting draw samples per partition; so the model depends on rows, seed and that declared number, and not on how
+      the input was laid out or how many cores there are. Set the number with the size of the table.
     """
 
-    concurrent_fits = 1
+    layoutPartitions = Param(
+        Params._dummy(), "layoutPartitions", "partitions that the learner sees", typeConverter=TypeConverters.toInt
+    )
+    layoutKey = Param(
+        Params._dummy(), "layoutKey", "row key by which rows are dealt and sorted", typeConverter=TypeConverters.toString
+    )
+
+    @keyword_only
+    def __init__(self, *, stages=None):
+        super().__init__(stages=stages)
+        self._setDefault(layoutPartitions=LAYOUT_PARTITIONS, layoutKey=ROW_KEY)
+
+    def learner(self) -> Estimator:
+        return self.getStages()[-1]
 
-    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, PipelineModel]]:
-        *feature_part, learner = self.getStages()
-        if any(param.parent != learner.uid for params in paramMaps for param in params):
-            return super().fitMultiple(dataset, paramMaps)
-        encoders = Pipeline(stages=feature_part).fit(dataset)
-        needed = [learner.getFeaturesCol(), learner.getLabelCol()]
+    def learner_columns(self) -> list[str]:
+        """Columns that the learner reads."""
+        learner = self.learner()
+        names = [learner.getFeaturesCol(), learner.getLabelCol()]
         if learner.isDefined("weightCol") and learner.getOrDefault("weightCol"):
-            needed.append(learner.getOrDefault("weightCol"))
-        encoded = encoders.transform(dataset).select(*needed)
-        cores = dataset.sparkSession.sparkContext.defaultParallelism
-        if dataset.rdd.getNumPartitions() <= cores:
-            encoded = encoded.coalesce(max(1, cores // self.concurrent_fits))
-        encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-        return _FittedInTurn(learner, encoders, encoded, paramMaps)
-
-
-class _FittedInTurn:
-    """Thread-safe iterator of ``(index, model)``; the last fit releases the shared features."""
-
-    def __init__(self, learner: Estimator, encoders: PipelineModel, encoded: DataFrame, paramMaps: Sequence[dict]):
-        self.learner = learner
-        self.encoders = encoders
-        self.encoded = encoded
-        self.param_maps = paramMaps
-        self.started = 0
-        self.finished = 0
-        self.lock = threading.Lock()
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> tuple[int, PipelineModel]:
-        with self.lock:
-            index = self.started
-            if index >= len(self.param_maps):
-                raise StopIteration
-            self.started += 1
-        try:
-            fitted = self.learner.fit(self.encoded, self.param_maps[index])
-        finally:
-            with self.lock:
-                self.finished += 1
-                if self.finished == len(self.param_maps):
-                    self.encoded.unpersist()
-        return index, PipelineModel([*self.encoders.stages, fitted])
+            names.append(learner.getOrDefault("weightCol"))
+        return names
+
+    def fit_features(self, train: DataFrame) -> FittedFeatures:
+        """Fit all stages but the learner."""
+        encoded, fitted = train, []
+        for part in self.getStages()[:-1]:
+            if not isinstance(part, Estimator):
+                model = part
+            else:
+                model = part.fit(train if _inputs_of(part) <= set(train.columns) else encoded)
+            fitted.append(model)
+            if isinstance(part, AutoTargetEncoder):
+                encoded = part.encode_training(encoded, model)
+            else:
+                encoded = model.transform(encoded)
+        key = self.getOrDefault("layoutKey")
+        return FittedFeatures(fitted, encoded.select(*dict.fromkeys([*self.learner_columns(), key])))
+
+    def fit_learner(self, encoded: DataFrame, params: dict | None = None) -> Model:
+        """Fit the learner on encoded rows in the declared layout."""
+        key = self.getOrDefault("layoutKey")
+        dealt = encoded.repartition(self.getOrDefault("layoutPartitions"), key).sortWithinPartitions(key)
+        return self.learner().fit(dealt.select(*self.learner_columns()), params or {})
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        features = self.fit_features(dataset)
+        return PipelineModel([*features.stages, self.fit_learner(features.encoded)])
+
+
+def _inputs_of(part: Estimator) -> set[str]:
+    names = []
+    for param in ("inputCol", "inputCols", "labelCol"):
+        if part.hasParam(param) and part.isDefined(param):
+            value = part.getOrDefault(param)
+            names += [value] if isinstance(value, str) else value
+    return set(names)
 
 
 def full_logistic_grid(learner: LogisticRegression) -> list[dict]:
@@ -104,26 +134,70 @@ def full_logistic_grid(learner: LogisticRegression) -> list[dict]:
     return penalized + free
 
 
+def _in_threads(spark: SparkSession, parallelism: int, call: Callable, tasks: Iterable[tuple]) -> list:
+    """Results of ``call(*task)`` in order; threads share the session's properties and the scratch scope."""
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        futures = [
+            pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(call), *task) for task in tasks
+        ]
+        return [future.result() for future in futures]
+
+
+def exact_area(model: Model, encoded: DataFrame) -> float:
+    """Area under ROC of a learner on encoded rows."""
+    area = area_under_roc(with_score(model.transform(encoded)), LABEL, "score").first()["auc"]
+    if area is None:
+        raise ValueError("a fold has rows of one class only")
+    return area
+
+
 def cross_validate(
-    pipeline: Pipeline,
+    pipeline: TrainingPipeline,
     grid: list[dict],
     train: DataFrame,
     key: str = ROW_KEY,
     folds: int = 3,
     parallelism: int = 4,
 ) -> CrossValidatorModel:
-    """Search ``grid`` by mean area under ROC over key-hashed folds and refit the best point on all rows."""
-    if isinstance(pipeline, SharedFeaturesPipeline):
-        pipeline.concurrent_fits = min(parallelism, len(grid))
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC"),
-        numFolds=folds,
-        foldCol=FOLD,
-        parallelism=parallelism,
-    )
-    return search.fit(with_fold(train, key, folds, FOLD))
+    """Search ``grid`` by mean exact area under ROC over key-hashed folds and refit the best point on all rows.
+
+    Encoders are fitted once per fold and setting of the feature stages. The encoded rows of both sides of a fold, which are
+    all that learners and metrics need, are written to the shared folder once, used by all points, and removed at the
+    end. Nothing is cached. ``parallelism`` is the number of jobs that run at a time; the scheduler shares the cores.
+    """
+    spark = train.sparkSession
+    folded = with_fold(train, key, folds, FOLD)
+    learner = pipeline.learner()
+    settings: dict[tuple, dict] = {}
+    setting_of = []
+    for params in grid:
+        features = {param: value for param, value in params.items() if param.parent != learner.uid}
+        name = tuple(sorted((param.parent, param.name, str(value)) for param, value in features.items()))
+        settings.setdefault(name, features)
+        setting_of.append(name)
+
+    def encode(fold: int, name: tuple) -> tuple[DataFrame, DataFrame]:
+        features = pipeline.copy(settings[name]).fit_features(folded.filter(f"{FOLD} != {fold}").drop(FOLD))
+        held_out = features.transform(folded.filter(f"{FOLD} = {fold}").drop(FOLD))
+        return stage(features.encoded, "fold-train"), stage(
+            held_out.select(*pipeline.learner_columns()[:2]), "fold-test"
+        )
+
+    def evaluate(fold: int, point: int) -> float:
+        rows, held_out = encoded[fold, setting_of[point]]
+        params = {param: value for param, value in grid[point].items() if param.parent == learner.uid}
+        return exact_area(pipeline.fit_learner(rows, params), held_out)
+
+    with scratch(spark):
+        parts = [(fold, name) for fold in range(folds) for name in settings]
+        encoded = dict(zip(parts, _in_threads(spark, parallelism, encode, parts)))
+        points = [(fold, point) for fold in range(folds) for point in range(len(grid))]
+        areas = np.array(_in_threads(spark, parallelism, evaluate, points)).reshape(folds, len(grid))
+
+    averages = areas.mean(axis=0).tolist()
+    best = pipeline.fit(train, grid[int(np.argmax(averages))])
+    model = CrossValidatorModel(best, avgMetrics=averages, stdMetrics=areas.std(axis=0).tolist())
+    return model._set(estimator=pipeline, estimatorParamMaps=grid, numFolds=folds)
 
 
 def search_table(spark: SparkSession, model: CrossValidatorModel) -> DataFrame:

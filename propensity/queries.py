@@ -8,10 +8,13 @@ engines.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,14 @@ from propensity.functions.dates import PERIODS
 from propensity.plans import (
     PreparedData,
     coefficient_table,
+    compare_learners,
     cross_validate,
     feature_names,
     feature_stages,
     gradient_boosted_trees,
     leaderboard,
     logistic_regression,
+    needed_columns,
     prepare,
     random_forest,
     search_table,
@@ -117,7 +122,12 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = "propensity_appointments"
+    # a name of its own for each call; what calls before it in this application registered is dropped
+    prefix = "propensity_appointments_" + re.sub("[^a-z0-9]", "_", spark.sparkContext.applicationId.lower())
+    for old in spark.catalog.listTables():
+        if old.name.startswith(prefix):
+            spark.sql(f"DROP TABLE IF EXISTS `{old.name}`")
+    table = f"{prefix}_{uuid.uuid4().hex}"
     sources.write_table(
         op.with_split(appointments(spark, sf_dir), ROW_KEY),
         table,
@@ -286,9 +296,13 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = appointments(spark, sf_dir)
+    rows = op.with_split(appointments(spark, sf_dir), ROW_KEY).withColumn(
+        LOW_CARDINALITY,
+        F.when((F.col("split") == "test") & key_is(71, 3), F.lit("UNSEEN")).otherwise(F.col(LOW_CARDINALITY)),
+    )
     indexer = StringIndexer(inputCol=LOW_CARDINALITY, outputCol="gender_index", handleInvalid="skip")
-    return indexer.fit(rows).transform(rows).select(ROW_KEY, LOW_CARDINALITY, "gender_index")
+    model = indexer.fit(rows.filter("split = 'train'"))
+    return model.transform(rows).select(ROW_KEY, LOW_CARDINALITY, "gender_index")
 
 
 @query
@@ -354,8 +368,8 @@ def target_encode_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op.drop_null_labels(appointments(spark, sf_dir, spread=True), LABEL)
-    encoded = Pipeline(stages=feature_stages("full")).fit(training_rows(rows)).transform(rows)
+    train, test = sources.stage_split(labelled(spark, sf_dir), ROW_KEY, columns=[LABEL, *needed_columns("full")])
+    encoded = Pipeline(stages=feature_stages("full")).fit(train).transform(train.unionByName(test))
     names = feature_names(encoded)
     # which genders get an indicator depends on their frequencies, so these are numbered
     genders = [name for name in names if name.startswith("gender_vec")]
@@ -422,8 +436,12 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- learners --------------------------------------------------------------------------------------------
 
 
-def prepared(spark: SparkSession, sf_dir: str, **options) -> PreparedData:
-    return prepare(appointments(spark, sf_dir, spread=True), **options)
+def prepared(spark: SparkSession, sf_dir: str, feature_set: str = "full", columns: list[str] = ()) -> PreparedData:
+    return prepare(appointments(spark, sf_dir), columns=needed_columns(feature_set, columns))
+
+
+#: inputs with the values 0 and 1 only
+FLAGS = ["scholarship", "hypertension", "diabetes", "alcoholism", "handicap", "sms_received"]
 
 
 def predictions(model, test: DataFrame) -> DataFrame:
@@ -450,7 +468,7 @@ def lr_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lr_unregularized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = prepared(spark, sf_dir)
+    data = prepared(spark, sf_dir, "backup17")
     learner = logistic_regression(reg_param=0.0)
     return predictions(training_pipeline(learner, "backup17").fit(data.train), data.test)
 
@@ -469,31 +487,86 @@ def gbt_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the test side with whether the loaded pipeline scores them like the fitted one."""
+    """Rows of the test side with whether each kind of loaded pipeline scores them like the fitted one."""
     data = prepared(spark, sf_dir)
-    model = training_pipeline(logistic_regression(), scale=True).fit(data.train)
-    path = scratch_path(spark, "model")
-    sources.save_pipeline(model, path)
-    loaded = sources.load_pipeline(path)
-    given = data.test.withColumn("given", F.struct(*data.test.columns))
-    before = model.transform(given).select(
-        "given.*", F.col("probability").alias("p_before"), F.col("prediction").alias("y_before")
-    )
-    same = (F.col("probability") == F.col("p_before")) & (F.col("prediction") == F.col("y_before"))
-    return loaded.transform(before).select(ROW_KEY, same.cast("bigint").alias("same_score"))
+    learners = {"lr": logistic_regression(), "rf": random_forest(), "gbt": gradient_boosted_trees()}
+    scored = data.test.withColumn("given", F.struct(*data.test.columns))
+    kept = [ROW_KEY]
+    for name, learner in learners.items():
+        model = training_pipeline(learner, scale=True).fit(data.train)
+        path = scratch_path(spark, "model")
+        sources.save_pipeline(model, path)
+        before = model.transform(scored.select("given", "given.*", *kept[1:])).select(
+            "given", "given.*", *kept[1:], F.col("probability").alias("p_before"), F.col("prediction").alias("y_before")
+        )
+        same = (F.col("probability") == F.col("p_before")) & (F.col("prediction") == F.col("y_before"))
+        kept.append(f"same_{name}")
+        scored = sources.load_pipeline(path).transform(before).withColumn(kept[-1], same.cast("bigint"))
+    return scored.select(*kept)
 
 
 @query
 def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = prepared(spark, sf_dir)
     learners = {
         "logistic regression": logistic_regression(),
         "random forest": random_forest(),
         "gradient-boosted trees": gradient_boosted_trees(),
     }
-    return leaderboard(
-        {name: training_pipeline(learner).fit(data.train).transform(data.test) for name, learner in learners.items()}
-    )
+    return leaderboard(compare_learners(learners, prepared(spark, sf_dir)))
+
+
+# --- learners with a closed form -------------------------------------------------------------------------
+
+
+@query
+def lr_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one binary input, intercept and slope are log odds of weighted counts."""
+    inputs = ["sms_received"]
+    data = prepared(spark, sf_dir, "columns", inputs)
+    learner = logistic_regression(reg_param=0.0, max_iter=200, tolerance=1e-12)
+    model = training_pipeline(learner, "columns", columns=inputs).fit(data.train)
+    return coefficient_table(spark, model, inputs).select("feature", *rounded(["coefficient"], 5))
+
+
+@query
+def tree_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree with one split: the flag with the best weighted Gini gain, and the weighted shares on its sides."""
+    data = prepared(spark, sf_dir, "columns", FLAGS)
+    learner = random_forest(trees=1, depth=1, bootstrap=False, columns_per_split="all")
+    return predictions(training_pipeline(learner, "columns", columns=FLAGS).fit(data.train), data.test)
+
+
+@query
+def gbt_first_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first step of boosting: a leaf is the weighted mean of 2y - 1, half the log odds of the score."""
+    data = prepared(spark, sf_dir, "columns", FLAGS)
+    learner = gradient_boosted_trees(iterations=1, depth=1)
+    return predictions(training_pipeline(learner, "columns", columns=FLAGS).fit(data.train), data.test)
+
+
+@query
+def cv_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one input, the area of any logistic regression is the rank statistic of that input, fold by fold."""
+    learner = logistic_regression()
+    grid = ParamGridBuilder().addGrid(learner.regParam, [0.01, 0.1]).build()
+    data = prepared(spark, sf_dir, "columns", ["date_diff"])
+    search = cross_validate(training_pipeline(learner, "columns", columns=["date_diff"]), grid, data.train)
+    return search_table(spark, search).select("params", *rounded(["avg_metric"]))
+
+
+@query
+def leaderboard_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three linear scores with given coefficients, compared like fitted models."""
+    rows = op.skip_invalid_rows(labelled(spark, sf_dir), list(LINEAR_COEFFICIENTS))
+    fixed = linear_score(LINEAR_COEFFICIENTS, LINEAR_INTERCEPT)["margin"]
+
+    def scored(margin: Column) -> DataFrame:
+        raw = array_to_vector(F.array(-margin, margin))
+        return rows.select(LABEL, raw.alias("rawPrediction"), (margin > 0).cast("double").alias("prediction"))
+
+    models = {"fixed": fixed, "inverted": -fixed, "one input": 15.5 - F.col("date_diff")}
+    board = leaderboard({name: scored(margin) for name, margin in models.items()})
+    return board.select("rank", "model", "metric", *rounded(["value"]))
 
 
 # --- searches --------------------------------------------------------------------------------------------

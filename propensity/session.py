@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_scope: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def build_session(app_name: str = "propensity", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on.
@@ -51,5 +56,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in the innermost :func:`scratch` scope if there is one."""
+    return f"{_scope.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system that the session knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables made inside, removed at the end whatever happens.
+
+    Frames that read such tables are of no use afterwards. Threads join the scope if they run in a copy of
+    the context (``contextvars.copy_context``).
+    """
+    folder = scratch_path(spark, "scratch")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        remove_path(spark, folder)

@@ -2,14 +2,14 @@
 
 from propensity.sources.csv import scan_csv, write_csv
 from propensity.sources.models import load_pipeline, save_pipeline
-from propensity.sources.tables import read_table, scan_spread, stage_split, write_table
+from propensity.sources.tables import read_table, stage, stage_split, write_table
 
 __all__ = [
     "load_pipeline",
     "read_table",
     "save_pipeline",
     "scan_csv",
-    "scan_spread",
+    "stage",
     "stage_split",
     "write_csv",
     "write_table",

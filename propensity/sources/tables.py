@@ -34,27 +34,26 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
-def scan_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Scan parquet files; where they make fewer partitions than there are cores, spread the rows.
-
-    Training passes over its input many times, so idle cores cost more than one shuffle of so few
-    partitions. Large tables make many partitions, and are scanned as they are. The number is known from
-    planning the scan; no job runs.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and scan it: the lineage ends there, and outlives executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_split(df: DataFrame, key: str, train_percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def stage_split(
+    df: DataFrame, key: str, train_percent: int = 80, columns: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Split by ``key``, write once, and return scans of the train and the test side.
 
     Fitting passes over its input many times. The written table cuts the lineage, lets each pass read only
     the columns it needs, and outlives lost executors; the two sides are partitions of it, so each scan
-    reads its own files only.
+    reads its own files only. ``columns`` limits what is written; the key always is.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "split")
+    if columns is not None:
+        df = df.select(*dict.fromkeys([key, *columns]))
     with_split(df, key, train_percent).drop("bucket").write.partitionBy("split").parquet(path)
     staged = spark.read.parquet(path)
     return (

@@ -51,6 +51,14 @@ def test_sparse_rows_at_the_limit(spark):
     assert op.drop_sparse_rows(df, 80).count() == 9
 
 
+def test_nan_counts_as_empty_on_request_only(spark):
+    df = spark.createDataFrame([(1.0, float("nan")), (2.0, float("nan"))], "a double, b double")
+    assert op.drop_sparse_rows(df, 40).count() == 2
+    assert op.drop_sparse_rows(df, 40, nan_is_null=True).count() == 0
+    assert op.drop_sparse_columns(df, 80).columns == ["a", "b"]
+    assert op.drop_sparse_columns(df, 80, nan_is_null=True).columns == ["a"]
+
+
 def test_sparse_columns(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, None), (3, 1, None)], "a int, b int, c int")
     assert op.drop_sparse_columns(df, 80).columns == ["a", "b"]
@@ -96,6 +104,15 @@ def test_train_share_and_folds(spark):
     assert df.select(F.min(hash_bucket(F.col("k"))), F.max(hash_bucket(F.col("k")))).first() == (0, 99)
 
 
+@pytest.mark.parametrize("folds", [3, 50, 100])
+def test_folds_are_independent_of_the_split(spark, folds):
+    train, _ = op.train_test_split(spark.range(100_000).toDF("k"), "k")
+    sizes = {row["fold"]: row["count"] for row in op.with_fold(train, "k", folds).groupBy("fold").count().collect()}
+    expected = sum(sizes.values()) / folds
+    assert set(sizes) == set(range(folds))
+    assert max(abs(size - expected) for size in sizes.values()) < 5 * expected**0.5
+
+
 def test_random_split_covers_the_input(spark):
     train, test = op.random_split(spark.range(1000).toDF("k"))
     assert train.count() + test.count() == 1000
@@ -170,7 +187,14 @@ def test_large_lookup_shuffles_no_hot_rows(spark):
     hot = lookup.filter(F.col("n") * 200 > 1000)
     assert hot.count() == 1
     logical = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in logical and "strategy=broadcast" in logical
+    assert "Union" not in logical and logical.count("strategy=broadcast") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # the hot key's rows are settled and dealt out by their salt
+        sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 8 and max(sizes) < 250
 
 
 # --- weights ---------------------------------------------------------------------------------------------

@@ -41,3 +41,26 @@ def test_a_local_session_gets_its_own(tmp_path, monkeypatch):
 
 def test_paths_are_new(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_scratch_scope_leaves_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from contextvars import copy_context
+    from pathlib import Path
+
+    from propensity.session import scratch
+    from propensity.sources import stage
+
+    def files():
+        return set(Path(shared_folder(spark).removeprefix("file:")).rglob("*"))
+
+    before = files()
+    with pytest.raises(KeyError):
+        with scratch(spark) as folder:
+            assert stage(spark.range(3), "inside").count() == 3
+            with ThreadPoolExecutor(1) as pool:
+                path = pool.submit(copy_context().run, scratch_path, spark, "thread").result()
+            assert path.startswith(folder) and files() != before
+            raise KeyError
+    assert files() == before
+    assert not scratch_path(spark, "after").startswith(folder)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from propensity.operators import with_split
 from propensity.schema import APPOINTMENT_SCHEMA, CLEAN_NAMES
 from propensity.session import scratch_path
-from propensity.sources import read_table, scan_csv, scan_spread, stage_split, write_csv, write_table
+from propensity.sources import read_table, scan_csv, stage_split, write_csv, write_table
 
 HEADER = (
     "PatientId,AppointmentID,Gender,ScheduledDay,AppointmentDay,Age,Neighbourhood,Scholarship,Hipertension,"
@@ -86,10 +86,24 @@ def test_staged_side_reads_its_own_partition(spark):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
-def test_spread_uses_all_cores(spark, tables):
-    assert scan_spread(spark, f"{tables}/orders.parquet").rdd.getNumPartitions() == (
-        spark.sparkContext.defaultParallelism
-    )
+def test_staged_split_holds_the_needed_columns_only(spark):
+    df = spark.range(100).selectExpr("id AS k", "id AS a", "id AS b")
+    train, test = stage_split(df, "k", columns=["a"])
+    assert train.columns == test.columns == ["k", "a"]
+    assert train.count() + test.count() == 100
+
+
+def test_round_trip_registers_names_of_its_own(spark, tables):
+    from propensity.queries import QUERIES
+
+    def registered():
+        return {t.name for t in spark.catalog.listTables() if t.name.startswith("propensity_appointments_")}
+
+    QUERIES["table_roundtrip"](spark, tables)
+    one = registered()
+    kept = QUERIES["table_roundtrip"](spark, tables)
+    assert len(one) == len(registered()) == 1 and one != registered()
+    assert kept.count() > 0
 
 
 def test_schema_and_names_cover_the_same_columns():

@@ -1,6 +1,7 @@
 """Feature sets, learners, saved pipelines and searches."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from propensity.functions import linear_score
 from propensity.operators import with_balanced_weights
 from propensity.plans import (
     coefficient_table,
+    compare_learners,
     cross_validate,
     feature_names,
     feature_stages,
@@ -185,6 +187,17 @@ def test_metrics_score_the_rows_once(data):
     assert "ReusedExchange" in metrics._jdf.queryExecution().executedPlan().toString()
 
 
+def test_metrics_shuffle_score_rows_twice(data):
+    model = training_pipeline(logistic_regression(), "base8").fit(data.train)
+    metrics = model_metrics(model.transform(data.test), "m")
+    metrics.collect()
+    final = metrics._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    exchanges = [line for line in final.splitlines() if re.search(r"[- ]Exchange ", line) and "Broadcast" not in line]
+    reused = [line for line in final.splitlines() if "ReusedExchange" in line]
+    wide = [line for line in exchanges if "SinglePartition" not in line]
+    assert len(reused) == 1 and len(wide) <= 2 and "rangepartitioning" not in final
+
+
 def test_full_grid_has_all_distinct_points(spark):
     points = full_logistic_grid(logistic_regression())
     texts = {json.dumps({p.name: v for p, v in point.items()}, sort_keys=True) for point in points}
@@ -219,7 +232,87 @@ def test_shared_encoders_give_the_metrics_of_separate_fits(data):
     for fold in range(2):
         one = training_pipeline(logistic_regression(max_iter=5, reg_param=0.01)).fit(folded.filter(F.col("fold") != fold))
         areas.append(auc_of(one.transform(folded.filter(F.col("fold") == fold))))
-    assert model.avgMetrics[0] == pytest.approx(np.mean(areas), abs=1e-3)
+    assert model.avgMetrics[0] == pytest.approx(np.mean(areas), abs=1e-9)
+
+
+@pytest.mark.parametrize("learner", [random_forest, gradient_boosted_trees], ids=lambda make: make.__name__)
+def test_trees_do_not_depend_on_layout(larger, learner):
+    """At this size Spark samples split candidates, and rows for each tree, per partition."""
+
+    def scores(n):
+        model = training_pipeline(learner(), "base8").fit(larger.train.repartition(n))
+        rows = model.transform(larger.test).select("appointment_id", vector_to_array("probability")[1]).collect()
+        return dict(map(tuple, rows))
+
+    one = scores(1)
+    for n in (4, 7):
+        other = scores(n)
+        assert one.keys() == other.keys() and len(one) > 2500
+        assert max(abs(one[key] - other[key]) for key in one) < 1e-9
+
+
+def test_indexer_does_not_read_through_the_encoder(data, monkeypatch):
+    from pyspark.ml.feature import StringIndexer
+
+    plans = []
+    fit = StringIndexer._fit
+    monkeypatch.setattr(
+        StringIndexer, "_fit", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or fit(self, df)
+    )
+    training_pipeline(logistic_regression(max_iter=1)).fit(data.train)
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_compared_learners_share_the_encoders(data, monkeypatch):
+    from propensity.operators.target_encoding import AutoTargetEncoder
+
+    fits = []
+    fit = AutoTargetEncoder._fit
+    monkeypatch.setattr(AutoTargetEncoder, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    learners = {"one": logistic_regression(), "two": logistic_regression(reg_param=1.0)}
+    scored = compare_learners(learners, data)
+    assert len(fits) == 1
+    alone = training_pipeline(logistic_regression()).fit(data.train).transform(data.test)
+    assert auc_of(scored["one"]) == pytest.approx(auc_of(alone), abs=1e-9)
+
+
+def test_search_leaves_no_folds_behind(spark, data):
+    from pathlib import Path
+
+    from propensity.session import shared_folder
+
+    def tables():
+        return {p.name for p in Path(shared_folder(spark).removeprefix("file:")).iterdir()}
+
+    before = tables()
+    learner = logistic_regression(max_iter=2)
+    cross_validate(training_pipeline(learner), [{learner.regParam: 0.1}], data.train, folds=2)
+    # the kept model reads its category counts
+    assert {name.rsplit("-", 1)[0] for name in tables() - before} == {"category-counts"}
+
+
+def test_out_of_fold_encoding_in_a_search(data):
+    """Scores of the search are those of honest encodings: meaningless categories do not help."""
+    noise = F.concat(F.lit("n"), F.pmod(F.hash("appointment_id"), F.lit(400)))
+    train = data.train.withColumn("neighborhood", noise)
+
+    def searched(**options):
+        learner = logistic_regression()
+        model = cross_validate(training_pipeline(learner, **options), [{learner.regParam: 0.1}], train, folds=2)
+        names = feature_names(model.bestModel.transform(train))
+        return model.avgMetrics[0], abs(model.bestModel.stages[-1].coefficients[names.index("neighborhood_te")])
+
+    plain_area, plain_trust = searched()
+    honest_area, honest_trust = searched(out_of_fold=3)
+    assert honest_area > plain_area and honest_trust < plain_trust / 3
+
+
+def test_rows_without_key_are_refused(spark, tables):
+    keyless = appointments(spark, tables).withColumn(
+        "appointment_id", F.when(F.col("appointment_id") % 50 > 0, F.col("appointment_id"))
+    )
+    with pytest.raises(ValueError, match="rows have no"):
+        prepare(keyless)
 
 
 def test_grid_over_a_feature_stage_falls_back_to_full_fits(data):
