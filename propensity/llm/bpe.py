@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, pieces
+from propensity.llm.common import as_bytes, inputs, pieces, small_batches
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: texts beyond this many characters are cut at safe boundaries before they are encoded
@@ -138,6 +138,6 @@ def _map(rows: DataFrame, schema: str, column: str, function, rank_path: str | N
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return rows.mapInArrow(
+    return small_batches(rows).mapInArrow(
         _tasks(function, to_arrow_schema(StructType.fromDDL(schema)), column, rank_path), schema
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from propensity.session import scratch_path
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 # ASCII white space, as the word rule of all operators has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,6 +74,18 @@ def as_bytes(column: Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit("").cast("binary"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a Python operator: batches to workers hold ``BATCH_BYTES``, whatever the length of texts.
+
+    The batch size is a setting of the session, read when a job is planned, so it is set there; one that was given to the
+    session's context stays. Spark's own default would be 64 MB, of which a task holds several copies, on both sides.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def pieces(sizes: list[int], limit: int = 4 << 20) -> Iterator[slice]:
     """Slices of rows whose ``sizes`` add up to ``limit`` at most, unless one row alone is larger."""
     start, held = 0, 0

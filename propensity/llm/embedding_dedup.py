@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from propensity.llm.common import inputs, stage
+from propensity.llm.common import inputs, small_batches, stage
 from propensity.llm.components import connected_components
 
 COSINE = 0.93
@@ -18,7 +18,7 @@ COSINE = 0.93
 #: probability 0.85, so in no table in 1 of 6,000 cases; of cosine 0.96 in 1 of 50 million. Unrelated ones meet in 1 of 900 cases.
 HASHES, WIDTH, TABLES = 16, 2.0, 112
 #: vectors of a bucket in one block
-BLOCK = 1024
+BLOCK = 512
 #: buckets up to this size are compared together
 SMALL = 16
 
@@ -165,8 +165,8 @@ def _hash_task(kind: type):
 
         blocks = _Blocks(0.0, kind)
         for whole in batches:
-            for start in range(0, len(whole), 2048):
-                batch = whole.iloc[start : start + 2048]
+            for start in range(0, len(whole), 512):
+                batch = whole.iloc[start : start + 512]
                 vectors = [usable(v) for v in batch["vector"]]
                 keys: list = [None] * len(batch)
                 data: list = [None] * len(batch)
@@ -244,7 +244,7 @@ def near_duplicate_vectors(
     kind = np.float32 if single else np.float64
     rows = rows.select(F.col("vec_id").cast("bigint"), "vector", F.col("label").cast("string"))
     known = rows.filter("vec_id is not null")
-    hashed = known.mapInPandas(
+    hashed = small_batches(known).mapInPandas(
         _hash_task(kind),
         "vec_id bigint, label_hash bigint, vector_key binary, data binary, keys array<bigint>",
     )
@@ -275,7 +275,8 @@ def near_duplicate_vectors(
     full = stage(units, "vector-units").join(classes.drop("keys"), "vector_key").drop("vector_key")
     unit = ["key", "first", "second"]
     found = (
-        full.repartition(*unit)
+        small_batches(full)
+        .repartition(*unit)
         .sortWithinPartitions(*unit, "rep")
         .mapInPandas(_whole_units(lambda: _Blocks(cosine, kind), unit), "rep bigint, links bigint, root bigint")
     )

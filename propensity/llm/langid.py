@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs
+from propensity.llm.common import as_bytes, inputs, small_batches
 
 #: n-grams in a profile, of a language as of a document
 PROFILE = 300
@@ -145,7 +145,8 @@ def fit_profiles(
                 counts = np.bincount(place, np.concatenate([counts for _, counts in found])).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": keys, "n": counts})
 
-    grams = sample.select("lang", as_bytes(F.col("text")).alias("text")).mapInPandas(count, "lang string, gram bigint, n bigint")
+    sample = small_batches(sample.select("lang", as_bytes(F.col("text")).alias("text")))
+    grams = sample.mapInPandas(count, "lang string, gram bigint, n bigint")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = (
         grams.groupBy("lang", "gram")
@@ -169,5 +170,5 @@ def identify_languages(
     Ties go to the language that sorts first. Without profiles every row is ``und``; an empty table gives an empty result.
     """
     rows = inputs(df, doc_id=id_col, text=text_col)
-    found = rows.select("doc_id", profiles.predict(F.col("text")).alias("found"))
+    found = small_batches(rows).select("doc_id", profiles.predict(F.col("text")).alias("found"))
     return found.select("doc_id", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, stage, text_hash, without_rows
+from propensity.llm.common import as_bytes, inputs, small_batches, stage, text_hash, without_rows
 from propensity.llm.components import connected_components
 
 #: words in a shingle, and similarity (in percent) from which texts are linked
@@ -23,6 +23,8 @@ AGREE = 50
 #: members of a bucket in one block
 BLOCK = 512
 ID_BUCKETS = 1 << 20
+#: words whose hashes a task keeps at a time
+WORDS_KEPT = 1 << 17
 
 # ASCII capitals and their small letters.
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -35,7 +37,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1 << 20:
+        if len(self) > WORDS_KEPT:
             self.clear()
         value = self[word] = xxh64_intdigest(word)
         return value
@@ -226,7 +228,7 @@ def _with_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     wanted = stage(ids.select(bucket("rep")).distinct(), "near-buckets").coalesce(1)
     likely = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
     chosen = likely.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return stage(chosen.mapInArrow(_set_task(width), "rep bigint, shingles binary"), "near-sets")
+    return stage(small_batches(chosen).mapInArrow(_set_task(width), "rep bigint, shingles binary"), "near-sets")
 
 
 def _links_with_hubs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -236,7 +238,8 @@ def _links_with_hubs(members: DataFrame, docs: DataFrame, width: int, percent: i
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ids")
     sets = _with_sets(docs, ids, width)
     both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify_task(percent), "a bigint, b bigint")
+    both = small_batches(both.select("a", "b", "shingles_a", "shingles_b"))
+    return both.mapInArrow(_verify_task(percent), "a bigint, b bigint")
 
 
 def _links_in_blocks(
@@ -273,7 +276,7 @@ def _links_in_blocks(
         group = group.assign(side=-1 if alone else group["block"]).sort_values("rep", kind="stable")
         return pd.DataFrame(link_block(group, percent), columns=["a", "b"]).astype("int64")
 
-    return full.groupBy("key", "first", "second").applyInPandas(link, "a bigint, b bigint")
+    return small_batches(full).groupBy("key", "first", "second").applyInPandas(link, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -303,7 +306,7 @@ def near_duplicates(
 def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
     docs = inputs(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), as_bytes(F.col("text")).alias("text"))
     hashed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
-    sketches = stage(hashed.mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")
+    sketches = stage(small_batches(hashed).mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")
     linkable = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"),

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, row_share, stage
+from propensity.llm.common import as_bytes, inputs, row_share, small_batches, stage
 
 # The kinds in the order of their report.
 KINDS = ("email", "ip", "card", "phone")
@@ -320,7 +320,7 @@ def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         flat = np.concatenate((field.unary.ravel(), field.chain.ravel(), field.skip))
         yield pd.DataFrame({"place": np.arange(len(flat)), "weight": flat})
 
-    fitted = sample.coalesce(1).mapInPandas(fit, "place bigint, weight double").toPandas().sort_values("place")
+    fitted = small_batches(sample).coalesce(1).mapInPandas(fit, "place bigint, weight double").toPandas().sort_values("place")
     flat = fitted["weight"].to_numpy()
     if not len(flat):
         return fit_field([])
@@ -349,6 +349,6 @@ def find_personal_data(
                 found.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, e, k, b in every])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": found})
 
-    return rows.mapInPandas(
+    return small_batches(rows).mapInPandas(
         run, f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"
     )

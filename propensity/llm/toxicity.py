@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, placed, position, row_share, stage
+from propensity.llm.common import as_bytes, inputs, placed, position, row_share, small_batches, stage
 
 #: labelled rows that the model is fitted on, at most (in expectation)
 MAX_ROWS = 16_000
 #: hash space of the features
 BITS = 24
 STEM = 4
+#: words whose hashes a task keeps at a time
+WORDS_KEPT = 1 << 17
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1.0
 EPOCHS = 6
@@ -28,7 +30,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         from zlib import crc32
 
-        if len(self) > 1 << 20:
+        if len(self) > WORDS_KEPT:
             self.clear()
         value = crc32(word.encode("utf-8", "replace")) << 32 | crc32(b"^" + word[:STEM].encode("utf-8", "replace"))
         self[word] = value
@@ -102,12 +104,16 @@ class ToxicityModel:
         """Probability of the label 1 for a text column; NULL counts as the empty text, which scores by the bias alone."""
         bias, indexes, weights = self.bias, self.indexes, self.weights
 
+        def weigh(found: np.ndarray) -> float:
+            if not len(found):
+                return 0.0
+            place = np.minimum(np.searchsorted(found, indexes), len(found) - 1)
+            return float(weights[found[place] == indexes].sum())
+
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             hashes, word = _tools()
-            table = np.zeros(1 << BITS, np.float32)
-            table[indexes] = weights
             for batch in batches:
-                sums = [bias + float(table[features(bytes(v).decode("utf-8", "replace"), hashes, word)].sum()) for v in batch]
+                sums = [bias + weigh(features(bytes(v).decode("utf-8", "replace"), hashes, word)) for v in batch]
                 yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35))))
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -146,15 +152,17 @@ def fit_toxicity(
             yield batch
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = [batch for batch in batches]
+        kept: list[tuple[int, int, bytes]] = []
+        for batch in batches:
+            kept += zip(batch["turn"].tolist(), batch["label"].tolist(), map(bytes, batch["text"]))
         if kept:
-            every = pd.concat(kept).sort_values(["turn", "label", "text"], kind="stable")
-            found = [np.frombuffer(value, np.uint32) for value in every["text"]]
-            bias, indexes, weights = ftrl(found, every["label"].to_numpy(float))
+            kept.sort()
+            found = [np.frombuffer(value, np.uint32) for _, _, value in kept]
+            bias, indexes, weights = ftrl(found, np.array([label for _, label, _ in kept], float))
             yield pd.DataFrame({"index": [-1, *indexes], "weight": [bias, *weights]})
 
-    staged = stage(rows.mapInPandas(hashed, rows.schema), "toxicity-features")
-    fitted = staged.coalesce(1).mapInPandas(train, "index bigint, weight double").toPandas().sort_values("index")
+    staged = stage(small_batches(rows).mapInPandas(hashed, rows.schema), "toxicity-features")
+    fitted = small_batches(staged).coalesce(1).mapInPandas(train, "index bigint, weight double").toPandas().sort_values("index")
     if fitted.empty:
         return ToxicityModel(-1e-6, np.empty(0, np.int64), np.empty(0))
     return ToxicityModel(
@@ -164,11 +172,11 @@ def fit_toxicity(
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, predicted)`` per row, from the whole text. Rows are independent: no shuffle."""
-    rows = inputs(df, doc_id=id_col, text=text_col).select("doc_id", model.score(F.col("text")).alias("score"))
+    rows = small_batches(inputs(df, doc_id=id_col, text=text_col)).select("doc_id", model.score(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``df`` without the rows that the model predicts as toxic; all columns stay."""
-    rows = placed(df)
+    rows = small_batches(placed(df))
     return rows.filter(model.score(rows[f"_c{position(df, text_col)}"]) < 0.5).toDF(*df.columns)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, stage
+from propensity.llm.common import as_bytes, inputs, small_batches, stage
 from propensity.session import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
@@ -131,7 +131,7 @@ def write_archives(
         if made:
             yield pd.DataFrame(made, columns=["path", "size", "records"])
 
-    return stage(rows.mapInPandas(write, "path string, size bigint, records bigint"), "warc-files")
+    return stage(small_batches(rows).mapInPandas(write, "path string, size bigint, records bigint"), "warc-files")
 
 
 def scan_members(handle, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
