@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import WORD, inputs, placed, position, stage
+from propensity.llm.common import WORD, inputs, placed, position, small_batches, stage
 from propensity.llm.ranges import deal_ranges, range_totals, sum_within
 
 #: relative weights of the sources in code point order, repeated as often as needed
@@ -121,18 +121,20 @@ def mix_plan(
     return stage(plan, "mix-plan"), sized
 
 
-def _before_cut() -> Column:
-    mine = F.struct(F.col("key").alias("a"), F.col("doc_id").alias("b"), F.col("size").alias("c"))
-    cut = F.struct(F.col("cut_key").alias("a"), F.col("cut_id").alias("b"), F.col("cut_size").alias("c"))
-    return F.when(F.col("cut_key").isNull(), F.lit(0)).when(mine < cut, F.lit(1)).when(mine == cut, F.lit(2)).otherwise(0)
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with the plan of their source and ``place``: 1 before the cut, 2 at the cut, 0 behind it.
 
-
-def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with ``epochs`` and ``extra``, the words of the partial epoch."""
+    Rows of one key have one id, so only among those does the size matter: it is looked at last.
+    """
     told = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    place = _before_cut()
-    extra = F.when(place == 1, F.col("size")).when(place == 2, F.col("cut_words")).otherwise(F.lit(0).cast("bigint"))
-    return told.withColumn("extra", extra)
+    place = (
+        F.when(F.col("cut_key").isNull() | (F.col("key") > F.col("cut_key")), F.lit(0))
+        .when(F.col("key") < F.col("cut_key"), F.lit(1))
+        .when(F.col("size") < F.col("cut_size"), F.lit(1))
+        .when(F.col("size") == F.col("cut_size"), F.lit(2))
+        .otherwise(F.lit(0))
+    )
+    return told.withColumn("place", place)
 
 
 def mix_sources(
@@ -152,13 +154,14 @@ def mix_sources(
     share the words at the cut equally, rounded down. Sources of size 0 have the target 0. An empty table gives an empty result.
     """
     plan, rows = mix_plan(df, id_col, text_col, source_col, weights, limit)
-    return _decided(rows, plan).select(
+    extra = F.when(F.col("place") == 1, F.col("size")).when(F.col("place") == 2, F.col("cut_words")).otherwise(F.lit(0))
+    return _placed(rows, plan).select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"),
+        (F.col("epochs") * F.col("size") + extra).alias("taken"),
     )
 
 
@@ -204,13 +207,14 @@ def apply_mix(
             "key": draw(F.col(at["doc_id"])),
         }
     )
-    decided = _decided(working, plan)
-    partial = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)).otherwise(0)
-    full = decided.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    full = full.select(*columns)
-    cut = decided.filter(partial).select(*columns, F.col(at["text"]).alias("_text"), F.col("extra").alias("_words"))
-    cut = cut.mapInPandas(_cut_texts, cut.schema).select(
+    decided = _placed(working, plan)
+    # the words of a text are counted at the cut only; whether it has any shows at its first one
+    copies = F.col("epochs") + F.when(F.col("place") == 1, 1).otherwise(0)
+    full = decided.filter((copies > 0) & F.col(at["text"]).rlike(WORD))
+    full = full.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*columns)
+    cut = decided.filter((F.col("place") == 2) & (F.col("cut_words") > 0))
+    cut = cut.select(*columns, F.col(at["text"]).alias("_text"), F.col("cut_words").alias("_words"))
+    cut = small_batches(cut).mapInPandas(_cut_texts, cut.schema).select(
         *(F.col("_text").alias(c) if c == at["text"] else F.col(c) for c in columns)
     )
     return full.unionByName(cut).toDF(*df.columns)
