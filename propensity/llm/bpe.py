@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from propensity.llm.common import as_bytes, inputs, pieces, small_batches
 
@@ -76,18 +78,20 @@ def encode_text(enc, text: str) -> list[int]:
     return ids
 
 
-def _tasks(function, schema: pa.Schema, column: str, rank_path: str | None):
-    """A ``mapInArrow`` function that replaces a binary column, in batches of bounded size."""
+def _task(functions: list, schema: pa.Schema, rank_path: str | None):
+    """A ``mapInArrow`` function that keeps the first column and makes the others one from the other, in pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         enc = encoding(rank_path)
         for batch in batches:
-            for part in pieces(pc.binary_length(batch.column(column)).to_pylist()):
-                kept = batch.slice(part.start, part.stop - part.start)
-                made = pa.array([function(enc, value.as_py()) for value in kept.column(column)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], made], schema=schema)
+            for part in pieces(pc.binary_length(batch.column(1)).to_pylist()):
+                given = batch.slice(part.start, part.stop - part.start)
+                columns = [given.column(0), given.column(1)]
+                for function in functions:
+                    columns.append(pa.array([function(enc, value.as_py()) for value in columns[-1]], pa.binary()))
+                yield pa.RecordBatch.from_arrays([columns[0], *columns[2:]], schema=schema)
 
     return run
 
@@ -111,33 +115,24 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
     UTF-8 are read as the replacement character. Texts of any length are encoded whole. Rows are independent: no shuffle.
     ``rank_path`` names another rank file, present on every worker.
     """
-    rows = inputs(df, id=id_col, text=text_col).select("id", as_bytes(F.col("text")).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return _map(rows, f"id {kind}, ids binary", "text", _encode_bytes, rank_path)
+    return _map(df, id_col, text_col, {"ids": _encode_bytes}, rank_path)
 
 
 def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", rank_path: str | None = None) -> DataFrame:
     """``(id, decoded)`` per row: the raw bytes of packed ids. NULL ids give no bytes; an id outside the rank file is an error."""
-    rows = inputs(df, id=id_col, ids=ids_col).select("id", as_bytes(F.col("ids")).alias("ids"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return _map(rows, f"id {kind}, decoded binary", "ids", _decode_ids, rank_path)
+    return _map(df, id_col, ids_col, {"decoded": _decode_ids}, rank_path)
 
 
 def encode_and_decode(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None
 ) -> DataFrame:
-    """``(id, ids, decoded)``: both directions, decoding what was encoded, in one pass over the rows."""
-    rows = inputs(df, id=id_col, text=text_col).select("id", as_bytes(F.col("text")).alias("text"))
-    encoded = _map(rows, f"id {rows.schema['id'].dataType.simpleString()}, ids binary", "text", _encode_bytes, rank_path)
-    both = encoded.select("id", "ids", F.col("ids").alias("again"))
-    kind = both.schema["id"].dataType.simpleString()
-    return _map(both, f"id {kind}, ids binary, decoded binary", "again", _decode_ids, rank_path)
+    """``(id, ids, decoded)``: :func:`encode`, and :func:`decode` of its ids, by one Python worker per task."""
+    return _map(df, id_col, text_col, {"ids": _encode_bytes, "decoded": _decode_ids}, rank_path)
 
 
-def _map(rows: DataFrame, schema: str, column: str, function, rank_path: str | None) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return small_batches(rows).mapInArrow(
-        _tasks(function, to_arrow_schema(StructType.fromDDL(schema)), column, rank_path), schema
-    )
+def _map(df: DataFrame, id_col: str, value_col: str, functions: dict, rank_path: str | None) -> DataFrame:
+    rows = inputs(df, id=id_col, value=value_col).select("id", as_bytes(F.col("value")).alias("value"))
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = ", ".join([f"id {kind}", *(f"{name} binary" for name in functions)])
+    task = _task(list(functions.values()), to_arrow_schema(StructType.fromDDL(schema)), rank_path)
+    return small_batches(rows).mapInArrow(task, schema)

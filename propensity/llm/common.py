@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propensity.session import scratch_path
+from propensity.session import remove_path, scratch, scratch_path
 
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: settings for tables of texts: bytes in a batch for Python workers, rows in a batch of the parquet reader
+TEXT_SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 
 # ASCII white space, as the word rule of all operators has it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,13 +53,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, staged; the tables that were staged on the way are removed."""
+    path = scratch_path(spark, name)
+    with scratch(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_staged(staged: DataFrame) -> None:
     """Remove the files of a staged table that no later step reads."""
-    spark = staged.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {path.rsplit("/", 1)[0] for path in staged.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove_path(staged.sparkSession, folder)
 
 
 def row_share(key: Column, share: float, seed: str) -> Column:
@@ -75,14 +85,16 @@ def as_bytes(column: Column) -> Column:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, for a Python operator: batches to workers hold ``BATCH_BYTES``, whatever the length of texts.
+    """``df``, for a Python operator: batches of texts are small, on the way to Python workers as in the reader.
 
-    The batch size is a setting of the session, read when a job is planned, so it is set there; one that was given to the
-    session's context stays. Spark's own default would be 64 MB, of which a task holds several copies, on both sides.
+    Batch sizes are settings of the session, read when a job is planned, so they are set there; those that were given to the
+    session's context stay. By Spark's defaults a task would hold several copies of 64 MB, and 4096 texts at a time, however long.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    given = spark.sparkContext.getConf()
+    for name, value in TEXT_SETTINGS.items():
+        if not given.contains(name):
+            spark.conf.set(name, value)
     return df
 
 

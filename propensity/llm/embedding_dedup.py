@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from propensity.llm.common import inputs, small_batches, stage
+from propensity.llm.common import inputs, settle, small_batches, stage
 from propensity.llm.components import connected_components
 
 COSINE = 0.93
@@ -237,6 +237,11 @@ def near_duplicate_vectors(
     Vectors that are NULL, empty, zero, or hold a NULL or non-finite component link with nothing, nor do those with a NULL label or
     a NULL id, or of different lengths. Rows that repeat an id are vectors of their own. An empty table gives an empty result.
     """
+    options = (id_col, vector_col, label_col, cosine)
+    return settle(df.sparkSession, "near-vectors", lambda: _linked_vectors(df, *options))
+
+
+def _linked_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, cosine: float) -> DataFrame:
     rows = inputs(df, vec_id=id_col, vector=vector_col, label=label_col)
     single = isinstance(rows.schema["vector"].dataType, ArrayType) and isinstance(
         rows.schema["vector"].dataType.elementType, FloatType

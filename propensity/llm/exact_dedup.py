@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import inputs, stage, text_hash, without_rows
+from propensity.llm.common import inputs, settle, stage, text_hash, without_rows
 
 
 def exact_duplicates(
@@ -33,7 +33,8 @@ def exact_duplicates(
     text are members of their group, and stay or go together. Where the digest was not needed ``text_sha256``
     is NULL, unless ``digest_all`` asks for all. An empty table gives an empty result.
     """
-    return _grouped(df, id_col, text_col, prefix_chars, length_classes, prefix_buckets, digest_all).drop("text_hash")
+    options = (id_col, text_col, prefix_chars, length_classes, prefix_buckets, digest_all)
+    return settle(df.sparkSession, "exact-duplicates", lambda: _grouped(df, *options)).drop("text_hash")
 
 
 def _grouped(
@@ -106,5 +107,6 @@ def _grouped(
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay, and all rows with a NULL id."""
-    gone = _grouped(df, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("id"), "text_hash")
+    groups = settle(df.sparkSession, "exact-duplicates", lambda: _grouped(df, id_col, text_col))
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), "text_hash")
     return without_rows(df, id_col, text_col, gone, "dedup-gone")

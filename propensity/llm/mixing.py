@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propensity.llm.common import WORD, inputs, placed, position, small_batches, stage
+from propensity.llm.common import WORD, inputs, placed, position, settle, small_batches, stage
 from propensity.llm.ranges import deal_ranges, range_totals, sum_within
 
 #: relative weights of the sources in code point order, repeated as often as needed
@@ -87,6 +87,10 @@ def mix_plan(
     rows = inputs(df, doc_id=id_col, text=text_col, source=source_col)
     sized = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("key"))
     sized = stage(sized, "mix-rows")
+    return settle(df.sparkSession, "mix-plan", lambda: _planned(sized, weights, limit)), sized
+
+
+def _planned(sized: DataFrame, weights: tuple[float, ...], limit: int) -> DataFrame:
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stage(source_targets(sizes, weights, limit), "mix-targets")
     budget = F.round("target").cast("bigint")
@@ -117,8 +121,7 @@ def mix_plan(
         F.floor((F.col("open") - F.col("within")) / F.col("rows")).cast("bigint").alias("cut_words"),
     )
     plan = budgets.withColumn("named", named).join(cuts, "named", "left")
-    plan = plan.select("source", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words")
-    return stage(plan, "mix-plan"), sized
+    return plan.select("source", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words")
 
 
 def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:

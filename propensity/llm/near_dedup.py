@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, small_batches, stage, text_hash, without_rows
+from propensity.llm.common import as_bytes, inputs, settle, small_batches, stage, text_hash, without_rows
 from propensity.llm.components import connected_components
 
 #: words in a shingle, and similarity (in percent) from which texts are linked
@@ -300,7 +300,11 @@ def near_duplicates(
     shingle; NULL and empty texts and those without a word have no shingle and link with nothing. A NULL id links
     with nothing, has a NULL component, and is kept. Rows that repeat an id are judged by their texts, each by itself. An empty table gives an empty result.
     """
-    return _parted(df, id_col, text_col, shingle_words, percent).drop("text_hash")
+    return _settled(df, id_col, text_col, shingle_words, percent).drop("text_hash")
+
+
+def _settled(df: DataFrame, *options) -> DataFrame:
+    return settle(df.sparkSession, "near-duplicates", lambda: _parted(df, *options))
 
 
 def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
@@ -347,5 +351,5 @@ def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """``df`` with one document of each component, that of the smallest id; all columns stay."""
-    gone = _parted(df, id_col, text_col, shingle_words, percent).filter(~F.col("kept"))
+    gone = _settled(df, id_col, text_col, shingle_words, percent).filter(~F.col("kept"))
     return without_rows(df, id_col, text_col, gone.select(F.col("doc_id").alias("id"), "text_hash"), "near-gone")

@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import inputs, stage
+from propensity.llm.common import inputs, settle, stage
 from propensity.llm.ranges import deal_ranges, range_totals, sum_within
 
-#: regions -> racks -> weights of shards; shards are numbered in this order
-Tree = list[list[list[float]]]
+#: regions -> racks -> {number of a shard: its weight}; regions and racks are known by their place, shards by their number
+Tree = list[list[dict[int, float]]]
 
 
 def regular_tree(regions: int = 2, racks: int = 2, shards: int = 4) -> Tree:
-    """A tree of equal weights."""
-    return [[[1.0] * shards for _ in range(racks)] for _ in range(regions)]
+    """A tree of equal weights, its shards numbered in order."""
+    first = [[(region * racks + rack) * shards for rack in range(racks)] for region in range(regions)]
+    return [[{start + i: 1.0 for i in range(shards)} for start in row] for row in first]
 
 
 def grown(tree: Tree, weight: float = 1.0) -> Tree:
@@ -29,7 +30,7 @@ def grown(tree: Tree, weight: float = 1.0) -> Tree:
     So no existing node changes its weight, and the only keys that move go to the new shard. (A shard added to an existing rack
     would raise the weights of its rack and region, which also draw keys for the shards they have.)
     """
-    return [*tree, [[weight]]]
+    return [*tree, [{1 + max(shard for region in tree for rack in region for shard in rack): weight}]]
 
 
 def _draw(key: Column, level: int, parent: Column, child: Column, weight: Column) -> Column:
@@ -39,38 +40,38 @@ def _draw(key: Column, level: int, parent: Column, child: Column, weight: Column
     return F.when(weight > 0, F.log(uniform) / weight).otherwise(F.lit(float("-inf")))
 
 
-def _choose(key: Column, level: int, parent: Column, weights: Column) -> Column:
+def _choose(key: Column, level: int, parent: Column, children: Column) -> Column:
+    """Number of the child with the largest draw, of an array of structs ``(number, weight)``."""
     draws = F.transform(
-        weights,
-        lambda weight, child: F.struct(_draw(key, level, parent, child, weight).alias("draw"), child.alias("child")),
+        children,
+        lambda child: F.struct(
+            _draw(key, level, parent, child["number"], child["weight"]).alias("draw"), child["number"].alias("number")
+        ),
     )
-    return F.array_max(draws)["child"]
+    return F.array_max(draws)["number"]
 
 
 def with_shard(df: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
     """Adds the number of the shard for ``key``; a NULL key is a key like others."""
+    if not any(weight > 0 for region in tree for rack in region for weight in rack.values()):
+        raise ValueError("no shard has a weight")
 
-    def table(rows: list[list[float]]) -> Column:
-        return F.array(*(F.array(*(F.lit(float(w)) for w in row)) for row in rows))
+    def children(weights: dict[int, float]) -> Column:
+        pairs = [F.struct(F.lit(n).alias("number"), F.lit(float(w)).alias("weight")) for n, w in weights.items()]
+        return F.array(*pairs)
 
-    if not any(weight > 0 for region in tree for rack in region for weight in rack):
-        raise ValueError("no shard has a weight")
-    racks = [rack for region in tree for rack in region]
-    region_weights = [sum(map(sum, region)) for region in tree]
-    rack_weights = [[sum(rack) for rack in region] for region in tree]
-    first_rack = [sum(len(region) for region in tree[:i]) for i in range(len(tree))]
-    first_shard = [sum(len(rack) for rack in racks[:i]) for i in range(len(racks))]
-    text = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
-    numbers = lambda values: F.array(*(F.lit(int(v)) for v in values))
+    def of(tables: list[Column], place: Column) -> Column:
+        return F.element_at(F.array(*tables), place + 1)
 
-    root = F.array(*(F.lit(float(w)) for w in region_weights))
-    df = df.withColumn("_region", _choose(text, 0, F.lit(0), root))
-    inside = F.element_at(table(rack_weights), F.col("_region") + 1)
-    rack = F.element_at(numbers(first_rack), F.col("_region") + 1) + _choose(text, 1, F.col("_region"), inside)
-    df = df.withColumn("_rack", rack)
-    leaves = F.element_at(table(racks), F.col("_rack") + 1)
-    shard = F.element_at(numbers(first_shard), F.col("_rack") + 1) + _choose(text, 2, F.col("_rack"), leaves)
-    return df.withColumn(name, shard.cast("int")).drop("_region", "_rack")
+    regions = children({i: sum(sum(rack.values()) for rack in region) for i, region in enumerate(tree)})
+    racks = [children({i: sum(rack.values()) for i, rack in enumerate(region)}) for region in tree]
+    shards = [F.array(*(children(rack) for rack in region)) for region in tree]
+    text = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    df = df.withColumn("_region", _choose(text, 0, F.lit(0), regions))
+    df = df.withColumn("_rack", _choose(text, 1, F.col("_region"), of(racks, F.col("_region"))))
+    rack = F.col("_region") * F.lit(1 << 16) + F.col("_rack")
+    leaves = F.element_at(of(shards, F.col("_region")), F.col("_rack") + 1)
+    return df.withColumn(name, _choose(text, 2, rack, leaves)).drop("_region", "_rack")
 
 
 def assign_shards(
@@ -88,6 +89,10 @@ def assign_shards(
     and have slots of their own; the rows of one very frequent id are dealt to several ranges. An empty table gives an empty result.
     """
     tree = tree or regular_tree()
+    return settle(df.sparkSession, "shards", lambda: _slotted(df, tree, id_col, text_col))
+
+
+def _slotted(df: DataFrame, tree: Tree, id_col: str, text_col: str) -> DataFrame:
     rows = inputs(df, doc_id=id_col, text=text_col)
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     thin = rows.select(

@@ -41,7 +41,7 @@ def test_weights_and_confined_movement(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "k")
     tree = regular_tree()
     changed = regular_tree()
-    changed[1][0][2] = 3.0
+    changed[1][0][10] = 3.0
     placed = with_shard(with_shard(keys, "k", tree, "old"), "k", changed, "new").collect()
     counts = Counter(r.new for r in placed)
     assert abs(counts[10] / (3 * counts[0]) - 1) < 0.15
@@ -50,10 +50,21 @@ def test_weights_and_confined_movement(spark):
     assert all(r.new == r.old or r.old < 8 or r.new in (8, 9, 10, 11) for r in placed)
 
 
+def test_new_racks_move_nothing_within_other_regions(spark):
+    keys = spark.range(20_000).withColumnRenamed("id", "k")
+    tree, changed = regular_tree(), regular_tree()
+    changed[0].append({16: 1.0, 17: 1.0})
+    placed = with_shard(with_shard(keys, "k", tree, "old"), "k", changed, "new").collect()
+    moved = [r for r in placed if r.old != r.new]
+    assert moved and all(r.new in (*range(8), 16, 17) for r in moved)
+    # within the old racks of the region that grew keys stay, unless they go to the new rack
+    assert all(r.new in (16, 17) for r in moved if r.old < 8)
+
+
 def test_no_weight(spark):
-    assert with_shard(spark.range(5), "id", [[[0.0, 1.0]]], "s").select("s").distinct().first().s == 1
+    assert with_shard(spark.range(5), "id", [[{0: 0.0, 1: 1.0}]], "s").select("s").distinct().first().s == 1
     with pytest.raises(ValueError):
-        with_shard(spark.range(5), "id", [[[0.0]]], "s")
+        with_shard(spark.range(5), "id", [[{0: 0.0}]], "s")
     assert len(grown(regular_tree())) == 3
 
 
