@@ -232,8 +232,9 @@ def _with_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _links_with_hubs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of bucket members with the hub of their bucket, one pair per member and hub."""
-    pairs = members.filter("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    """Links of bucket members with the two hubs of their bucket, one pair per member and hub."""
+    pairs = members.select("rep", F.explode(F.array("hub", "other_hub")).alias("hub")).filter("rep != hub")
+    pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     pairs = stage(pairs.distinct(), "near-pairs")
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ids")
     sets = _with_sets(docs, ids, width)
@@ -245,19 +246,33 @@ def _links_with_hubs(members: DataFrame, docs: DataFrame, width: int, percent: i
 def _links_in_blocks(
     members: DataFrame, classes: DataFrame, parts: DataFrame, docs: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """Links within buckets whose members, apart from the hub, are still in several components.
+    """Links within buckets whose members, apart from the hubs, are still in several components.
 
-    Large buckets are cut into blocks, and each pair of blocks is compared by itself, so no task holds more than two blocks.
+    Large buckets are cut into blocks, the members of the largest component into blocks of their own; each pair of blocks, but for those
+    within that component, is compared by itself, so no task holds more than two blocks.
     """
-    placed = members.filter("rep != hub").join(parts, members["rep"] == parts["node"], "left")
-    placed = stage(placed.select("key", "n", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_keys = stage(open_keys.filter("least != most").select("key"), "near-open")
-    left = placed.join(open_keys, "key", "left_semi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    left = left.withColumns({"blocks": blocks, "block": own})
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.filter("rep != hub and rep != other_hub").join(parts, members["rep"] == parts["node"], "left")
+    placed = stage(placed.select("key", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
+    # members of the largest component of a bucket need no comparison with each other
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    open_keys = counts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.max_by("component", "members").alias("main"),
+        F.max("members").alias("main_members"),
+        F.sum("members").alias("members"),
+    )
+    open_keys = stage(open_keys.filter("parts > 1"), "near-open")
+    left = placed.join(open_keys, "key").withColumns(
+        {
+            "is_main": F.col("component") == F.col("main"),
+            "few": F.ceil((F.col("members") - F.col("main_members")) / BLOCK).cast("int"),
+            "many": F.ceil(F.col("main_members") / BLOCK).cast("int"),
+        }
+    )
+    mixed = F.xxhash64("rep")
+    own = F.when(F.col("is_main"), F.col("few") + F.pmod(mixed, F.col("many"))).otherwise(F.pmod(mixed, F.col("few")))
+    last = F.when(F.col("is_main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    left = left.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     units = left.select(
         "key",
         F.least("block", "other").alias("first"),
@@ -291,7 +306,7 @@ def near_duplicates(
     Returns one row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable through links), ``kept`` (``doc_id`` is that id).
 
     1. Tasks turn whole texts into shingle sets and those into sketches; texts stay where they are. Equal sets become one class.
-    2. Classes that share a band form a bucket. Each member is paired with one hub of its bucket, and pairs are verified on full sets: as many
+    2. Classes that share a band form a bucket. Each member is paired with the two hubs of its bucket, and pairs are verified on full sets: twice as many
        pairs as members, not their square. Links give components.
     3. Only buckets whose members are still in several components are looked at again, block by block, until every pair of
        different components whose sketches agree enough has been compared.
@@ -322,13 +337,14 @@ def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, perce
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("hub")
+        F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("hub"),
+        F.max_by("rep", F.xxhash64("rep")).alias("other_hub"),
     )
     members = stage(banded.join(stage(buckets.filter("n > 1"), "near-shared"), "key"), "near-members")
 
     hub_links = stage(_links_with_hubs(members, docs, shingle_words, percent), "near-hub-links")
     parts = connected_components(hub_links, "near-parts")
-    wide = members.filter("n > 2")
+    wide = members.filter("n > 3")
     block_links = stage(_links_in_blocks(wide, classes, parts, docs, shingle_words, percent), "near-block-links")
     joined = parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     components = connected_components(joined.union(block_links), "near-components")
