@@ -22,6 +22,8 @@ SKETCH = BANDS * ROWS
 AGREE = 50
 #: members of a bucket in one block
 BLOCK = 512
+#: up to so many members of a block are compared one by one
+FEW = 48
 ID_BUCKETS = 1 << 20
 #: words whose hashes a task keeps at a time
 WORDS_KEPT = 1 << 17
@@ -173,16 +175,52 @@ def _verify_task(percent: int):
     return run
 
 
+def pairs_by_sketch(members: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs whose sketches agree enough to be similar, the most alike first."""
+    short = np.stack([np.frombuffer(value, np.uint8) for value in members["short"]])
+    count = members["n_shingles"].to_numpy()
+    found = []
+    for i in range(len(members)):
+        agree = (short[i + 1 :] == short[i]).sum(axis=1)
+        later = count[i + 1 :]
+        near = (agree >= AGREE) & (100 * np.minimum(later, count[i]) >= percent * np.maximum(later, count[i]))
+        other = np.flatnonzero(near)
+        found.append(np.stack((agree[other], np.full(len(other), i), other + i + 1), axis=1))
+    ordered = np.concatenate(found)
+    for _, i, j in ordered[np.argsort(-ordered[:, 0], kind="stable")]:
+        yield i, j
+
+
+def pairs_by_counting(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Similar pairs, exactly: common shingles of all pairs at once, as a product of incidence matrices in slices of columns."""
+    size = np.array([len(one) for one in sets], np.float64)
+    shingles, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size.astype(int))
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[place]
+    kept = shared[place]
+    column, owner = column[kept], owner[kept]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(shared.sum()), 4096):
+        low, high = np.searchsorted(column, (start, start + 4096))
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[low:high], column[low:high] - start] = 1
+        common += held @ held.T
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    yield from zip(*np.nonzero(np.triu(linked, 1)))
+
+
 def link_block(members: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links that join different components of one or two blocks of a bucket.
 
-    ``members`` has ``rep``, ``component``, ``n_shingles``, ``short``, ``shingles`` and ``side``. Pairs whose sketches agree enough are compared exactly, the most alike
-    first, and only while their components are still apart: so links come as a forest, and no pair is left out that could join more.
+    ``members`` has ``rep``, ``component``, ``n_shingles``, ``short``, ``shingles`` and ``side`` (the block, or -1 if there is one only). Few
+    members are compared one by one where their sketches agree, many all at once; pairs within a component, or a block of two, are passed
+    over. So links come as a forest, and no pair is left out that could join more.
     """
-    size = len(members)
-    short = np.stack([np.frombuffer(value, np.uint8) for value in members["short"]])
-    count = members["n_shingles"].to_numpy()
-    rep = members["rep"].to_numpy()
+    sets = [np.frombuffer(value, np.uint64) for value in members["shingles"]]
+    rep, component, side = (members[name].to_numpy() for name in ("rep", "component", "side"))
     parent: dict[int, int] = {}
 
     def root(node: int) -> int:
@@ -191,26 +229,13 @@ def link_block(members: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
             node = parent[node]
         return node
 
-    component = members["component"].to_numpy()
-    side = members["side"].to_numpy()
-    found, pairs = [], []
-    for i in range(size):
-        agree = (short[i + 1 :] == short[i]).sum(axis=1)
-        later = count[i + 1 :]
-        near = (agree >= AGREE) & (component[i + 1 :] != component[i])
-        near &= 100 * np.minimum(later, count[i]) >= percent * np.maximum(later, count[i])
-        near &= (side[i + 1 :] != side[i]) | (side[i] < 0)
-        other = np.flatnonzero(near)
-        if len(other):
-            pairs.append(np.stack((agree[other], np.full(len(other), i), other + i + 1), axis=1))
-    if not pairs:
-        return []
-    ordered = np.concatenate(pairs)
-    ordered = ordered[np.argsort(-ordered[:, 0], kind="stable")]
-    sets = members["shingles"].to_numpy()
-    for _, i, j in ordered:
+    few = len(members) <= FEW
+    found = []
+    for i, j in pairs_by_sketch(members, percent) if few else pairs_by_counting(sets, percent):
+        if component[i] == component[j] or (side[i] >= 0 and side[i] == side[j]):
+            continue
         one, other = root(int(component[i])), root(int(component[j]))
-        if one != other and is_similar(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64), percent):
+        if one != other and (not few or is_similar(sets[i], sets[j], percent)):
             parent[one] = other
             found.append((int(rep[i]), int(rep[j])))
     return found

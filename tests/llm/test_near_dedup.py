@@ -87,6 +87,54 @@ def test_blocks_link_what_hubs_miss(words):
     assert sorted(near_dedup.link_block(members, 85)) == [(0, 1), (2, 3)]
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_many_and_few_members_give_the_same_components(words, monkeypatch, two):
+    import pandas as pd
+
+    hashes, seed, source = WordHashes(), seeds(), random.Random(3)
+    texts = []
+    for family in range(4):
+        base = words(80, family).split()
+        for _ in range(30):
+            changed = list(base)
+            for _ in range(source.randrange(0, 12)):
+                changed[source.randrange(80)] = f"w{source.randrange(10**6)}"
+            texts.append(" ".join(changed))
+    sets = [shingle_set(t.encode(), 3, hashes, TABLE) for t in texts]
+    members = pd.DataFrame({
+        "rep": range(120), "component": [i - i % 2 for i in range(120)], "n_shingles": [len(s) for s in sets],
+        "side": [i % 2 if two else -1 for i in range(120)],
+        "short": [short_sketch(sketch(s, seed)) for s in sets], "shingles": [s.tobytes() for s in sets],
+    })
+
+    def parts(links):
+        parent = list(range(0, 120))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(120):
+            parent[root(i)] = root(i - i % 2)
+        for a, b in links:
+            parent[root(a)] = root(b)
+        names = {}
+        return [names.setdefault(root(i), i) for i in range(120)]
+
+    plain = []
+    for a in range(120):
+        for b in range(a + 1, 120):
+            both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if (not two or a % 2 != b % 2) and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                plain.append((a, b))
+    many = near_dedup.link_block(members, 85)
+    monkeypatch.setattr(near_dedup, "FEW", 1000)
+    few = near_dedup.link_block(members, 85)
+    assert parts(many) == parts(few) == parts(plain)
+    assert 0 < len(many) == len(few) < 60
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     random_ = np.random.default_rng(4)
     seed = seeds()
