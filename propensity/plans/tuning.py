@@ -25,7 +25,7 @@ from propensity.session import scratch
 from propensity.sources.tables import stage
 
 FOLD = "fold"
-LAYOUT_PARTITIONS = 16
+LAYOUT_PARTITIONS = 8
 
 
 class FittedFeatures(NamedTuple):
