@@ -21,7 +21,7 @@ SKETCH = BANDS * ROWS
 #: sketch coordinates that two texts must share before their sets are compared: similar texts have fewer in under 1 of 10 million cases
 AGREE = 50
 #: members of a bucket in one block
-BLOCK = 512
+BLOCK = 256
 #: up to so many members of a block are compared one by one
 FEW = 48
 ID_BUCKETS = 1 << 20
