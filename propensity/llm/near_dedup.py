@@ -24,6 +24,8 @@ AGREE = 50
 BLOCK = 256
 #: up to so many members of a block are compared one by one
 FEW = 48
+#: shingles of a block that are counted at a time
+COUNTED = 1 << 19
 ID_BUCKETS = 1 << 20
 #: words whose hashes a task keeps at a time
 WORDS_KEPT = 1 << 17
@@ -192,22 +194,29 @@ def pairs_by_sketch(members: pd.DataFrame, percent: int) -> Iterator[tuple[int,
 
 
 def pairs_by_counting(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Similar pairs, exactly: common shingles of all pairs at once, as a product of incidence matrices in slices of columns."""
+    """Similar pairs, exactly: common shingles of all pairs at once, as products of incidence matrices.
+
+    Shingles are taken in ranges of their hashes, so that only ``COUNTED`` of them or so are held at a time, however long the texts are.
+    """
     size = np.array([len(one) for one in sets], np.float64)
-    shingles, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size.astype(int))
-    shared = times > 1
-    column = (np.cumsum(shared) - 1)[place]
-    kept = shared[place]
-    column, owner = column[kept], owner[kept]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
     common = np.zeros((len(sets), len(sets)))
-    for start in range(0, int(shared.sum()), 4096):
-        low, high = np.searchsorted(column, (start, start + 4096))
-        held = np.zeros((len(sets), 4096), np.float32)
-        held[owner[low:high], column[low:high] - start] = 1
-        common += held @ held.T
+    ranges = int(size.sum()) // COUNTED + 1
+    edges = [np.uint64((i << 64) // ranges) for i in range(1, ranges)]
+    cuts = [[0, *np.searchsorted(one, edges).tolist(), len(one)] for one in sets]
+    for part in range(ranges):
+        held = [one[cut[part] : cut[part + 1]] for one, cut in zip(sets, cuts)]
+        owner = np.repeat(np.arange(len(sets)), [len(one) for one in held])
+        _, place, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        shared = times > 1
+        kept = shared[place]
+        column, owner = (np.cumsum(shared) - 1)[place][kept], owner[kept]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for start in range(0, int(shared.sum()), 4096):
+            low, high = np.searchsorted(column, (start, start + 4096))
+            matrix = np.zeros((len(sets), 4096), np.float32)
+            matrix[owner[low:high], column[low:high] - start] = 1
+            common += matrix @ matrix.T
     linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     yield from zip(*np.nonzero(np.triu(linked, 1)))
 

@@ -129,6 +129,8 @@ def test_many_and_few_members_give_the_same_components(words, monkeypatch, two):
             if (not two or a % 2 != b % 2) and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
                 plain.append((a, b))
     many = near_dedup.link_block(members, 85)
+    monkeypatch.setattr(near_dedup, "COUNTED", 700)
+    assert near_dedup.link_block(members, 85) == many
     monkeypatch.setattr(near_dedup, "FEW", 1000)
     few = near_dedup.link_block(members, 85)
     assert parts(many) == parts(few) == parts(plain)
