@@ -140,7 +140,7 @@ def token_features(text: str, places: list[tuple[int, int]]) -> tuple[np.ndarray
                 1, "@" in token, token[0] == "+", token[0] == "(", letters, "=" in token, token.count(".") == 3, "-" in token,
                 count <= 2, count == 3, 4 <= count <= 6, 7 <= count <= 9, 10 <= count <= 13, 14 <= count <= 19, count >= 20,
                 end - start > 32, count == end - start, after, after and text[places[i - 1][0]] == "+", before,
-                len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+                len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
                 14 <= count <= 19 and not letters and luhn(digits),
                 bool(re.search(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z0-9]", token)) if "@" in token else False,
             )

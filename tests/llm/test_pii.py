@@ -116,6 +116,17 @@ def test_clean_numbers_stay_clean(field):
         assert field.spans(text) == ([], [])
 
 
+def test_digits_that_are_not_ascii_are_no_octets(spark, field):
+    octets = pii.FEATURES.index("octets")
+    for text, expected in (("10.0.0.1² 5", 0), ("1.2.3.① 5", 0), ("1.2.3.٤ 5", 0), ("10.0.0.1 5", 1)):
+        assert token_features(text, tokens(text))[0][0, octets] == expected
+    rows = [(1, "10.0.0.1² 5"), (2, "1.2.3.① 5"), (3, "x 1.2.3.4")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert train_field(table).unary.shape == (len(pii.FEATURES), LABELS)
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.base] for r in find_personal_data(table, field).collect()}
+    assert found == {1: [("ip", 0, 8)], 2: [], 3: [("ip", 2, 9)]}
+
+
 def test_operator_on_rows_of_all_kinds(clashing, field):
     rows = [(1, None), (2, ""), (3, "a@b.co 🎉 1.2.3.4"), (3, "a@b.co 🎉 1.2.3.4"), (None, "é +1 (988) 555-2485"), (4, "clean " * 300_000 + "x@y.zz")]
     found = find_personal_data(clashing(rows, SCHEMA), field).collect()
