@@ -120,6 +120,28 @@ def text_hash(column: Column) -> Column:
     return F.xxhash64(as_bytes(column))
 
 
+def with_class_keys(classes: DataFrame, key: str) -> DataFrame:
+    """``classes`` with ``rep``: a 64-bit hash of ``key`` that no other class has. An id cannot name a class, since rows may repeat ids.
+
+    ``classes`` is a staged table with one row per ``key``. Should two keys share a hash (2^32 classes: in 2 of 5 cases), another seed is taken.
+    """
+    for seed in range(100):
+        keyed = classes.withColumn("rep", F.xxhash64(F.lit(seed), key))
+        if keyed.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return keyed
+    raise ValueError(f"no 64-bit hash tells the values of {key!r} apart")
+
+
+def component_ids(classes: DataFrame, components: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``(rep, component_id)`` of the classes in ``components``: the smallest id of a component's classes.
+
+    The smallest ids are staged, so that the join with them can split a component with very many classes.
+    """
+    placed = components.join(classes.select("rep", id_col), components["node"] == F.col("rep"))
+    lowest = stage(placed.groupBy("component").agg(F.min(id_col).alias("component_id")), name)
+    return components.join(lowest, "component").select(F.col("node").alias("rep"), "component_id")
+
+
 def without_rows(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, name: str) -> DataFrame:
     """``df`` without the rows whose id and text hash are in ``gone`` (``id``, ``text_hash``); all columns stay, and all rows with a NULL id.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from propensity.llm.common import inputs, settle, small_batches, stage
+from propensity.llm.common import component_ids, inputs, settle, small_batches, stage, with_class_keys
 from propensity.llm.components import connected_components
 
 COSINE = 0.93
@@ -256,13 +256,13 @@ def _linked_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str,
     hashed = stage(hashed, "vector-hashes")
     linkable = hashed.filter("vector_key is not null")
     classes = linkable.groupBy("vector_key").agg(
-        F.min("vec_id").alias("rep"),
+        F.min("vec_id").alias("vec_id"),
         F.count(F.lit(1)).alias("copies"),
         F.first("label_hash").alias("label_hash"),
         F.first("data").alias("data"),
         F.first("keys").alias("keys"),
     )
-    classes = stage(classes, "vector-classes")
+    classes = with_class_keys(stage(classes, "vector-classes"), "vector_key")
 
     banded = classes.select("vector_key", F.explode("keys").alias("key"))
     shared = stage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "vector-shared")
@@ -277,7 +277,7 @@ def _linked_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str,
         "block",
         "vector_key",
     )
-    full = stage(units, "vector-units").join(classes.drop("keys"), "vector_key").drop("vector_key")
+    full = stage(units, "vector-units").join(classes.drop("keys", "vec_id"), "vector_key").drop("vector_key")
     unit = ["key", "first", "second"]
     found = (
         small_batches(full)
@@ -289,13 +289,13 @@ def _linked_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str,
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-parts")
     named = (
-        classes.select("vector_key", "rep", "copies")
+        classes.select("vector_key", "rep", "vec_id", "copies")
         .join(stage(links, "vector-sums"), "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(component_ids(classes, parts, "vec_id", "vector-lowest"), "rep", "left")
         .select(
             "vector_key",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component_id", "vec_id").alias("component_id"),
         )
     )
     linked = linkable.select("vec_id", "vector_key").join(stage(named, "vector-named"), "vector_key")

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propensity.llm.common import as_bytes, inputs, settle, small_batches, stage, text_hash, without_rows
+from propensity.llm.common import (
+    as_bytes, component_ids, inputs, settle, small_batches, stage, text_hash, with_class_keys, without_rows,
+)
 from propensity.llm.components import connected_components
 
 #: words in a shingle, and similarity (in percent) from which texts are linked
@@ -159,7 +161,7 @@ def _set_task(width: int):
         hashes, table = WordHashes(), bytes.maketrans(UPPER, LOWER)
         for batch in batches:
             sets = [shingle_set(value.as_py(), width, hashes, table).tobytes() for value in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -250,28 +252,27 @@ def link_block(members: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``(rep, shingles)`` of the documents whose id is in ``ids``.
+def _with_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``(rep, shingles)`` of the classes in ``reps``, each from the row that stands for it.
 
-    Hash buckets of the ids, a bounded number, are broadcast first: so texts of other documents are hardly shuffled.
+    Hash buckets of those rows' ids and texts, a bounded number, are broadcast first: so other texts are hardly shuffled.
     """
+    place = ["doc_id", "text_hash"]
+    bucket = F.pmod(F.xxhash64(*place), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+    chosen = stage(classes.select("rep", *place).join(reps, "rep"), "near-chosen")
+    wanted = stage(chosen.select(bucket).distinct(), "near-buckets").coalesce(1)
+    likely = docs.select("*", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    texts = likely.join(chosen, place).select("rep", "text")
+    return stage(small_batches(texts).mapInArrow(_set_task(width), "rep bigint, shingles binary"), "near-sets")
 
-    def bucket(column: str):
-        return F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
 
-    wanted = stage(ids.select(bucket("rep")).distinct(), "near-buckets").coalesce(1)
-    likely = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
-    chosen = likely.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return stage(small_batches(chosen).mapInArrow(_set_task(width), "rep bigint, shingles binary"), "near-sets")
-
-
-def _links_with_hubs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links_with_hubs(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links of bucket members with the two hubs of their bucket, one pair per member and hub."""
     pairs = members.select("rep", F.explode(F.array("hub", "other_hub")).alias("hub")).filter("rep != hub")
     pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     pairs = stage(pairs.distinct(), "near-pairs")
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ids")
-    sets = _with_sets(docs, ids, width)
+    sets = _with_sets(docs, classes, ids, width)
     both = pairs.join(sets.toDF("a", "shingles_a"), "a").join(sets.toDF("b", "shingles_b"), "b")
     both = small_batches(both.select("a", "b", "shingles_a", "shingles_b"))
     return both.mapInArrow(_verify_task(percent), "a bigint, b bigint")
@@ -316,7 +317,7 @@ def _links_in_blocks(
         "component",
     )
     units = stage(units, "near-units")
-    sets = _with_sets(docs, stage(units.select("rep").distinct(), "near-ids"), width)
+    sets = _with_sets(docs, classes, stage(units.select("rep").distinct(), "near-ids"), width)
     known = classes.select("rep", "n_shingles", "short").join(sets, "rep")
     full = units.join(stage(known, "near-known"), "rep")
 
@@ -358,16 +359,17 @@ def _settled(df: DataFrame, *options) -> DataFrame:
 
 def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
     docs = inputs(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), as_bytes(F.col("text")).alias("text"))
-    hashed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
-    sketches = stage(small_batches(hashed).mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")
+    docs = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    sketches = stage(small_batches(docs).mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")
     linkable = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"),
+        F.min(F.struct("doc_id", "text_hash")).alias("first"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
         F.first("short").alias("short"),
     )
-    classes = stage(classes, "near-classes")
+    classes = classes.select("set_key", "first.doc_id", "first.text_hash", "n_shingles", "bands", "short")
+    classes = with_class_keys(stage(classes, "near-classes"), "set_key")
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(
@@ -376,15 +378,15 @@ def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, perce
     )
     members = stage(banded.join(stage(buckets.filter("n > 1"), "near-shared"), "key"), "near-members")
 
-    hub_links = stage(_links_with_hubs(members, docs, shingle_words, percent), "near-hub-links")
+    hub_links = stage(_links_with_hubs(members, classes, docs, shingle_words, percent), "near-hub-links")
     parts = connected_components(hub_links, "near-parts")
     wide = members.filter("n > 3")
     block_links = stage(_links_in_blocks(wide, classes, parts, docs, shingle_words, percent), "near-block-links")
     joined = parts.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     components = connected_components(joined.union(block_links), "near-components")
 
-    named = classes.join(components, classes["rep"] == components["node"], "left")
-    named = named.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("set_key", "rep", "doc_id").join(component_ids(classes, components, "doc_id", "near-lowest"), "rep", "left")
+    named = named.select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
     named = stage(named, "near-named")
     found = linkable.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     alone = sketches.filter("n_shingles = 0 or doc_id is null").select(

@@ -89,5 +89,20 @@ def test_extreme_scales_and_missing_ids(spark):
     ]
 
 
+def test_vectors_under_one_id_are_judged_each_by_itself(spark):
+    schema = "vec_id bigint, embedding array<double>, label int"
+    rows = [(5, [1.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0], 1), (3, [1.0, 0.01, 0.0], 1), (4, [0.0, 1.0, 0.01], 1), (5, [0.0, 0.0, 1.0], 1)]
+    found = near_duplicate_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [
+        (3, 1, 3, True), (4, 1, 4, True), (5, 0, 5, True), (5, 1, 3, False), (5, 1, 4, False),
+    ]
+
+
+def test_one_id_for_all_vectors_changes_no_link(spark):
+    rows = vectors(200)
+    found = near_duplicate_vectors(spark.createDataFrame([(1, v, l) for _, v, l in rows], "vec_id bigint, embedding array<float>, label int"))
+    assert sorted(r.n_links for r in found.collect()) == sorted(n for n, _ in brute(rows, 0.93).values())
+
+
 def test_empty_table(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0

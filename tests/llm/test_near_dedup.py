@@ -182,6 +182,25 @@ def test_repeated_and_missing_ids_and_dropping(clashing, words):
     )
 
 
+def test_texts_under_one_id_are_judged_each_by_itself(clashing, words):
+    text, clean = words(50, 1), words(50, 2)
+    rows = [(5, text), (5, clean), (3, text + " tail"), (7, words(50, 3)), (7, clean + " tail"), (7, words(50, 4))]
+    table = clashing(rows, SCHEMA)
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(table).collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 7, True), (7, 7, True)]
+    kept = [(r.doc_id, r.text) for r in drop_near_duplicates(table).collect()]
+    assert sorted(kept) == sorted(rows[i] for i in (1, 2, 3, 5))
+
+
+def test_one_id_for_all_texts_changes_no_set(clashing, words, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = families(words)
+    one = near_duplicates(clashing([(1, t) for _, t in rows] + [(0, rows[0][1] + " tail")], SCHEMA), shingle_words=3, percent=85).collect()
+    parts = plain_components([*rows, (-1, rows[0][1] + " tail")], 3, 85)
+    expected = sorted((parts[i][0], 0 if parts[i][1] == -1 else 1) for i in range(len(rows)))
+    assert sorted((r.n_shingles, r.component_id) for r in one if r.doc_id == 1) == expected
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
