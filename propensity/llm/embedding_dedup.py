@@ -235,13 +235,16 @@ def near_duplicate_vectors(
     practically none of cosine 0.95 or more; nothing below ``cosine`` is linked.
 
     Vectors that are NULL, empty, zero, or hold a NULL or non-finite component link with nothing, nor do those with a NULL label or
-    a NULL id, or of different lengths. Rows that repeat an id are vectors of their own. An empty table gives an empty result.
+    a NULL id, or of different lengths. Rows that repeat an id are vectors of their own. A ``cosine`` below 0.93 is refused, as
+    the tables would lose links. An empty table gives an empty result.
     """
     options = (id_col, vector_col, label_col, cosine)
     return settle(df.sparkSession, "near-vectors", lambda: _linked_vectors(df, *options))
 
 
 def _linked_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, cosine: float) -> DataFrame:
+    if cosine < COSINE:
+        raise ValueError(f"tables are made for a cosine of {COSINE} or more, and would lose links at {cosine}")
     rows = inputs(df, vec_id=id_col, vector=vector_col, label=label_col)
     single = isinstance(rows.schema["vector"].dataType, ArrayType) and isinstance(
         rows.schema["vector"].dataType.elementType, FloatType

@@ -348,7 +348,7 @@ def near_duplicates(
 
     Words are what stands between ASCII white space, with A-Z in lower case. Of fewer words than a shingle has, the sequence is the only
     shingle; NULL and empty texts and those without a word have no shingle and link with nothing. A NULL id links
-    with nothing, has a NULL component, and is kept. Rows that repeat an id are judged by their texts, each by itself. An empty table gives an empty result.
+    with nothing, has a NULL component, and is kept. A ``percent`` below 80 is refused, as the bands would lose links. Rows that repeat an id are judged by their texts, each by itself. An empty table gives an empty result.
     """
     return _settled(df, id_col, text_col, shingle_words, percent).drop("text_hash")
 
@@ -358,6 +358,8 @@ def _settled(df: DataFrame, *options) -> DataFrame:
 
 
 def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
+    if percent < PERCENT:
+        raise ValueError(f"bands and agreement are made for {PERCENT} percent or more, and would lose links at {percent}")
     docs = inputs(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), as_bytes(F.col("text")).alias("text"))
     docs = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
     sketches = stage(small_batches(docs).mapInArrow(_sketch_task(shingle_words), SKETCH_SCHEMA), "near-sketches")

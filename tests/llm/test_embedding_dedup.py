@@ -104,5 +104,10 @@ def test_one_id_for_all_vectors_changes_no_link(spark):
     assert sorted(r.n_links for r in found.collect()) == sorted(n for n, _ in brute(rows, 0.93).values())
 
 
+def test_cosines_that_the_tables_are_not_made_for_are_refused(spark):
+    with pytest.raises(ValueError, match="0.92"):
+        near_duplicate_vectors(spark.createDataFrame([(1, [1.0], 1)], "vec_id bigint, embedding array<float>, label int"), cosine=0.92)
+
+
 def test_empty_table(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0

@@ -201,6 +201,12 @@ def test_one_id_for_all_texts_changes_no_set(clashing, words, monkeypatch):
     assert sorted((r.n_shingles, r.component_id) for r in one if r.doc_id == 1) == expected
 
 
+@pytest.mark.parametrize("operator", [near_duplicates, drop_near_duplicates])
+def test_thresholds_that_the_bands_are_not_made_for_are_refused(spark, operator):
+    with pytest.raises(ValueError, match="79"):
+        operator(spark.createDataFrame([(1, "a b c")], SCHEMA), percent=79)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
