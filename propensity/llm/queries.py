@@ -14,6 +14,7 @@ from propensity.llm.mixing import mix_sources
 from propensity.llm.near_dedup import near_duplicates
 from propensity.llm.pii import KINDS, find_personal_data, train_field
 from propensity.llm.sharding import assign_shards
+from propensity.llm.token_files import token_file_round_trip
 from propensity.llm.toxicity import fit_toxicity, score_toxicity
 from propensity.llm.warc import archive_round_trip
 
@@ -94,6 +95,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    documents = token_file_round_trip(read_table(spark, folder, "documents"))
+    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -105,4 +111,5 @@ LLM_QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_warc": op10_warc,
+    "op13_token_files": op13_token_files,
 }
