@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from propensity.llm.common import as_bytes, inputs, pieces, small_batches, stage
 from propensity.llm.flat_files import FlatFile, FlatWriter
@@ -14,8 +16,8 @@ from propensity.session import scratch_path
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
-#: texts beyond this many characters are cut before white space, and this many bytes of text are encoded at a time
-LONG_TEXT, BATCH_BYTES = 1 << 16, 1 << 20
+#: bytes of text that are encoded at a time; words that a task remembers; characters of a word that is not remembered
+BATCH_BYTES, CACHED, LONG_WORD = 1 << 20, 1 << 18, 64
 #: tokens in an entry of the list of files, which is what one reading task takes at a time
 CHUNK_TOKENS = 1 << 22
 
@@ -46,35 +48,33 @@ def id_width(path: str | None = None, end_id: int = END_ID) -> int:
     return 2 if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
-def text_pieces(text: str, size: int = LONG_TEXT) -> list[str]:
-    """Pieces of a text, each of ``size`` characters or up to the next space or line end, whose ids joined are those of the text.
+class Encoder:
+    """Packed ids of whole texts, without the special tokens that a model adds.
 
-    A word-level tokenizer drops white space, and neither normalization nor lower case looks across a space that begins a piece.
+    The tokenizer drops white space, and neither normalization nor lower case looks across a space or a line end. So a text is cut there, and
+    each cut is encoded by the library and remembered for the task, up to ``CACHED`` of them: most words come again.
     """
-    import re
-
-    space = re.compile(r"[ \n]")
-    found, start = [], 0
-    while len(text) - start > size:
-        cut = space.search(text, start + size)
-        if not cut:
-            break
-        found.append(text[start : cut.start()])
-        start = cut.start()
-    return [*found, text[start:]]
-
-
-def encode_texts(texts: list[str], path: str | None = None) -> list[list[int]]:
-    """Ids of whole texts, without the special tokens that a model adds."""
-    parts, owner = [], []
-    for i, text in enumerate(texts):
-        cut = text_pieces(text)
-        parts += cut
-        owner += [i] * len(cut)
-    ids: list[list[int]] = [[] for _ in texts]
-    for i, found in zip(owner, tokenizer(path).encode_batch_fast(parts, add_special_tokens=False)):
-        ids[i] += found.ids
-    return ids
+
+    def __init__(self, path: str | None, width: int):
+        self.path, self.kind, self.known = path, f"<u{width}", {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > CACHED:
+            self.known = {"": b""}
+        known = self.known
+        missing = list(set().union(*cut).difference(known))
+        for start in range(0, len(missing), 1024):
+            words = missing[start : start + 1024]
+            for word, found in zip(words, tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)):
+                known[word] = np.array(found.ids, self.kind).tobytes()
+        packed = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in missing:
+            if len(word) > LONG_WORD:
+                del known[word]
+        return packed
 
 
 def write_token_files(
@@ -96,24 +96,25 @@ def write_token_files(
     rows = rows.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     width = id_width(path, end_id)
+    list_schema = to_arrow_schema(StructType.fromDDL(LIST_SCHEMA))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
 
-        kind = f"<u{width}"
+        encode, end = Encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
         out, entries, entry, written = None, [], None, [0, 0]
         for batch in batches:
             sizes = [len(text.as_buffer()) for text in batch.column(1)]
             for part in pieces(sizes, BATCH_BYTES):
                 given = batch.slice(part.start, part.stop - part.start)
                 texts = [text.as_py().decode("utf-8", "replace") for text in given.column(1)]
-                encoded = [[*ids, end_id] for ids in encode_texts(texts, path)]
+                encoded = [ids + end for ids in encode(texts)]
                 if out is None:
                     out = FlatWriter(folder, "tokens", ("tok", "off", "doc"))
                     out.append("off", np.zeros(1, "<i8"))
-                lengths = np.array([len(ids) for ids in encoded], np.int64)
-                out.append("tok", np.concatenate([np.array(ids, kind) for ids in encoded]))
+                lengths = np.array([len(ids) for ids in encoded], np.int64) // width
+                out.append("tok", b"".join(encoded))
                 out.append("off", (written[1] + lengths.cumsum()).astype("<i8"))
                 out.append("doc", np.array([id or 0 for id in given.column(0).to_pylist()], "<i8"))
                 for id, length in zip(given.column(0), lengths.tolist()):
@@ -129,10 +130,6 @@ def write_token_files(
             own = {"part": TaskContext.get().partitionId(), "stem": f"{folder}/{out.stem}", "width": width}
             yield pa.RecordBatch.from_pylist([own | entry for entry in entries], schema=list_schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    list_schema = to_arrow_schema(StructType.fromDDL(LIST_SCHEMA))
     return stage(small_batches(rows).mapInArrow(write, LIST_SCHEMA), "token-files")
 
 

@@ -3,10 +3,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from propensity.llm.token_files import (
-    CHUNK_TOKENS, END_ID, TOKENIZER_FILE, encode_texts, id_width, read_token_files, text_pieces, token_file_round_trip, with_bases, write_token_files,
+    CHUNK_TOKENS, END_ID, TOKENIZER_FILE, Encoder, id_width, read_token_files, token_file_round_trip, with_bases, write_token_files,
 )
 from propensity.session import scratch_path
 
@@ -93,9 +95,25 @@ def test_entries_cut_long_parts_between_documents(spark, monkeypatch):
     "word " * 40_000, "no-break" * 30_000, ("a" * 70_000 + "\n") * 2, "ΟΔΟΣ " * 30_000, "x́ ́y" * 20_000, " " * 200_000, "it's  we'll\t\n" * 12_000,
 ])
 def test_long_texts_are_cut_without_a_trace(text):
-    assert len(text) > 1 << 16
-    assert "".join(text_pieces(text)) == text
-    assert encode_texts([text])[0] == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(Encoder(None, 2)([text])[0], "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.text(st.sampled_from("ab Σσ'sé\u0301\u0308\u1100\u1161 \n\t\x85\u2028\u00a0\x1cİ1!<|endoftext|>日🎉"), max_size=60), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_words_are_encoded_as_in_their_text(texts):
+    found = Encoder(None, 2)(texts)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cache_is_bounded(monkeypatch):
+    from propensity.llm import token_files
+
+    monkeypatch.setattr(token_files, "CACHED", 10)
+    encode = Encoder(None, 4)
+    for start in range(0, 300, 3):
+        texts = [f"w{i} again x{i}" for i in range(start, start + 3)] + ["y" * 100]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == [LIBRARY.encode(t).ids for t in texts]
+        assert len(encode.known) < 30 and "y" * 100 not in encode.known
 
 
 def test_ill_formed_text(spark):
