@@ -132,3 +132,71 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
 FROM embeddings e JOIN parts p ON p.node = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
 """
+
+
+def _lloyd_round(number: int) -> str:
+    """Assignment to the centroids of a round, and the centroids of the next."""
+    return f"""
+a{number} AS MATERIALIZED (
+    SELECT row, cluster, d FROM (
+        SELECT k.row, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS d
+        FROM kept k CROSS JOIN c{number} c
+    ) QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, cluster) = 1
+),
+s{number} AS (
+    SELECT cluster, i, CAST(sum(v[i]) AS HUGEINT) AS s, count(*) AS n
+    FROM (SELECT a.cluster, k.v, unnest(range(1, 65)) AS i FROM a{number} a JOIN kept k USING (row)) GROUP BY cluster, i
+),
+c{number + 1} AS MATERIALIZED (
+    SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{number} c LEFT JOIN (
+        SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{number} GROUP BY cluster
+    ) m USING (cluster)
+),"""
+
+
+ORACLES_LLM["op11_centroid_clusters"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS cluster, v
+    FROM kept QUALIFY cluster < 8
+),
+{"".join(_lloyd_round(number) for number in range(11))}
+totals AS (SELECT cluster, sum(d) AS total FROM a10 GROUP BY cluster)
+SELECT k.vec_id, CAST(a.cluster AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(t.total AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(d) FROM a10) AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a10 a JOIN kept k USING (row) JOIN totals t USING (cluster) JOIN c10 c USING (cluster)
+"""
+
+ORACLES_LLM["op12_lexical_search"] = r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+docs AS MATERIALIZED (SELECT row, doc_id, terms, len(terms) AS n FROM cut WHERE len(terms) > 0),
+sizes AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM docs),
+occurring AS MATERIALIZED (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * max(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+    FROM occurring, sizes GROUP BY term
+),
+items AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+wanted AS (
+    SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM items
+),
+scored AS (
+    SELECT q.item, q.item_id, d.row, d.doc_id,
+           CAST(sum(w.w * ((1000000000 * o.tf) // (1000 * o.tf + 8 * (10 + (90 * d.n * s.n_docs) // s.all_terms)))) AS BIGINT) AS score
+    FROM wanted q JOIN weights w USING (term) JOIN occurring o USING (term) JOIN docs d USING (row), sizes s
+    GROUP BY ALL
+),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS INT) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

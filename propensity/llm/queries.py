@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensity.llm.bpe import encode_and_decode
+from propensity.llm.centroids import cluster_vectors
 from propensity.llm.common import key_remainder, read_table
 from propensity.llm.embedding_dedup import near_duplicate_vectors
 from propensity.llm.exact_dedup import exact_duplicates
 from propensity.llm.langid import fit_profiles, identify_languages
+from propensity.llm.lexical_search import search
 from propensity.llm.mixing import mix_sources
 from propensity.llm.near_dedup import near_duplicates
 from propensity.llm.pii import KINDS, find_personal_data, train_field
@@ -95,6 +97,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, folder, "embeddings")).assigned
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     documents = token_file_round_trip(read_table(spark, folder, "documents"))
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -111,5 +121,7 @@ LLM_QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_warc": op10_warc,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_files": op13_token_files,
 }
