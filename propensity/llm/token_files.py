@@ -17,7 +17,7 @@ from propensity.session import scratch_path
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 #: bytes of text that are encoded at a time; words that a task remembers; characters of a word that is not remembered
-BATCH_BYTES, CACHED, LONG_WORD = 1 << 20, 1 << 18, 64
+BATCH_BYTES, CACHED, LONG_WORD = 1 << 20, 1 << 19, 64
 #: tokens in an entry of the list of files, which is what one reading task takes at a time
 CHUNK_TOKENS = 1 << 22
 
@@ -52,28 +52,41 @@ class Encoder:
     """Packed ids of whole texts, without the special tokens that a model adds.
 
     The tokenizer drops white space, and neither normalization nor lower case looks across a space or a line end. So a text is cut there, and
-    each cut is encoded by the library and remembered for the task, up to ``CACHED`` of them: most words come again.
+    each cut is encoded by the library and remembered for the task, up to ``CACHED`` of them: most words come again. New words go to the
+    library joined by a special token of its own, across which it does not look either, and whose id parts the result again.
     """
 
     def __init__(self, path: str | None, width: int):
         self.path, self.kind, self.known = path, f"<u{width}", {}
+        special = [(token.content, id) for id, token in tokenizer(path).get_added_tokens_decoder().items() if token.special]
+        self.mark, self.mark_id = special[0] if special else (None, -1)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> None:
         import numpy as np
 
+        library = tokenizer(self.path)
+        apart = [word for word in words if self.mark is None or self.mark[0] in word]
+        for word, found in zip(apart, library.encode_batch_fast(apart, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, self.kind).tobytes()
+        rest = [word for word in words if word not in self.known]
+        lines = [rest[start : start + 256] for start in range(0, len(rest), 256)]
+        for line, found in zip(lines, library.encode_batch_fast([self.mark.join(line) for line in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            marks = np.flatnonzero(ids == self.mark_id) * ids.itemsize
+            packed, starts = ids.tobytes(), [0, *(marks + ids.itemsize).tolist()]
+            for word, start, end in zip(line, starts, [*marks.tolist(), len(packed)]):
+                self.known[word] = packed[start:end]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > CACHED:
-            self.known = {"": b""}
-        known = self.known
-        missing = list(set().union(*cut).difference(known))
-        for start in range(0, len(missing), 1024):
-            words = missing[start : start + 1024]
-            for word, found in zip(words, tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)):
-                known[word] = np.array(found.ids, self.kind).tobytes()
-        packed = [b"".join(map(known.__getitem__, words)) for words in cut]
+            self.known = {}
+        missing = list(set().union(*cut).difference(self.known))
+        self._learn(missing)
+        packed = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         for word in missing:
             if len(word) > LONG_WORD:
-                del known[word]
+                del self.known[word]
         return packed
 
 
