@@ -17,7 +17,9 @@ from propensity.session import scratch_path
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 #: bytes of text that are encoded at a time; words that a task remembers; characters of a word that is not remembered
-BATCH_BYTES, CACHED, LONG_WORD = 1 << 20, 1 << 19, 64
+BATCH_BYTES, CACHED, LONG_WORD = 1 << 22, 1 << 19, 64
+#: a word of one id, which no other character gives
+MARK = "0"
 #: tokens in an entry of the list of files, which is what one reading task takes at a time
 CHUNK_TOKENS = 1 << 22
 
@@ -53,41 +55,62 @@ class Encoder:
 
     The tokenizer drops white space, and neither normalization nor lower case looks across a space or a line end. So a text is cut there, and
     each cut is encoded by the library and remembered for the task, up to ``CACHED`` of them: most words come again. New words go to the
-    library joined by a special token of its own, across which it does not look either, and whose id parts the result again.
+    library many at a time with a ``MARK`` between them, whose id parts the result again; those that hold it go by themselves.
     """
 
     def __init__(self, path: str | None, width: int):
         self.path, self.kind, self.known = path, f"<u{width}", {}
-        special = [(token.content, id) for id, token in tokenizer(path).get_added_tokens_decoder().items() if token.special]
-        self.mark, self.mark_id = special[0] if special else (None, -1)
+        one, mark, two, joined = (tokenizer(path).encode(t, add_special_tokens=False).ids for t in ("a", MARK, "b", f"a {MARK} b"))
+        if joined != one + mark + two or len(mark) != 1:
+            raise ValueError("the tokenizer does not drop white space between words, or splits a digit")
+        self.mark_id = mark[0]
 
     def _learn(self, words: list[str]) -> None:
         import numpy as np
 
         library = tokenizer(self.path)
-        apart = [word for word in words if self.mark is None or self.mark[0] in word]
+        apart = [word for word in words if MARK in word]
         for word, found in zip(apart, library.encode_batch_fast(apart, add_special_tokens=False)):
             self.known[word] = np.array(found.ids, self.kind).tobytes()
-        rest = [word for word in words if word not in self.known]
-        lines = [rest[start : start + 256] for start in range(0, len(rest), 256)]
-        for line, found in zip(lines, library.encode_batch_fast([self.mark.join(line) for line in lines], add_special_tokens=False)):
+        rest = [word for word in words if MARK not in word]
+        lines = [rest[start : start + 64] for start in range(0, len(rest), 64)]
+        for line, found in zip(lines, library.encode_batch_fast([f" {MARK} ".join(line) for line in lines], add_special_tokens=False)):
             ids = np.array(found.ids, self.kind)
             marks = np.flatnonzero(ids == self.mark_id) * ids.itemsize
             packed, starts = ids.tobytes(), [0, *(marks + ids.itemsize).tolist()]
             for word, start, end in zip(line, starts, [*marks.tolist(), len(packed)]):
                 self.known[word] = packed[start:end]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """Packed ids of an Arrow array of texts.
+
+        Capitals of ASCII, and whether a comma or full stop that ends a word stands apart, make no difference to the ids; without them more words are the
+        same. Texts that might name a special token are left as they are.
+        """
+        import pyarrow.compute as pc
+
         if len(self.known) > CACHED:
             self.known = {}
-        missing = list(set().union(*cut).difference(self.known))
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([0-9a-z])([,.])(\s|$)", r"\1 \2\3")
+        alike = pc.if_else(pc.match_substring(texts, "<|"), texts, plain)
+        cut = pc.split_pattern(pc.replace_substring(alike, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        missing = [word for word in distinct if word not in self.known]
         self._learn(missing)
-        packed = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        packed = pa.array([self.known[word] for word in distinct], pa.binary()).take(words.indices)
         for word in missing:
             if len(word) > LONG_WORD:
                 del self.known[word]
-        return packed
+        return pc.binary_join(pa.ListArray.from_arrays(cut.offsets, packed), b"")
+
+
+def as_texts(column: pa.Array) -> pa.Array:
+    """Bytes as text; what is no UTF-8 becomes the replacement character."""
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([value.decode("utf-8", "replace") for value in column.to_pylist()], pa.string())
 
 
 def write_token_files(
@@ -113,16 +136,16 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encode, end = Encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
         out, entries, entry, written = None, [], None, [0, 0]
         for batch in batches:
-            sizes = [len(text.as_buffer()) for text in batch.column(1)]
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
             for part in pieces(sizes, BATCH_BYTES):
                 given = batch.slice(part.start, part.stop - part.start)
-                texts = [text.as_py().decode("utf-8", "replace") for text in given.column(1)]
-                encoded = [ids + end for ids in encode(texts)]
+                encoded = [ids + end for ids in encode(as_texts(given.column(1))).to_pylist()]
                 if out is None:
                     out = FlatWriter(folder, "tokens", ("tok", "off", "doc"))
                     out.append("off", np.zeros(1, "<i8"))
