@@ -1,5 +1,6 @@
 """DataFrame operators and custom ML stages."""
 
+from propensity.operators.binning import QuantileBins, quantile_edges
 from propensity.operators.cleaning import (
     cast_to_double,
     columns_of_type,
@@ -9,8 +10,10 @@ from propensity.operators.cleaning import (
     rename_columns,
     skip_invalid_rows,
 )
+from propensity.operators.curves import curve_areas
 from propensity.operators.cyclical_dates import CyclicalDateTransformer
-from propensity.operators.lookup import join_lookup
+from propensity.operators.indexing import FrequencyIndexer, FrequencyIndexerModel, frequency_ranks
+from propensity.operators.lookup import join_lookup, map_values
 from propensity.operators.metrics import (
     area_of_scores,
     area_under_roc,
@@ -40,6 +43,9 @@ __all__ = [
     "AutoTargetEncoder",
     "AutoTargetEncoderModel",
     "CyclicalDateTransformer",
+    "FrequencyIndexer",
+    "FrequencyIndexerModel",
+    "QuantileBins",
     "area_of_scores",
     "area_under_roc",
     "balanced_weights",
@@ -48,13 +54,17 @@ __all__ = [
     "class_balance",
     "columns_of_type",
     "confusion_matrix",
+    "curve_areas",
     "drop_null_labels",
     "drop_sparse_columns",
     "drop_sparse_rows",
+    "frequency_ranks",
     "join_lookup",
+    "map_values",
     "missing_report",
     "out_of_fold_encode",
     "per_class_metrics",
+    "quantile_edges",
     "random_split",
     "rename_columns",
     "row_count",

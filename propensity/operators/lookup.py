@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from propensity.functions.literals import MAX_LITERAL_KEYS, literal_map
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_PARTS = 200
@@ -58,3 +61,25 @@ def join_lookup(
     joined = salted.join(cold, matches("__cold_") & (F.col("__salt") == F.col("__cold_salt")), "left")
     found = {name: F.coalesce(f"__hot_{name}", f"__cold_{name}") for name in values}
     return joined.withColumns(found).select(*df.columns, *values)
+
+
+def map_values(df: DataFrame, mapping: Mapping, key: str, output: str, value_type: str = "double") -> DataFrame:
+    """``df`` with ``output``: the value of column ``key`` in a mapping of any size, NULL where there is none.
+
+    A small mapping is an expression in the plan. A larger one becomes a table, which is joined by its measured size.
+    """
+    if len(mapping) <= MAX_LITERAL_KEYS:
+        return df.withColumn(output, literal_map(mapping, F.col(key)).cast(value_type))
+    entry, kind = f"__{output}_key", df.schema[key].dataType
+    fields = StructType([StructField(entry, kind), *StructType.fromDDL(f"`{output}` {value_type}").fields])
+    table = df.sparkSession.createDataFrame([(k, v) for k, v in mapping.items() if k is not None], fields)
+    size = sum(len(str(k)) + len(str(v)) + 32 for k, v in mapping.items())
+    joined = join_lookup(
+        df.withColumn(entry, F.col(key)),
+        table.withColumn("__rows", F.lit(0)),  # no counts: frequent keys are left to adaptive execution
+        [entry],
+        lookup_bytes=size,
+        rows_column="__rows",
+        total_rows=0,
+    )
+    return joined.drop(entry)

@@ -6,6 +6,11 @@ split do have one, and run the same code.
 
 from __future__ import annotations
 
+import json
+import math
+
+import numpy as np
+
 # The appointment table; ``h`` is the split hash of the row key.
 APPOINTMENTS = """
 visits AS (
@@ -278,7 +283,99 @@ values_of AS (
 board AS (SELECT model, CAST(rank() OVER (ORDER BY auc DESC, model) AS BIGINT) AS rank FROM area)
 """
 
+NULLED = """
+fold_rows AS (
+  SELECT f.fold, date_diff AS x, showed_up AS y, CASE WHEN showed_up = 1 THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END AS w
+  FROM train, (VALUES (0), (1), (2)) f(fold) WHERE fold_h % 3 <> f.fold
+),
+fold_means AS (
+  SELECT fold, sum(w) AS sw, sum(w * w) AS sww, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM fold_rows GROUP BY fold
+),
+fold_limits AS (
+  SELECT fold, abs(sum(w * (y - my) * (x - mx))) / any_value(sw) / sqrt(sum(w * (x - mx) * (x - mx)) / any_value(sw - sww / sw)) AS most
+  FROM fold_rows JOIN fold_means USING (fold) GROUP BY fold
+)
+"""
+
+
+def logistic_points() -> str:
+    """The full logistic grid as rows ``(params, corner)``: the strength of the part of the penalty that can remove an input."""
+    rows = []
+    for mixing in (1.0, 0.0, 0.5):
+        for strength in np.logspace(-4, 4, 20).tolist():
+            rows += [({"elasticNetParam": mixing, "maxIter": n, "regParam": strength}, mixing * strength) for n in (100, 1000, 2500, 5000)]
+    rows += [({"maxIter": n, "regParam": 0.0}, 0.0) for n in (100, 1000, 2500, 5000)]
+    return ", ".join(f"('{json.dumps(params, sort_keys=True)}', {corner!r}::DOUBLE)" for params, corner in rows)
+
+
+def key_hashed(value: str) -> str:
+    return f"(({value}) % 2147483647 * 1103515245 + 12345) % 2147483647"
+
+
+def drawn(tree: int) -> str:
+    """Poisson draw of a row for a tree."""
+    mixed = key_hashed(f"xor({key_hashed('appointment_id')}, {(tree + 1) * 40503})")
+    hashed = key_hashed(f"xor(({mixed}) >> 9, {mixed})")
+    steps = [round(sum(math.exp(-1) / math.factorial(k) for k in range(count + 1)) * 2147483647) for count in range(12)]
+    cases = " ".join(f"WHEN {hashed} < {step} THEN {count}" for count, step in enumerate(steps))
+    return f"CAST(CASE {cases} ELSE 12 END AS INTEGER) AS tree_{tree}"
+
+
+def bin_edges(column: str) -> str:
+    return (
+        f"{column}_n AS (SELECT {column} AS v, count(*) AS n FROM valid WHERE split = 'train' GROUP BY v), "
+        f"{column}_below AS (SELECT v, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, "
+        f"sum(n) OVER () AS rows FROM {column}_n), "
+        f"{column}_edges AS (SELECT v FROM {column}_below QUALIFY b > 0 AND floor(b * 32 / rows) > lag(floor(b * 32 / rows)) OVER (ORDER BY v))"
+    )
+
+
 ORACLES: dict[str, str] = {
+    "scan_csv_bad_rows": with_tables(
+        "SELECT CASE WHEN appointment_id % 50 <> 1 THEN CAST(patient_id AS DOUBLE) END AS patient_id, appointment_id, "
+        "CASE WHEN appointment_id % 50 NOT IN (2, 5) THEN age END AS age, CAST(scheduled_day AS VARCHAR) AS scheduled_day, "
+        "CASE WHEN appointment_id % 50 <> 3 THEN showed_up END AS showed_up, "
+        "CAST(appointment_id % 50 IN (1, 2, 3) AS INTEGER) AS is_bad FROM appointments"
+    ),
+    "map_lookup_wide": with_tables(
+        "SELECT appointment_id, appointment_id % 9000 AS code_key, "
+        "CASE WHEN appointment_id % 9000 < 7000 THEN CAST(appointment_id % 9000 * 37 % 1009 AS DOUBLE) END AS code FROM appointments"
+    ),
+    "string_index_wide": "WITH named AS (SELECT o_orderkey, c_name, (o_orderkey * 1103515245 + 12345) % 2147483647 % 100 < 80 AS train "
+    "FROM orders JOIN customer ON o_custkey = c_custkey), "
+    "ranks AS (SELECT c_name, CAST(row_number() OVER (ORDER BY count(*) DESC, c_name) - 1 AS DOUBLE) AS name_index "
+    "FROM named WHERE train GROUP BY c_name) SELECT o_orderkey, c_name, name_index FROM named JOIN ranks USING (c_name)",
+    "quantile_bins": with_tables(
+        "SELECT appointment_id, age, date_diff, "
+        "CAST((SELECT count(*) FROM age_edges e WHERE e.v <= d.age) AS DOUBLE) AS age_bin, "
+        "CAST((SELECT count(*) FROM date_diff_edges e WHERE e.v <= d.date_diff) AS DOUBLE) AS date_diff_bin FROM valid d",
+        "valid AS (SELECT * FROM labelled WHERE age IS NOT NULL)",
+        bin_edges("age"),
+        bin_edges("date_diff"),
+    ),
+    "roc_by_curve": with_tables(
+        "SELECT curve, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, "
+        + rounded("sum(p * (b + n / 2)) / nullif(sum(p) * sum(n), 0)", "auc")
+        + " FROM curve_below GROUP BY curve",
+        "curve_scores AS (SELECT CAST(split_part(neighborhood, '-', 1) AS INTEGER) AS curve, sms_received * 80 - date_diff * 3 - age AS score, "
+        f"sum(showed_up) AS p, sum(1 - showed_up) AS n FROM labelled WHERE {VALID_BASE} GROUP BY ALL)",
+        "curve_below AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY curve ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b "
+        "FROM curve_scores)",
+    ),
+    "score_batches": with_tables(
+        f"SELECT 'linear-1' AS model, CAST(appointment_id % 4 AS INTEGER) AS batch, appointment_id, {rounded('probability', 'probability')}, prediction "
+        f"FROM scores UNION ALL SELECT 'linear-2', 3, appointment_id, {rounded('probability', 'probability')}, 1 - prediction FROM scores "
+        "WHERE appointment_id % 4 = 3",
+        SCORES,
+    ),
+    "bootstrap_draws": with_tables(f"SELECT appointment_id, {drawn(0)}, {drawn(1)}, {drawn(2)} FROM appointments"),
+    "cv_lr_full_one_feature": with_tables(
+        "SELECT params, "
+        + rounded("sum(CASE WHEN corner >= most THEN 0.5 ELSE area END) / 3", "avg_metric")
+        + f" FROM (VALUES {logistic_points()}) grid(params, corner), areas JOIN fold_limits USING (fold) GROUP BY params",
+        FOLD_AREAS,
+        NULLED,
+    ),
     "scan_csv": with_tables(
         "SELECT "
         + plain([c for c in COLUMNS if c != "date_diff"])

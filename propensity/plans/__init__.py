@@ -8,12 +8,14 @@ from propensity.plans.features import (
     needed_columns,
     scaled_features,
 )
+from propensity.plans.forests import KeyedForest, poisson_draw, prefix_areas
 from propensity.plans.learners import (
     coefficient_table,
     gradient_boosted_trees,
     logistic_regression,
     random_forest,
 )
+from propensity.plans.paths import Penalty, fit_paths, linear_areas
 from propensity.plans.training import (
     PreparedData,
     compare_learners,
@@ -25,11 +27,14 @@ from propensity.plans.tuning import (
     TrainingPipeline,
     cross_validate,
     full_logistic_grid,
+    search_logistic_grid,
     search_table,
 )
 
 __all__ = [
     "FEATURE_SETS",
+    "KeyedForest",
+    "Penalty",
     "PreparedData",
     "TrainingPipeline",
     "coefficient_table",
@@ -38,15 +43,20 @@ __all__ = [
     "feature_names",
     "feature_stages",
     "fit_out_of_fold",
+    "fit_paths",
     "full_logistic_grid",
     "gradient_boosted_trees",
     "leaderboard",
+    "linear_areas",
     "logistic_regression",
     "model_metrics",
     "needed_columns",
+    "poisson_draw",
+    "prefix_areas",
     "prepare",
     "random_forest",
     "scaled_features",
+    "search_logistic_grid",
     "search_table",
     "training_pipeline",
     "with_score",

@@ -17,6 +17,7 @@ from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 
+from propensity.operators.binning import QuantileBins
 from propensity.operators.cyclical_dates import CyclicalDateTransformer
 from propensity.operators.target_encoding import AutoTargetEncoder
 from propensity.schema import (
@@ -31,6 +32,7 @@ from propensity.schema import (
 
 FEATURES = "features"
 SCALED_FEATURES = "scaled_features"
+BINNED_FEATURES = "binned_features"
 FEATURE_SETS = ("base8", "backup17", "full", "columns")
 
 
@@ -51,12 +53,14 @@ def feature_stages(
     out_of_fold: int = 0,
     key: str = ROW_KEY,
     columns: Sequence[str] = (),
+    binned: bool = False,
 ) -> list[Estimator | Transformer]:
     """The unfitted stages that turn a cleaned row into the ``features`` vector.
 
     The target encoder comes first, so that it learns from all training rows, also those that a later stage
     drops. With ``out_of_fold`` folds (by ``key``) a training pipeline fits what follows on encodings that leave
     out a row's own label. ``columns`` names the inputs of the set of that name. ``scale`` appends a min-max scaler, fitted with the rest, whose output is ``scaled_features``.
+    ``binned`` appends ``binned_features``, the same vector with numbers replaced by their quantile bins, for tree learners.
     """
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"unknown feature set {feature_set!r}; known: {FEATURE_SETS}")
@@ -65,6 +69,7 @@ def feature_stages(
         if not columns:
             raise ValueError("the feature set 'columns' needs columns")
         stages.append(VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="skip"))
+        stages += binned_features(list(columns)) if binned else []
         return [*stages, scaled_features()] if scale else stages
     inputs = list(BASE_COLUMNS)
     if feature_set == "full":
@@ -93,11 +98,22 @@ def feature_stages(
     if feature_set == "full":
         inputs.append(encoded)
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="skip"))
+    if binned:
+        stages += binned_features([name for name in inputs if name != vector], [vector] if vector in inputs else [])
     if scale:
         stages.append(scaled_features())
     return stages
 
 
+def binned_features(numbers: list[str], others: Sequence[str] = ()) -> list[Estimator | Transformer]:
+    """Stages behind the assembler, which has dropped rows with missing numbers: bins of ``numbers``, assembled with ``others``."""
+    bins = [f"{name}_bin" for name in numbers]
+    return [
+        QuantileBins(inputCols=numbers, outputCols=bins),
+        VectorAssembler(inputCols=[*bins, *others], outputCol=BINNED_FEATURES),
+    ]
+
+
 def scaled_features() -> MinMaxScaler:
     """Min-max scaler of the feature vector to [0, 1]; a constant feature becomes 0.5."""
     return MinMaxScaler(inputCol=FEATURES, outputCol=SCALED_FEATURES)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 
-from propensity.plans.features import FEATURES, learner_of
+from propensity.plans.features import BINNED_FEATURES, FEATURES, learner_of
+from propensity.plans.forests import KeyedForest
 from propensity.schema import LABEL, WEIGHT
 
 SEED = 42
+#: more than any feature has: then the learners look at 65,536 rows at least to find the bins, which no bin is rare enough to escape
+MAX_BINS = 256
 
 
 def logistic_regression(
@@ -35,19 +38,20 @@ def logistic_regression(
 def random_forest(
     trees: int = 20,
     depth: int = 5,
-    features: str = FEATURES,
+    features: str = BINNED_FEATURES,
     weight: str | None = WEIGHT,
     seed: int = SEED,
     bootstrap: bool = True,
     columns_per_split: str = "auto",
-) -> RandomForestClassifier:
-    """Random forest with a fixed seed; without ``bootstrap`` every tree sees all rows once."""
-    learner = RandomForestClassifier(
+) -> KeyedForest:
+    """Random forest over binned features, its bootstrap drawn from row keys; without ``bootstrap`` every tree sees all rows once."""
+    learner = KeyedForest(
         featuresCol=features,
         labelCol=LABEL,
         predictionCol="prediction",
         numTrees=trees,
         maxDepth=depth,
+        maxBins=MAX_BINS,
         seed=seed,
         bootstrap=bootstrap,
         featureSubsetStrategy=columns_per_split,
@@ -56,11 +60,15 @@ def random_forest(
 
 
 def gradient_boosted_trees(
-    iterations: int = 20, depth: int = 3, features: str = FEATURES, weight: str | None = WEIGHT, seed: int = SEED
+    iterations: int = 20,
+    depth: int = 3,
+    features: str = BINNED_FEATURES,
+    weight: str | None = WEIGHT,
+    seed: int = SEED,
 ) -> GBTClassifier:
-    """Gradient-boosted trees with a fixed seed."""
+    """Gradient-boosted trees over binned features, with a fixed seed."""
     learner = GBTClassifier(
-        featuresCol=features, labelCol=LABEL, maxIter=iterations, maxDepth=depth, seed=seed
+        featuresCol=features, labelCol=LABEL, maxIter=iterations, maxDepth=depth, maxBins=MAX_BINS, seed=seed
     )
     return learner.setWeightCol(weight) if weight else learner
 

@@ -16,11 +16,11 @@ from propensity.operators.weighting import (
     balanced_weights,
     with_class_weights,
 )
-from propensity.plans.features import feature_stages
+from propensity.plans.features import BINNED_FEATURES, feature_stages
 from propensity.plans.tuning import TrainingPipeline
 from propensity.schema import LABEL, ROW_KEY
 from propensity.session import scratch
-from propensity.sources.tables import stage, stage_split
+from propensity.sources.tables import stage, stage_split, stage_spread
 
 
 class PreparedData(NamedTuple):
@@ -61,7 +61,8 @@ def training_pipeline(
 
     Options are those of ``feature_stages``; with ``out_of_fold=3`` fits, searches and comparisons train on out-of-fold encodings.
     """
-    return TrainingPipeline(stages=[*feature_stages(feature_set, scale, **feature_options), learner])
+    binned = learner.getFeaturesCol() == BINNED_FEATURES
+    return TrainingPipeline(stages=[*feature_stages(feature_set, scale, **{"binned": binned} | feature_options), learner])
 
 
 def fit_out_of_fold(
@@ -84,11 +85,14 @@ def compare_learners(
     The feature stages are fitted once. Encoded rows of both sides are staged once; those of the training side are removed when
     the learners are fitted.
     """
-    pipelines = {name: training_pipeline(one, feature_set, **feature_options) for name, one in learners.items()}
-    first = next(iter(pipelines.values()))
-    features = first.fit_features(data.train)
-    held_out = stage(features.transform(data.test).select(*first.learner_columns()[:2]), "encoded-test")
+    binned = any(one.getFeaturesCol() == BINNED_FEATURES for one in learners.values())
+    options = {"binned": binned} | feature_options
+    pipelines = {name: training_pipeline(one, feature_set, **options) for name, one in learners.items()}
+    features = next(iter(pipelines.values())).fit_features(data.train)
+    seen = dict.fromkeys(column for one in pipelines.values() for column in one.learner_columns()[:2])
+    held_out = stage(features.transform(data.test).select(*seen), "encoded-test")
     with scratch(data.train.sparkSession):
-        encoded = stage(features.encoded, "encoded-train")
+        read = dict.fromkeys(column for one in pipelines.values() for column in one.learner_columns())
+        encoded = stage_spread(features.encoded.select(*read), "encoded-train")
         models = {name: pipeline.fit_learner(encoded) for name, pipeline in pipelines.items()}
     return {name: model.transform(held_out) for name, model in models.items()}

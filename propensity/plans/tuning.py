@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import contextvars
 import json
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import numpy as np
-from pyspark import inheritable_thread_target, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +17,13 @@ from propensity.operators.metrics import area_under_roc
 from propensity.operators.splitting import with_fold
 from propensity.operators.target_encoding import AutoTargetEncoder
 from propensity.plans.evaluation import with_score
+from propensity.plans.forests import KeyedForest, in_threads, prefix_areas
+from propensity.plans.paths import Penalty, fit_paths, linear_areas
 from propensity.schema import LABEL, ROW_KEY
 from propensity.session import scratch
-from propensity.sources.tables import stage
+from propensity.sources.tables import stage, stage_spread
 
 FOLD = "fold"
-LAYOUT_PARTITIONS = 8
 
 
 class FittedFeatures(NamedTuple):
@@ -43,27 +41,19 @@ class FittedFeatures(NamedTuple):
 class TrainingPipeline(Pipeline):
     """Feature stages with a learner behind them.
 
-    Fitting differs from that of a plain pipeline in three ways:
+    Fitting differs from that of a plain pipeline in two ways:
 
     * A stage that reads columns of the training table learns from that table, not through the stages before it:
       the plan of a category count has no join in it.
     * A target encoder with out-of-fold folds hands on training rows encoded without their own label.
-    * Right before the learner, rows are dealt by ``layoutKey`` to ``layoutPartitions`` partitions and sorted by it. Forests
-      and boosting draw samples per partition; so the model depends on rows, seed and that declared number, and not on how
-      the input was laid out or how many cores there are. Set the number with the size of the table.
-    """
 
-    layoutPartitions = Param(
-        Params._dummy(), "layoutPartitions", "partitions that the learner sees", typeConverter=TypeConverters.toInt
-    )
-    layoutKey = Param(
-        Params._dummy(), "layoutKey", "row key by which rows are dealt and sorted", typeConverter=TypeConverters.toString
-    )
+    The learner sees the rows as they lie: one task per partition of its input. Models do not depend on that layout, since the learners of
+    this library draw nothing by partition (:class:`propensity.plans.forests.KeyedForest`, :class:`propensity.operators.QuantileBins`).
+    """
 
     @keyword_only
     def __init__(self, *, stages=None):
         super().__init__(stages=stages)
-        self._setDefault(layoutPartitions=LAYOUT_PARTITIONS, layoutKey=ROW_KEY)
 
     def learner(self) -> Estimator:
         return self.getStages()[-1]
@@ -74,7 +64,7 @@ class TrainingPipeline(Pipeline):
         names = [learner.getFeaturesCol(), learner.getLabelCol()]
         if learner.isDefined("weightCol") and learner.getOrDefault("weightCol"):
             names.append(learner.getOrDefault("weightCol"))
-        return names
+        return names + (learner.extra_columns() if isinstance(learner, KeyedForest) else [])
 
     def fit_features(self, train: DataFrame) -> FittedFeatures:
         """Fit all stages but the learner."""
@@ -89,14 +79,11 @@ class TrainingPipeline(Pipeline):
                 encoded = part.encode_training(encoded, model)
             else:
                 encoded = model.transform(encoded)
-        key = self.getOrDefault("layoutKey")
-        return FittedFeatures(fitted, encoded.select(*dict.fromkeys([*self.learner_columns(), key])))
+        return FittedFeatures(fitted, encoded)
 
     def fit_learner(self, encoded: DataFrame, params: dict | None = None) -> Model:
-        """Fit the learner on encoded rows in the declared layout."""
-        key = self.getOrDefault("layoutKey")
-        dealt = encoded.repartition(self.getOrDefault("layoutPartitions"), key).sortWithinPartitions(key)
-        return self.learner().fit(dealt.select(*self.learner_columns()), params or {})
+        """Fit the learner on encoded rows."""
+        return self.learner().fit(encoded.select(*self.learner_columns()), params or {})
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         features = self.fit_features(dataset)
@@ -134,15 +121,6 @@ def full_logistic_grid(learner: LogisticRegression) -> list[dict]:
     return penalized + free
 
 
-def _in_threads(spark: SparkSession, parallelism: int, call: Callable, tasks: Iterable[tuple]) -> list:
-    """Results of ``call(*task)`` in order; threads share the session's properties and the scratch scope."""
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        futures = [
-            pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(call), *task) for task in tasks
-        ]
-        return [future.result() for future in futures]
-
-
 def exact_area(model: Model, encoded: DataFrame) -> float:
     """Area under ROC of a learner on encoded rows."""
     area = area_under_roc(with_score(model.transform(encoded)), LABEL, "score").first()["auc"]
@@ -151,6 +129,57 @@ def exact_area(model: Model, encoded: DataFrame) -> float:
     return area
 
 
+def _settings(learner: Estimator, params: dict) -> tuple:
+    """What of a grid point concerns the feature stages, by names."""
+    return tuple(
+        sorted((param.parent, param.name, str(value)) for param, value in params.items() if param.parent != learner.uid)
+    )
+
+
+def _own(learner: Estimator, params: dict) -> dict:
+    return {param: value for param, value in params.items() if param.parent == learner.uid}
+
+
+def _size_of(learner: Estimator) -> Param | None:
+    """The parameter by which an ensemble of the learner is the beginning of a larger one."""
+    if isinstance(learner, KeyedForest):
+        return learner.numTrees
+    return learner.maxIter if isinstance(learner, GBTClassifier) else None
+
+
+def _staged_folds(
+    pipeline: TrainingPipeline, grid: list[dict], train: DataFrame, key: str, folds: int, parallelism: int
+) -> dict[tuple[int, tuple], tuple[DataFrame, DataFrame]]:
+    """Encoded rows of both sides by fold and setting of the feature stages, written to the shared folder."""
+    learner = pipeline.learner()
+    folded = with_fold(train, key, folds, FOLD)
+    settings = {
+        _settings(learner, params): {param: value for param, value in params.items() if param.parent != learner.uid}
+        for params in grid
+    }
+
+    def encode(fold: int, name: tuple) -> tuple[DataFrame, DataFrame]:
+        features = pipeline.copy(settings[name]).fit_features(folded.filter(f"{FOLD} != {fold}").drop(FOLD))
+        held_out = features.transform(folded.filter(f"{FOLD} = {fold}").drop(FOLD))
+        return (
+            stage_spread(features.encoded.select(*dict.fromkeys(pipeline.learner_columns())), "fold-train"),
+            stage(held_out.select(*pipeline.learner_columns()[:2]), "fold-test"),
+        )
+
+    parts = [(fold, name) for fold in range(folds) for name in settings]
+    return dict(zip(parts, in_threads(train.sparkSession, parallelism, encode, parts)))
+
+
+def _searched(
+    pipeline: TrainingPipeline, grid: list[dict], train: DataFrame, folds: int, areas: np.ndarray
+) -> CrossValidatorModel:
+    """The best point of ``areas`` (``[fold, point]``), refitted on all rows."""
+    averages = areas.mean(axis=0).tolist()
+    best = pipeline.fit(train, grid[int(np.argmax(averages))])
+    model = CrossValidatorModel(best, avgMetrics=averages, stdMetrics=areas.std(axis=0).tolist())
+    return model._set(estimator=pipeline, estimatorParamMaps=grid, numFolds=folds)
+
+
 def cross_validate(
     pipeline: TrainingPipeline,
     grid: list[dict],
@@ -163,41 +192,86 @@ def cross_validate(
 
     Encoders are fitted once per fold and setting of the feature stages. The encoded rows of both sides of a fold, which are
     all that learners and metrics need, are written to the shared folder once, used by all points, and removed at the
-    end. Nothing is cached. ``parallelism`` is the number of jobs that run at a time; the scheduler shares the cores.
+    end. Nothing is cached. Points of a forest or of boosting that differ only in the number of trees are one fit, of the largest; the
+    held-out rows are scored once for all of them (:func:`propensity.plans.forests.prefix_areas`). ``parallelism`` is the number
+    of jobs that run at a time; the scheduler shares the cores.
     """
     spark = train.sparkSession
-    folded = with_fold(train, key, folds, FOLD)
     learner = pipeline.learner()
-    settings: dict[tuple, dict] = {}
-    setting_of = []
-    for params in grid:
-        features = {param: value for param, value in params.items() if param.parent != learner.uid}
-        name = tuple(sorted((param.parent, param.name, str(value)) for param, value in features.items()))
-        settings.setdefault(name, features)
-        setting_of.append(name)
+    size = _size_of(learner)
+    groups: dict[tuple, list[int]] = {}
+    for point, params in enumerate(grid):
+        others = [(param.name, str(value)) for param, value in _own(learner, params).items() if param != size]
+        own = tuple(sorted(others)) if size else point
+        groups.setdefault((_settings(learner, params), own), []).append(point)
+
+    def evaluate(fold: int, points: list[int]) -> dict[int, float]:
+        rows, held_out = encoded[fold, _settings(learner, grid[points[0]])]
+        if size is None:
+            return {points[0]: exact_area(pipeline.fit_learner(rows, _own(learner, grid[points[0]])), held_out)}
+        sizes = [grid[point].get(size, learner.getOrDefault(size)) for point in points]
+        model = pipeline.fit_learner(rows, _own(learner, grid[points[int(np.argmax(sizes))]]))
+        return dict(zip(points, prefix_areas(model, held_out, sizes, LABEL)))
 
-    def encode(fold: int, name: tuple) -> tuple[DataFrame, DataFrame]:
-        features = pipeline.copy(settings[name]).fit_features(folded.filter(f"{FOLD} != {fold}").drop(FOLD))
-        held_out = features.transform(folded.filter(f"{FOLD} = {fold}").drop(FOLD))
-        return stage(features.encoded, "fold-train"), stage(
-            held_out.select(*pipeline.learner_columns()[:2]), "fold-test"
-        )
+    with scratch(spark):
+        encoded = _staged_folds(pipeline, grid, train, key, folds, parallelism)
+        tasks = [(fold, points) for fold in range(folds) for points in groups.values()]
+        found = in_threads(spark, parallelism, evaluate, tasks)
+    areas = np.empty((folds, len(grid)))
+    for (fold, _), by_point in zip(tasks, found):
+        for point, area in by_point.items():
+            areas[fold, point] = area
+    return _searched(pipeline, grid, train, folds, areas)
 
-    def evaluate(fold: int, point: int) -> float:
-        rows, held_out = encoded[fold, setting_of[point]]
-        params = {param: value for param, value in grid[point].items() if param.parent == learner.uid}
-        return exact_area(pipeline.fit_learner(rows, params), held_out)
 
-    with scratch(spark):
-        parts = [(fold, name) for fold in range(folds) for name in settings]
-        encoded = dict(zip(parts, _in_threads(spark, parallelism, encode, parts)))
-        points = [(fold, point) for fold in range(folds) for point in range(len(grid))]
-        areas = np.array(_in_threads(spark, parallelism, evaluate, points)).reshape(folds, len(grid))
+def search_logistic_grid(
+    pipeline: TrainingPipeline,
+    grid: list[dict],
+    train: DataFrame,
+    key: str = ROW_KEY,
+    folds: int = 3,
+    parallelism: int = 4,
+) -> CrossValidatorModel:
+    """:func:`cross_validate` for large grids of penalties and iteration limits of logistic regression.
 
-    averages = areas.mean(axis=0).tolist()
-    best = pipeline.fit(train, grid[int(np.argmax(averages))])
-    model = CrossValidatorModel(best, avgMetrics=averages, stdMetrics=areas.std(axis=0).tolist())
-    return model._set(estimator=pipeline, estimatorParamMaps=grid, numFolds=folds)
+    All penalties of a fold are fitted in shared passes (:func:`propensity.plans.paths.fit_paths`), the limits are read off their iterates, and
+    one scan of the held-out rows gives the areas of all of them. The fits are converged ones: a limit matters where it ends the
+    Newton steps of a run, which take far fewer iterations than gradient steps. The best point is refitted with the learner itself.
+    """
+    spark = train.sparkSession
+    learner = pipeline.learner()
+    if not isinstance(learner, LogisticRegression) or not (learner.getFitIntercept() and learner.getStandardization()):
+        raise ValueError("the search is for logistic regression with an intercept and standardized features")
+
+    def value(params: dict, param: Param):
+        return params.get(param, learner.getOrDefault(param))
+
+    def penalty(params: dict) -> Penalty:
+        strength = float(value(params, learner.regParam))
+        return Penalty(strength, float(value(params, learner.elasticNetParam)) if strength else 0.0)
+
+    names = [_settings(learner, params) for params in grid]
+    limits = sorted({int(value(params, learner.maxIter)) for params in grid})
+
+    def evaluate(fold: int, name: tuple) -> dict[int, float]:
+        rows, held_out = encoded[fold, name]
+        points = [i for i, own in enumerate(names) if own == name]
+        penalties = list(dict.fromkeys(penalty(grid[i]) for i in points))
+        columns = pipeline.learner_columns()
+        fitted = fit_paths(rows, penalties, limits, *columns[:2], *columns[2:3])
+        places = [(penalties.index(penalty(grid[i])), limits.index(int(value(grid[i], learner.maxIter)))) for i in points]
+        parameters = np.stack([fitted.parameters[place] for place in places])
+        return dict(zip(points, linear_areas(held_out, parameters, *columns[:2]).tolist()))
+
+    with scratch(spark):
+        encoded = _staged_folds(pipeline, grid, train, key, folds, parallelism)
+        tasks = list(encoded)
+        found = in_threads(spark, parallelism, evaluate, tasks)
+    areas = np.empty((folds, len(grid)))
+    for (fold, _), by_point in zip(tasks, found):
+        for point, area in by_point.items():
+            areas[fold, point] = area
+    return _searched(pipeline, grid, train, folds, areas)
 
 
 def search_table(spark: SparkSession, model: CrossValidatorModel) -> DataFrame:

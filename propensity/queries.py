@@ -24,6 +24,7 @@ from propensity import sources
 from propensity.appointments import appointments, raw_appointments
 from propensity.functions import date_part, days_between, linear_score, literal_map, vector_elements
 from propensity.functions.dates import PERIODS
+from propensity.functions.keyhash import key_hash
 from propensity.plans import (
     PreparedData,
     coefficient_table,
@@ -31,15 +32,19 @@ from propensity.plans import (
     cross_validate,
     feature_names,
     feature_stages,
+    full_logistic_grid,
     gradient_boosted_trees,
     leaderboard,
     logistic_regression,
     needed_columns,
+    poisson_draw,
     prepare,
     random_forest,
+    search_logistic_grid,
     search_table,
     training_pipeline,
 )
+from propensity.plans.forests import tree_hash
 from propensity.schema import (
     BASE_COLUMNS,
     CLEAN_NAMES,
@@ -137,6 +142,31 @@ def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_table(spark, table).select(ROW_KEY, "split", "neighborhood", "date_diff", "sms_received")
 
 
+@query
+def scan_csv_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that do not parse, planted by key: the cell is NULL and the row is kept apart; other spellings of NULL and dates are fine."""
+    path = scratch_path(spark, "bad-csv")
+    cells = raw_appointments(spark, sf_dir)
+    cells = cells.select(*(F.col(f"`{name}`").cast("string").alias(name) for name in cells.columns))
+    key = F.pmod(F.col("AppointmentID").cast("bigint"), F.lit(50))
+    planted = {
+        "PatientId": F.when(key == 1, "29872499824296.0").otherwise(F.col("PatientId")),
+        "Age": F.when(key == 2, "12x").when(key == 5, "").otherwise(F.col("Age")),
+        "Showed_up": F.when(key == 3, "1").when(key == 6, F.upper("Showed_up")).otherwise(F.col("Showed_up")),
+        "ScheduledDay": F.when(key == 4, F.concat("ScheduledDay", F.lit("T18:38:08Z"))).otherwise(F.col("ScheduledDay")),
+    }
+    sources.write_csv(cells.withColumns(planted), path)
+    good, bad = sources.quarantine(sources.scan_csv(spark, path, corrupt_column="bad_row"), "bad_row")
+
+    def kept(rows: DataFrame, is_bad: bool) -> DataFrame:
+        renamed = op.rename_columns(rows, CLEAN_NAMES)
+        return renamed.select(
+            ROW_KEY, *(F.col(name).cast("double").alias(name) for name in ("patient_id", "age")), text("scheduled_day"), F.col(LABEL).cast("double").alias(LABEL), F.lit(int(is_bad)).alias("is_bad")
+        )
+
+    return kept(good, False).union(kept(bad, True))
+
+
 # --- projections and cleaning ----------------------------------------------------------------------------
 
 
@@ -271,6 +301,14 @@ def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def map_lookup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of more keys than an expression holds."""
+    mapping = {key: float(key * 37 % 1009) for key in range(7000)}
+    rows = appointments(spark, sf_dir).select(ROW_KEY, F.pmod(ROW_KEY, F.lit(9000)).cast("bigint").alias("code_key"))
+    return op.map_values(rows, mapping, "code_key", "code")
+
+
 # --- feature transformers --------------------------------------------------------------------------------
 
 
@@ -305,6 +343,26 @@ def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).select(ROW_KEY, LOW_CARDINALITY, "gender_index")
 
 
+@query
+def string_index_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the number of their orders on the training side; those without any there are dropped."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    rows = op.with_split(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), "o_orderkey")
+    indexer = op.FrequencyIndexer(inputCol="c_name", outputCol="name_index", handleInvalid="skip")
+    model = indexer.fit(rows.filter("split = 'train'"))
+    return model.transform(rows.select("o_orderkey", "c_name"))
+
+
+@query
+def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins fitted on the training side, applied to both."""
+    names = ["age", "date_diff"]
+    rows = op.skip_invalid_rows(labelled(spark, sf_dir), names)
+    model = op.QuantileBins(inputCols=names, outputCols=[f"{name}_bin" for name in names]).fit(training_rows(rows))
+    return model.transform(rows).select(ROW_KEY, *names, *(f"{name}_bin" for name in names))
+
+
 @query
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = appointments(spark, sf_dir)
@@ -433,6 +491,29 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.area_under_roc(rows, LABEL, "score").select("positives", "negatives", *rounded(["auc"]))
 
 
+@query
+def roc_by_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area of one score in every nation, all curves at once."""
+    score = F.col("sms_received") * 80 - F.col("date_diff") * 3 - F.col("age")
+    rows = op.skip_invalid_rows(labelled(spark, sf_dir), BASE_COLUMNS)
+    counts = rows.groupBy(F.split_part("neighborhood", F.lit("-"), F.lit(1)).cast("int").alias("curve"), score.alias("score")).agg(
+        F.count_if(F.col(LABEL) == 1).alias("pos"), F.count_if(F.col(LABEL) == 0).alias("neg")
+    )
+    return op.curve_areas(counts).select("curve", "positives", "negatives", *rounded(["auc"]))
+
+
+@query
+def score_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score table after one model's full run, a repeated run of two batches, and another model's run of one batch."""
+    path = scratch_path(spark, "scores")
+    rows = linear_scores(spark, sf_dir).withColumn("part", F.pmod(ROW_KEY, F.lit(4)).cast("int"))
+    scored = rows.select(ROW_KEY, *rounded(["probability"]), "prediction", "part")
+    sources.write_scores(scored, path, "linear-1", "part")
+    sources.write_scores(scored.filter("part in (1, 2)"), path, "linear-1", "part")
+    sources.write_scores(scored.filter("part = 3").withColumn("prediction", 1 - F.col("prediction")), path, "linear-2", "part")
+    return sources.read_scores(spark, path).select("model", F.col("batch").cast("int").alias("batch"), ROW_KEY, "probability", "prediction")
+
+
 # --- learners --------------------------------------------------------------------------------------------
 
 
@@ -515,6 +596,14 @@ def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard(compare_learners(learners, prepared(spark, sf_dir)))
 
 
+@query
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each row occurs in the samples of a forest's first three trees."""
+    hashed = appointments(spark, sf_dir).select(ROW_KEY, key_hash(F.col(ROW_KEY)).alias("row_hash"))
+    drawn = hashed.withColumns({f"h{tree}": tree_hash(F.col("row_hash"), tree) for tree in range(3)})
+    return drawn.select(ROW_KEY, *(poisson_draw(F.col(f"h{tree}")).cast("int").alias(f"tree_{tree}") for tree in range(3)))
+
+
 # --- learners with a closed form -------------------------------------------------------------------------
 
 
@@ -599,3 +688,21 @@ def cv_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = ParamGridBuilder().addGrid(learner.maxDepth, [3, 5]).addGrid(learner.maxIter, [20, 50]).build()
     data = prepared(spark, sf_dir)
     return search_table(spark, cross_validate(training_pipeline(learner), grid, data.train))
+
+
+@query
+def cv_lr_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete grid of the logistic search, 244 points."""
+    learner = logistic_regression()
+    data = prepared(spark, sf_dir)
+    return search_table(spark, search_logistic_grid(training_pipeline(learner), full_logistic_grid(learner), data.train))
+
+
+@query
+def cv_lr_full_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete grid with one input: the rank statistic of that input by fold, or a half where the penalty leaves nothing of it."""
+    learner = logistic_regression()
+    data = prepared(spark, sf_dir, "columns", ["date_diff"])
+    pipeline = training_pipeline(learner, "columns", columns=["date_diff"])
+    search = search_logistic_grid(pipeline, full_logistic_grid(learner), data.train)
+    return search_table(spark, search).select("params", *rounded(["avg_metric"]))

@@ -19,8 +19,8 @@ def scan_csv(
     """Read CSV files with a header, binding columns to ``schema`` by position.
 
     Cells equal to ``null_token``, empty cells and cells that do not parse under their type become NULL.
-    ``corrupt_column`` keeps the text of rows with such a bad cell in one more string column. Lines are
-    records, so that large files are split between tasks.
+    ``corrupt_column`` keeps the text of rows with such a bad cell in one more string column, whichever columns are read later.
+    Lines are records, so that large files are split between tasks.
     """
     reader = (
         spark.read.format("csv")
@@ -31,10 +31,19 @@ def scan_csv(
     )
     if corrupt_column:
         schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column).option("columnPruning", "false")
     return reader.schema(schema).load(path)
 
 
+def quarantine(df: DataFrame, corrupt_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a scan without and with a bad cell, both with the columns of the scan's schema; the latter keep their text as well.
+
+    Each side scans the files by itself; nothing is cached.
+    """
+    bad = df[corrupt_column].isNotNull()
+    return df.filter(~bad).drop(corrupt_column), df.filter(bad)
+
+
 def write_csv(df: DataFrame, path: str, null_token: str = "null", mode: str = "overwrite") -> None:
     """Write CSV files with a header; NULL is spelled ``null_token``."""
     (

@@ -41,6 +41,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_spread(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stage` for rows that cost far more than their bytes, such as those of a learner: one split per core at least.
+
+    A large table has more splits than cores as it is. A small one would be read by one task; it is dealt anew.
+    """
+    staged = stage(df, name)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return staged if staged.rdd.getNumPartitions() >= cores else stage(staged.repartition(cores), name)
+
+
 def stage_split(
     df: DataFrame, key: str, train_percent: int = 80, columns: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ WITHOUT_SQL = {
     "rf_predict",
     "gbt_predict",
     "cv_lr",
+    "cv_lr_full",
     "cv_gbt",
     "cv_rf",
     "model_leaderboard",
