@@ -155,7 +155,7 @@ def scan_csv_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Showed_up": F.when(key == 3, "1").when(key == 6, F.upper("Showed_up")).otherwise(F.col("Showed_up")),
         "ScheduledDay": F.when(key == 4, F.concat("ScheduledDay", F.lit("T18:38:08Z"))).otherwise(F.col("ScheduledDay")),
     }
-    sources.write_csv(cells.withColumns(planted), path)
+    sources.write_csv(cells.withColumns(planted), path, empty_token="")
     good, bad = sources.quarantine(sources.scan_csv(spark, path, corrupt_column="bad_row"), "bad_row")
 
     def kept(rows: DataFrame, is_bad: bool) -> DataFrame:

@@ -44,12 +44,18 @@ def quarantine(df: DataFrame, corrupt_column: str) -> tuple[DataFrame, DataFrame
     return df.filter(~bad).drop(corrupt_column), df.filter(bad)
 
 
-def write_csv(df: DataFrame, path: str, null_token: str = "null", mode: str = "overwrite") -> None:
-    """Write CSV files with a header; NULL is spelled ``null_token``."""
+def write_csv(
+    df: DataFrame, path: str, null_token: str = "null", mode: str = "overwrite", empty_token: str = '""'
+) -> None:
+    """Write CSV files with a header; NULL is spelled ``null_token``, an empty text ``empty_token``.
+
+    A pair of quotes is read as an empty text, which is a bad cell under any other type; nothing between the separators is read as NULL.
+    """
     (
         df.write.format("csv")
         .option("header", "true")
         .option("nullValue", null_token)
+        .option("emptyValue", empty_token)
         .mode(mode)
         .save(path)
     )
