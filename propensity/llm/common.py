@@ -142,12 +142,20 @@ def component_ids(classes: DataFrame, components: DataFrame, id_col: str, name:
     return components.join(lowest, "component").select(F.col("node").alias("rep"), "component_id")
 
 
-def without_rows(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, name: str) -> DataFrame:
-    """``df`` without the rows whose id and text hash are in ``gone`` (``id``, ``text_hash``); all columns stay, and all rows with a NULL id.
+def without_rows(df: DataFrame, id_col: str, text_col: str, listed: DataFrame, name: str) -> DataFrame:
+    """``df`` without what ``listed`` drops: rows ``(id, text_hash, kept)``, one for each row of ``df`` that may go or is repeated.
 
-    ``gone`` is staged: where it is small on disk it is broadcast, and the rows stay where they are.
+    A row goes if its id and text hash are listed as not kept; of kept rows that repeat both, NULL ids included, any one stays. All columns
+    stay. Only pairs that matter are staged: where they are few they are broadcast, and rows stay where they are. Repeated rows, and no others, are
+    gathered to drop all but one of each; every task first does so with its own.
     """
-    gone = stage(gone.filter("id is not null").distinct(), name)
+    marks = listed.groupBy("id", "text_hash").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marks = stage(marks.filter("not kept or n > 1").select("id", "text_hash", "kept"), name)
     rows = placed(df)
     key, text = (rows[f"_c{position(df, column)}"] for column in (id_col, text_col))
-    return rows.join(gone, (key == gone["id"]) & (text_hash(text) == gone["text_hash"]), "left_anti").toDF(*df.columns)
+    same = key.eqNullSafe(marks["id"]) & (text_hash(text) == marks["text_hash"])
+    others = rows.join(marks, same, "left_anti")
+    if not marks.filter("kept").isEmpty():
+        repeated = rows.join(marks.filter("kept"), same).dropDuplicates(["id", "text_hash"])
+        others = others.union(repeated.select(*rows.columns))
+    return others.toDF(*df.columns)

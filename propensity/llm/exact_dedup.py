@@ -74,7 +74,7 @@ def _grouped(
     thin = stage(
         flagged.select(
             "doc_id",
-            text_hash(F.col("text")).alias("text_hash"),
+            F.when(is_open, text_hash(F.col("text"))).alias("text_hash"),  # settled rows equal no other
             is_open.alias("open"),
             (hashed if digest_all else F.when(is_open, hashed)).alias("digest"),
         ),
@@ -106,7 +106,13 @@ def _grouped(
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that :func:`exact_duplicates` drops; all columns stay, and all rows with a NULL id."""
+    """``df`` with one row of each group of :func:`exact_duplicates`; all columns stay.
+
+    Of rows that repeat id and text one stays, also where the id is NULL; otherwise rows with a NULL id stay. NULL and empty texts are one
+    group, long texts count whole, an empty table stays empty. Only texts that two passes could not settle are hashed.
+    """
     groups = settle(df.sparkSession, "exact-duplicates", lambda: _grouped(df, id_col, text_col))
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("id"), "text_hash")
-    return without_rows(df, id_col, text_col, gone, "dedup-gone")
+    listed = groups.filter("text_hash is not null").select(
+        F.col("doc_id").alias("id"), "text_hash", (F.col("kept") | F.col("doc_id").isNull()).alias("kept")
+    )
+    return without_rows(df, id_col, text_col, listed, "dedup-gone")

@@ -159,9 +159,12 @@ def _sketch_task(width: int):
 def _set_task(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), bytes.maketrans(UPPER, LOWER)
+        seen: set[int] = set()  # a class once, however often its row is repeated
         for batch in batches:
-            sets = [shingle_set(value.as_py(), width, hashes, table).tobytes() for value in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            new = {rep: i for i, rep in reversed(list(enumerate(batch.column("rep").to_pylist()))) if rep not in seen}
+            seen.update(new)
+            sets = [shingle_set(batch.column("text")[i].as_py(), width, hashes, table).tobytes() for i in new.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -263,7 +266,10 @@ def _with_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, width: int)
     wanted = stage(chosen.select(bucket).distinct(), "near-buckets").coalesce(1)
     likely = docs.select("*", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
     texts = likely.join(chosen, place).select("rep", "text")
-    return stage(small_batches(texts).mapInArrow(_set_task(width), "rep bigint, shingles binary"), "near-sets")
+    sets = stage(small_batches(texts).mapInArrow(_set_task(width), "rep bigint, shingles binary"), "near-sets")
+    if sets.count() > chosen.count():  # rows that repeat id and text, in more than one task
+        sets = stage(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return sets
 
 
 def _links_with_hubs(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -404,6 +410,10 @@ def _parted(df: DataFrame, id_col: str, text_col: str, shingle_words: int, perce
 def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """``df`` with one document of each component, that of the smallest id; all columns stay."""
-    gone = _settled(df, id_col, text_col, shingle_words, percent).filter(~F.col("kept"))
-    return without_rows(df, id_col, text_col, gone.select(F.col("doc_id").alias("id"), "text_hash"), "near-gone")
+    """``df`` with one document of each component, that of the smallest id; all columns stay.
+
+    Of rows that repeat id and text one stays, also where the id is NULL. The rest is as in :func:`near_duplicates`: NULL and empty texts link with
+    nothing, long texts count whole, an empty table stays empty.
+    """
+    found = _settled(df, id_col, text_col, shingle_words, percent)
+    return without_rows(df, id_col, text_col, found.select(F.col("doc_id").alias("id"), "text_hash", "kept"), "near-gone")

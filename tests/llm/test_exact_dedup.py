@@ -50,3 +50,22 @@ def test_drop_keeps_columns_and_unrelated_rows(clashing):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_duplicates(empty).count() == 0 and drop_exact_duplicates(empty).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_leave_one(spark):
+    rows = [(13, "twice", "en")] * 50 + [(None, "n", "en")] * 50 + [(None, "twice", "en"), (13, "other", "en"), (14, None, None), (14, "", "x")]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    kept = sorted(((r.doc_id, r.text or "") for r in drop_exact_duplicates(table).collect()), key=repr)
+    assert kept == sorted([(13, "twice"), (None, "n"), (None, "twice"), (13, "other"), (14, "")], key=repr)
+
+
+def test_settled_texts_are_not_hashed_whole(spark, monkeypatch):
+    from propensity.llm import exact_dedup
+
+    staged = {}
+    stage = exact_dedup.stage
+    monkeypatch.setattr(exact_dedup, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    rows = [(1, "alone"), (2, "one pair"), (3, "one pair"), (4, "same siz"), (5, None)]
+    groups = exact_dedup._grouped(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    assert {r.doc_id for r in staged["dedup-digests"].filter("digest is not null or text_hash is not null").collect()} == {2, 3}
+    assert groups.filter("kept").count() == 4

@@ -178,7 +178,7 @@ def test_repeated_and_missing_ids_and_dropping(clashing, words):
     kept = drop_near_duplicates(table)
     assert kept.columns == table.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
-        [(1, same), (1, same), (5, other), (0, same), (0, "")]
+        [(1, same), (5, other), (0, same), (0, "")]
     )
 
 
@@ -210,3 +210,24 @@ def test_thresholds_that_the_bands_are_not_made_for_are_refused(spark, operator)
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
+
+
+def test_repeated_rows_cost_their_number_not_its_square(spark, words, monkeypatch):
+    """Two near texts, each row repeated: one set each, one link, and one row left."""
+    from propensity.llm import near_dedup
+
+    counts = {}
+    stage = near_dedup.stage
+
+    def counting(df, name):
+        staged = stage(df, name)
+        counts[name] = max(staged.count(), counts.get(name, 0))
+        return staged
+
+    monkeypatch.setattr(near_dedup, "stage", counting)
+    one = words(200, 1)
+    rows = [(1, one), (2, one + " tail")] * 400 + [(None, "no id at all here")] * 30 + [(3, None)] * 5 + [(4, "   ")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    kept = near_dedup.drop_near_duplicates(table).collect()
+    assert counts["near-sets"] == 2 and counts["near-hub-links"] == 1
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, one), (None, "no id at all here"), (3, None), (4, "   ")], key=repr)
