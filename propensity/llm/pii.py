@@ -1,9 +1,10 @@
 """Personal data: rules for four kinds, and a skip-chain conditional random field over what looks like them.
 
 The rules give the base spans. The field labels the tokens of a document that hold a digit or an at sign; all other tokens are
-outside by definition of the model, so they part the chain. Neighbouring tokens share a transition potential, and tokens of
-equal form anywhere in the document a skip potential: what is a phone number in one place is one in the others.
-Tokens that the rules found are evidence. Loopy message passing gives marginals; confident tokens make added spans.
+outside by definition of the model, so they part the chain. Neighbouring tokens share a transition potential. Tokens of equal form,
+anywhere in the document, share a skip potential through a variable of that form: what is a phone number in one place is one in the others,
+however many repeats lie between. Tokens that the rules found are evidence, for themselves and for their form. Loopy message passing gives
+marginals; confident tokens make added spans.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = 0
 LABELS = 1 + len(KINDS)
 
-#: documents that the field is fitted on, at most (in expectation)
-MAX_ROWS = 8_000
+#: documents that the field is fitted on, at most (in expectation), and bytes of their texts, in the order of their hashes
+MAX_ROWS, MAX_BYTES = 8_000, 64 << 20
 #: probability of its label from which an unexplained token becomes a span
 CONFIDENT = 0.9
+#: other tokens whose looks a repeated token is given in training
+LOOKS = 8
+#: rounds of messages, unless there are more variables, which evidence may have to pass one by one
 ROUNDS = 50
 
 # Character classes of the base kinds.
@@ -171,35 +175,44 @@ def evidence(places: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
     return known
 
 
-def skip_edges(keys: list[str | None]) -> list[tuple[int, int]]:
-    """Each token with the last one before it of the same form: a chain through equal tokens, not all their pairs."""
-    last: dict[str, int] = {}
-    edges = []
+def form_groups(keys: list[str | None]) -> list[list[int]]:
+    """Tokens of equal form, for the forms that occur more than once: each group is joined to one variable, not all its pairs."""
+    groups: dict[str, list[int]] = {}
     for i, key in enumerate(keys):
         if key is not None:
-            if key in last:
-                edges.append((last[key], i))
-            last[key] = i
-    return edges
+            groups.setdefault(key, []).append(i)
+    return [group for group in groups.values() if len(group) > 1]
+
+
+def form_label(known: list[int]) -> int:
+    """What the evidence says of a form: the kind that most of its tokens have, the first on ties; -1 without evidence."""
+    kinds = [label for label in known if label > OUTSIDE]
+    return max(dict.fromkeys(kinds), key=kinds.count) if kinds else -1
 
 
 @dataclass
 class SkipChainField:
-    """Log potentials: of features and labels, of neighbouring labels, and of equal labels across a skip."""
+    """Log potentials: of features and labels, of neighbouring labels, and of a token having the label of its form."""
 
     unary: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels
     skip: np.ndarray  # labels
 
-    def marginals(self, values: np.ndarray, known: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy belief propagation, all messages at once, until they hardly change or ``ROUNDS`` are over."""
-        nodes = values @ self.unary
+    def marginals(self, values: np.ndarray, known: np.ndarray, chain: np.ndarray, forms: list[list[int]]) -> np.ndarray:
+        """Marginals of the tokens by loopy belief propagation, all messages at once, until they hardly change.
+
+        Each form in ``forms`` is one more variable, joined to its tokens; evidence for one of them is evidence for the form.
+        """
+        count = len(values)
+        nodes = np.vstack((values @ self.unary, np.zeros((len(forms), LABELS))))
+        known = np.concatenate((known, [form_label(known[group].tolist()) for group in forms])).astype(int)
+        skip = np.array([(i, count + form) for form, group in enumerate(forms) for i in group], int).reshape(-1, 2)
         fixed = known >= 0
         nodes[fixed] = -1e9
         nodes[fixed, known[fixed]] = 0
         edges = np.concatenate((chain, skip)) if len(chain) + len(skip) else np.empty((0, 2), int)
         if not len(edges):
-            return _normal(nodes)
+            return _normal(nodes[:count])
         tables = np.concatenate(
             (np.broadcast_to(self.chain, (len(chain), LABELS, LABELS)), np.broadcast_to(np.diag(self.skip), (len(skip), LABELS, LABELS)))
         )
@@ -208,7 +221,7 @@ class SkipChainField:
         tables = np.concatenate((tables, tables.transpose(0, 2, 1)))
         back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
         messages = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
+        for _ in range(max(ROUNDS, len(nodes))):
             belief = nodes.copy()
             np.add.at(belief, target, messages)
             sent = (belief[source] - messages[back])[:, :, None] + tables
@@ -221,7 +234,7 @@ class SkipChainField:
                 break
         belief = nodes.copy()
         np.add.at(belief, target, messages)
-        return _normal(belief)
+        return _normal(belief[:count])
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """Base spans and added spans of a text."""
@@ -233,9 +246,7 @@ class SkipChainField:
             return base, []
         values, keys, joined = token_features(text, places)
         chain = np.flatnonzero(joined)
-        chance = self.marginals(
-            values, known, np.stack((chain, chain + 1), axis=1), np.array(skip_edges(keys), int).reshape(-1, 2)
-        )
+        chance = self.marginals(values, known, np.stack((chain, chain + 1), axis=1), form_groups(keys))
         added: list[Span] = []
         for i in open_tokens:
             kind = int(chance[i].argmax())
@@ -254,58 +265,76 @@ def _normal(scores: np.ndarray) -> np.ndarray:
 
 
 def fit_field(texts: list[str], steps: int = 400, rate: float = 0.2, decay: float = 0.003) -> SkipChainField:
-    """Pseudo-likelihood: each token's label given its features and the labels of the tokens it is linked with.
+    """Pseudo-likelihood: each token's label given its features, the labels of its neighbours, and that of its form.
 
-    The labels are those of the base rules. Every token is seen twice, the second time without the features that repeat a rule's check: so
-    the field must lean on form, neighbours and equal tokens, which is all it has where a rule misses.
+    The labels come from the base rules, and by form: where a rule finds a token, all tokens of that form in the document have its kind, also
+    those that the rule misses. Every token is seen as it is, and without the features that repeat a rule's check, so that the field
+    leans on form and neighbours as well. Tokens of repeated forms are seen once more without any features, as one whose rule and
+    looks are hidden: there the label of the form is all that tells. So the skip potentials learn how far repeats agree.
     """
-    values, labels, chain, skip = [], [], [], []
+    values, labels, forms, chain = [], [], [], []
     size = 0
     for text in texts:
         places = tokens(text)
         if not places:
             continue
         found, keys, joined = token_features(text, places)
+        known = evidence(places, base_spans(text))
+        own, form = np.maximum(known, OUTSIDE), np.full(len(places), -1)
+        for group in form_groups(keys):
+            label = max(form_label(known[group].tolist()), OUTSIDE)
+            form[group] = label
+            own[group] = np.where(known[group] < 0, label, own[group])
         values.append(found)
-        labels.append(np.maximum(evidence(places, base_spans(text)), OUTSIDE))
+        labels.append(own)
+        forms.append(form)
         chain += [(size + i, size + i + 1) for i in np.flatnonzero(joined)]
-        skip += [(size + a, size + b) for a, b in skip_edges(keys)]
         size += len(places)
     if not size:
         nothing = np.zeros((len(FEATURES), LABELS))
         nothing[0, OUTSIDE] = 10.0
         return SkipChainField(nothing, np.zeros((LABELS, LABELS)), np.zeros(LABELS))
-    x, y = np.concatenate(values), np.concatenate(labels)
+    x, y, form = (np.concatenate(parts) for parts in (values, labels, forms))
     truth = np.eye(LABELS)[y]
-    chain, skip = np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2)
-    before, after, alike = np.zeros_like(truth), np.zeros_like(truth), np.zeros_like(truth)
+    chain = np.array(chain, int).reshape(-1, 2)
+    before, after = np.zeros_like(truth), np.zeros_like(truth)
     np.add.at(before, chain[:, 1], truth[chain[:, 0]])
     np.add.at(after, chain[:, 0], truth[chain[:, 1]])
-    np.add.at(alike, skip[:, 1], truth[skip[:, 0]])
-    np.add.at(alike, skip[:, 0], truth[skip[:, 1]])
-    masked = x.copy()
-    masked[:, -CHECKS:] = 0
-    x, truth = np.concatenate((x, masked)), np.concatenate((truth, truth))
+    repeated = np.flatnonzero(form >= 0)
+    alike = np.zeros_like(truth)
+    alike[repeated, form[repeated]] = 1
+    unchecked = x.copy()
+    unchecked[:, -CHECKS:] = 0
+    drawn = np.tile(repeated, LOOKS)
+    looks = x[np.random.default_rng(len(x)).integers(len(x), size=len(drawn))]
+    form_truth = np.eye(LABELS)[form[drawn]]
+    among = np.bincount(form[drawn], minlength=LABELS)
+    share = 1 / np.maximum(among[form[drawn]] * (among > 0).sum(), 1)[:, None]
+    x, truth = np.concatenate((x, unchecked)), np.concatenate((truth, truth))
     before, after, alike = (np.concatenate((m, m)) for m in (before, after, alike))
     unary, pair, same = np.zeros((len(FEATURES), LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)
     speed = [np.full_like(w, 1e-8) for w in (unary, pair, same)]
     for _ in range(steps):
         error = (_normal(x @ unary + before @ pair + after @ pair.T + alike * same) - truth) / len(x)
+        hidden = (_normal(looks @ unary + form_truth * same) - form_truth) * share
         for w, total, slope in zip(
             (unary, pair, same),
             speed,
-            (x.T @ error, before.T @ error + error.T @ after, (alike * error).sum(axis=0)),
+            (x.T @ error, before.T @ error + error.T @ after, (form_truth * hidden).sum(axis=0)),
         ):
             slope = slope + decay * w / len(x) ** 0.5
             total += slope * slope
             w -= rate * slope / np.sqrt(total)
+    if (among > 0).any():  # a label that no repeated form has agrees as well as the others
+        same[among == 0] = same[among > 0].mean()
     return SkipChainField(unary, pair, same)
 
 
 def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> SkipChainField:
     """A field fitted on about ``max_rows`` documents at most, drawn by a hash of the id from those that hold a digit or an at sign.
 
-    One task fits it, in the order of the hash, so it does not depend on the layout; the potentials, under 200 numbers, go to the driver.
+    One task fits it, in the order of the hash, so it does not depend on the layout, and stops before ``MAX_BYTES`` of texts are exceeded; the
+    potentials, under 200 numbers, go to the driver.
     """
     rows = inputs(df, doc_id=id_col, text=text_col).filter(F.col("text").rlike("[0-9@]"))
     count = rows.count()
@@ -313,14 +342,19 @@ def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     sample = stage(sample.select(F.xxhash64("doc_id").alias("turn"), as_bytes(F.col("text")).alias("text")), "pii-sample")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[int, bytes]] = []
+        kept: list[str] = []
+        held = 0
         for batch in batches:
-            kept += [(turn, bytes(text)) for turn, text in zip(batch["turn"], batch["text"])]
-        field = fit_field([text.decode("utf-8", "replace") for _, text in sorted(kept)])
+            for text in batch["text"]:
+                held += len(text)
+                if held <= MAX_BYTES or not kept:
+                    kept.append(bytes(text).decode("utf-8", "replace"))
+        field = fit_field(kept)
         flat = np.concatenate((field.unary.ravel(), field.chain.ravel(), field.skip))
         yield pd.DataFrame({"place": np.arange(len(flat)), "weight": flat})
 
-    fitted = small_batches(sample).coalesce(1).mapInPandas(fit, "place bigint, weight double").toPandas().sort_values("place")
+    ordered = small_batches(sample).repartition(1).sortWithinPartitions("turn", "text")
+    fitted = ordered.mapInPandas(fit, "place bigint, weight double").toPandas().sort_values("place")
     flat = fitted["weight"].to_numpy()
     if not len(flat):
         return fit_field([])

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from propensity.llm import pii
 from propensity.llm.pii import (
-    KINDS, LABELS, SkipChainField, base_spans, evidence, find_personal_data, fit_field, skip_edges, token_features, tokens, train_field,
+    KINDS, LABELS, SkipChainField, base_spans, evidence, find_personal_data, fit_field, form_groups, form_label, token_features, tokens, train_field,
 )
 
 SCHEMA = "doc_id bigint, text string"
@@ -63,7 +63,8 @@ def test_tokens_and_evidence():
 
 
 def test_equal_tokens_are_linked_in_a_chain():
-    assert skip_edges(["a", None, "a", "b", "a", "b"]) == [(0, 2), (2, 4), (3, 5)]
+    assert form_groups(["a", None, "a", "b", "a", "b", "c"]) == [[0, 2, 4], [3, 5]]
+    assert [form_label(known) for known in ([-1, -1], [-1, 4], [0, 0], [3, 4, 4, -1], [4, 3])] == [-1, 4, -1, 4, 4]
 
 
 def test_messages_give_exact_marginals_on_a_tree():
@@ -71,17 +72,17 @@ def test_messages_give_exact_marginals_on_a_tree():
     field = SkipChainField(random.normal(size=(3, LABELS)), random.normal(size=(LABELS, LABELS)), random.uniform(0, 2, LABELS))
     values = random.normal(size=(4, 3))
     known = np.array([-1, -1, 2, -1])
-    chain, skip = np.array([[0, 1], [1, 2]]), np.array([[0, 3]])
+    chain, forms = np.array([[0, 1], [1, 2]]), [[0, 3]]
     weight = np.zeros((4, LABELS))
-    for labels in itertools.product(range(LABELS), repeat=4):
+    for *labels, form in itertools.product(range(LABELS), repeat=5):  # the last is the form of two tokens
         if labels[2] != 2:
             continue
         score = sum(values[i] @ field.unary[:, labels[i]] for i in (0, 1, 3))
-        score += sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a]] * (labels[a] == labels[b]) for a, b in skip)
+        score += sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[form] * (labels[i] == form) for i in forms[0])
         for i, label in enumerate(labels):
             weight[i, label] += np.exp(score)
     exact = weight / weight.sum(axis=1, keepdims=True)
-    assert np.allclose(field.marginals(values, known, chain, skip), exact, atol=1e-3)
+    assert np.allclose(field.marginals(values, known, chain, forms), exact, atol=1e-3)
 
 
 def corpus():
@@ -160,3 +161,47 @@ def test_query_digests(spark, tables):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in range(4)]
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
     assert pii.CONFIDENT == 0.9
+
+
+PARTIAL = "write +14155550134 then 14155550134 end"
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_a_partial_repeat_is_found_through_its_form_only(spark, scale):
+    """With the field of given documents, not built ones; also behind many repeats, and in no document without the evidence."""
+    field = train_field(spark.read.parquet(f"/root/testdata/{scale}/documents.parquet"))
+    without = SkipChainField(field.unary, field.chain, np.zeros_like(field.skip))
+    far = PARTIAL + " filler" * 200 + " 14155550134 or" * 400
+    for text, repeats in ((PARTIAL, 1), (far, 401)):
+        base, added = field.spans(text)
+        assert len(base) == 1 and len(added) == repeats
+        assert {text[s:e] for s, e, _ in added} == {"14155550134"} and {KINDS[k] for _, _, k in added} == {"phone"}
+        assert without.spans(text) == (base, [])
+    for clean in ("order 14155550134 then 14155550134 end", "in 2021 and 2021 we had 12345 items 12345", "part 45550 of 45550, 45550 left"):
+        assert field.spans(clean) == ([], [])
+
+
+def test_planted_partial_repeats_are_found_in_documents(spark):
+    """A phone number of a document, written once more without its plus: the skip potentials find it, and change nothing elsewhere."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = train_field(documents)
+    without = SkipChainField(field.unary, field.chain, np.zeros_like(field.skip))
+    texts = [r.text for r in documents.filter("text is not null").collect()]
+    planted = found = 0
+    for text in texts:
+        phones = [text[s:e] for s, e, kind in base_spans(text) if kind == 3 and " " not in text[s:e]]
+        mark = phones[0][1:] if phones else "14155550134"
+        more = f"{text}\n{'' if phones else '+' + mark + ' and '}again {mark} there"
+        added = field.spans(more)[1]
+        planted += 1
+        found += any(e > len(text) and KINDS[k] == "phone" for s, e, k in added)
+        assert not any(e > len(text) for _, e, _ in without.spans(more)[1])
+    assert planted == len(texts) and found > 0.95 * planted
+
+
+def test_the_fit_reads_a_bounded_number_of_bytes(spark, monkeypatch):
+    rows = [(i, f"call +1 (988) 555-{i:04d} now " + "word " * 100) for i in range(40)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    whole = train_field(table)
+    monkeypatch.setattr(pii, "MAX_BYTES", 3000)
+    assert not np.array_equal(train_field(table).unary, whole.unary)
