@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from propensity.operators.curves import curve_areas
+
 
 def score_counts(df: DataFrame, label: str, prediction: str, score: str) -> DataFrame:
     """Rows per ``score``: ``pos`` and ``neg`` by label, ``pos_hit`` and ``neg_hit`` of them predicted as 1.
@@ -96,14 +98,18 @@ def weighted_metrics(confusion: DataFrame) -> DataFrame:
 def area_under_roc(df: DataFrame, label: str, score: str, count: str | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counting half, as one row ``(positives, negatives, auc)``.
 
-    ``count`` names a column of row counts of pre-aggregated input. ``auc`` is NULL if a class is missing.
+    ``count`` names a column of row counts of pre-aggregated input. ``auc`` is NULL if a class is missing. Equal scores collapse before they are
+    shuffled, then the distinct ones are summed up range by range (:func:`curve_areas`), in as many tasks as their number
+    asks for. Scores that are NULL or NaN are refused.
     """
     rows = F.col(count) if count else F.lit(1)
     per_score = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, rows).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 0, rows).otherwise(0)).alias("neg"),
     )
-    return area_of_scores(per_score)
+    area = curve_areas(per_score.withColumn("curve", F.lit(0)))
+    whole = {name: F.coalesce(F.max(name), F.lit(0).cast("bigint")).alias(name) for name in ("positives", "negatives")}
+    return area.agg(*whole.values(), F.max("auc").alias("auc"))
 
 
 def area_of_scores(per_score: DataFrame, ranges: int = 128) -> DataFrame:
@@ -152,7 +158,11 @@ def area_of_scores(per_score: DataFrame, ranges: int = 128) -> DataFrame:
 
 def binary_metrics(counts: DataFrame) -> DataFrame:
     """All metrics of :func:`score_counts` as one row: those of :func:`weighted_metrics` and ``auc``, from one pass over the scores."""
-    row = area_of_scores(counts)
+    return metrics_of_sums(area_of_scores(counts))
+
+
+def metrics_of_sums(row: DataFrame, *keys: str) -> DataFrame:
+    """All metrics of rows with ``positives``, ``negatives``, ``pos_hit``, ``neg_hit`` and ``auc``, next to the columns ``keys``."""
     hits = {1: F.col("pos_hit"), 0: F.col("negatives") - F.col("neg_hit")}
     support = {1: F.col("positives"), 0: F.col("negatives")}
     predicted = {1: F.col("pos_hit") + F.col("neg_hit")}
@@ -164,6 +174,7 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
 
     recall = {c: _ratio(hits[c], support[c]) for c in (0, 1)}
     return row.select(
+        *keys,
         rows.alias("n"),
         ((hits[0] + hits[1]) / rows).alias("accuracy"),
         weighted({c: _ratio(hits[c], predicted[c]) for c in (0, 1)}).alias("weighted_precision"),

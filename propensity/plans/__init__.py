@@ -1,6 +1,6 @@
 """Feature sets, training, tuning and evaluation."""
 
-from propensity.plans.evaluation import leaderboard, model_metrics, with_score
+from propensity.plans.evaluation import compare_models, leaderboard, model_metrics, with_score
 from propensity.plans.features import (
     FEATURE_SETS,
     feature_names,
@@ -19,6 +19,7 @@ from propensity.plans.paths import Penalty, fit_paths, linear_areas
 from propensity.plans.training import (
     PreparedData,
     compare_learners,
+    fit_learners,
     fit_out_of_fold,
     prepare,
     training_pipeline,
@@ -39,9 +40,11 @@ __all__ = [
     "TrainingPipeline",
     "coefficient_table",
     "compare_learners",
+    "compare_models",
     "cross_validate",
     "feature_names",
     "feature_stages",
+    "fit_learners",
     "fit_out_of_fold",
     "fit_paths",
     "full_logistic_grid",

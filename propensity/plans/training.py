@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +77,17 @@ def fit_out_of_fold(
     return training_pipeline(learner, "full", scale, out_of_fold=folds, key=key).fit(train)
 
 
-def compare_learners(
+class FittedLearners(NamedTuple):
+    """Fitted learners by name, and the encoded rows of the test side that all of them score."""
+
+    models: dict[str, Model]
+    held_out: DataFrame
+
+
+def fit_learners(
     learners: Mapping[str, Estimator], data: PreparedData, feature_set: str = "full", **feature_options
-) -> dict[str, DataFrame]:
-    """Scored test rows by learner, all fitted on the same encoded rows.
+) -> FittedLearners:
+    """All learners fitted on the same encoded rows.
 
     The feature stages are fitted once. Encoded rows of both sides are staged once; those of the training side are removed when
     the learners are fitted.
@@ -95,4 +102,12 @@ def compare_learners(
         read = dict.fromkeys(column for one in pipelines.values() for column in one.learner_columns())
         encoded = stage_spread(features.encoded.select(*read), "encoded-train")
         models = {name: pipeline.fit_learner(encoded) for name, pipeline in pipelines.items()}
-    return {name: model.transform(held_out) for name, model in models.items()}
+    return FittedLearners(models, held_out)
+
+
+def compare_learners(
+    learners: Mapping[str, Estimator], data: PreparedData, feature_set: str = "full", **feature_options
+) -> dict[str, DataFrame]:
+    """Scored test rows by learner, all fitted on the same encoded rows (:func:`fit_learners`)."""
+    fitted = fit_learners(learners, data, feature_set, **feature_options)
+    return {name: model.transform(fitted.held_out) for name, model in fitted.models.items()}

@@ -28,10 +28,11 @@ from propensity.functions.keyhash import key_hash
 from propensity.plans import (
     PreparedData,
     coefficient_table,
-    compare_learners,
+    compare_models,
     cross_validate,
     feature_names,
     feature_stages,
+    fit_learners,
     full_logistic_grid,
     gradient_boosted_trees,
     leaderboard,
@@ -593,7 +594,8 @@ def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "random forest": random_forest(),
         "gradient-boosted trees": gradient_boosted_trees(),
     }
-    return leaderboard(compare_learners(learners, prepared(spark, sf_dir)))
+    fitted = fit_learners(learners, prepared(spark, sf_dir))
+    return compare_models(fitted.models, fitted.held_out)
 
 
 @query

@@ -340,3 +340,21 @@ def test_out_of_fold_fit_does_not_trust_meaningless_categories(spark, data):
     path = scratch_path(spark, "honest")
     save_pipeline(honest, path)
     assert load_pipeline(path).transform(test).count() == honest.transform(test).count()
+
+
+def test_models_are_compared_in_one_scan_with_the_metrics_of_each(data):
+    from propensity.plans import compare_models, fit_learners
+
+    learners = {"lr": logistic_regression(), "weak": logistic_regression(reg_param=50.0), "forest": random_forest(4)}
+    fitted = fit_learners(learners, data, "backup17")
+    board = compare_models(fitted.models, fitted.held_out)
+    rows = board.collect()
+    plan = board._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") + plan.count("Scan parquet") >= 1
+    one_by_one = leaderboard({name: model.transform(fitted.held_out) for name, model in fitted.models.items()}).collect()
+    assert [tuple(r)[:3] for r in rows] == [tuple(r)[:3] for r in one_by_one]
+    assert [r["value"] for r in rows] == pytest.approx([r["value"] for r in one_by_one], abs=1e-12)
+    inputs = fitted.held_out.inputFiles()
+    assert board.inputFiles() == inputs or set(board.inputFiles()) == set(inputs)
+    logical = board._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Relation [") <= 2  # counts and areas come from the same grouping, whose exchange is shared
