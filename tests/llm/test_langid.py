@@ -107,3 +107,50 @@ def test_held_out_accuracy(spark, tables):
     right = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.97
     assert found.filter("score < 0 or score > 1").count() == 0
+
+
+def test_query_equals_brute_force(spark, tables):
+    """Profiles and distances by slicing strings, for every document."""
+    from zlib import crc32
+
+    from propensity.llm.queries import op1_language_id
+
+    def packed(gram):
+        key = 0
+        for character in gram:
+            key = key << 21 | ord(character)
+        return key
+
+    def top(counts):
+        return sorted(counts, key=lambda gram: (-counts[gram], packed(gram)))[: langid.PROFILE]
+
+    documents = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counted = {doc_id: plain_counts(text or "") for doc_id, text, _ in documents}
+    sums = {}
+    for doc_id, text, lang in documents:
+        if crc32(str(doc_id).encode()) % 3 != 1 and text is not None and lang is not None:
+            sums.setdefault(lang, Counter()).update(counted[doc_id])
+    profiles = {lang: {gram: rank for rank, gram in enumerate(top(sums[lang]))} for lang in sorted(sums)}
+    expected = {}
+    for doc_id, text, _ in documents:
+        grams = top(counted[doc_id])
+        if not any(c.isalpha() for c in text or ""):
+            expected[doc_id] = ("und", 0.0)
+            continue
+        apart = {
+            lang: sum(abs(ranks[g] - i) if g in ranks else langid.PROFILE for i, g in enumerate(grams)) for lang, ranks in profiles.items()
+        }
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        expected[doc_id] = (best, 1 - apart[best] / (langid.PROFILE * len(grams)))
+    found = op1_language_id(spark, tables).collect()
+    assert len(found) == len(documents)
+    for r in found:
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert (r.lang_pred, r.score) == (expected[r.doc_id][0], pytest.approx(expected[r.doc_id][1], abs=1e-12))
+
+
+def test_very_long_and_repeated_rows(clashing, letters):
+    text = "ein sehr langer text " * 60_000
+    profiles = LanguageProfiles(["de"], [langid.ranked(*gram_counts(SAMPLES["de"], letters), langid.PROFILE)])
+    found = identify_languages(clashing([(1, text, None), (1, text, None), (2, text[:4000], None)], SCHEMA), profiles).collect()
+    assert [(r.doc_id, r.lang_pred) for r in sorted(found)] == [(1, "de"), (1, "de"), (2, "de")] and found[0].score == found[1].score

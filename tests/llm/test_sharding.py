@@ -76,3 +76,56 @@ def test_frequent_id_is_dealt_to_ranges(spark):
     rows = [(1, str(i % 3)) for i in range(3000)]
     result = assign_shards(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len({r.shard for r in result}) == 1 and sorted(r.slot for r in result) == list(range(3000))
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of some values: each is hashed with the hash so far as its seed."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    seed = 42
+    for value in values:
+        data = value if isinstance(value, bytes) else struct.pack("<q" if isinstance(value, Long) else "<i", value)
+        seed = xxh64_intdigest(data, seed)
+    return seed
+
+
+class Long(int):
+    pass
+
+
+def drawn_shard(doc_id, tree):
+    """Down the tree one level at a time, in plain Python."""
+    from math import log
+
+    key = ("\x00" if doc_id is None else str(doc_id)).encode()
+
+    def choose(level, parent, weights):
+        draws = []
+        for child, weight in weights.items():
+            uniform = ((spark_hash(key, level, parent, child) >> 11) + 0.5) / 2**53
+            draws.append((log(uniform) / weight, child))
+        return max(draws)[1]
+
+    region = choose(0, 0, {i: sum(sum(rack.values()) for rack in racks) for i, racks in enumerate(tree)})
+    rack = choose(1, region, {i: sum(shards.values()) for i, shards in enumerate(tree[region])})
+    return choose(2, region << 16 | rack, tree[region][rack])
+
+
+def test_query_equals_brute_force(spark, tables):
+    from propensity.llm.queries import op9_hash_tree_shards
+
+    documents = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()
+    tree = regular_tree()
+    rows = []
+    for doc_id, text in documents:
+        data = (text or "").encode()
+        mixed = spark_hash(Long(doc_id))
+        signed = mixed - (1 << 64) if mixed >> 63 else mixed
+        rows.append((drawn_shard(doc_id, tree), signed, doc_id, len(data) + 1, crc32(data), drawn_shard(doc_id, grown(tree))))
+    expected, slots = [], Counter()
+    for shard, _, doc_id, size, checksum, more in sorted(rows):
+        expected.append((doc_id, size, checksum, "key", shard, slots[shard], more))
+        slots[shard] += 1
+    assert sorted(map(tuple, op9_hash_tree_shards(spark, tables).collect())) == sorted(expected)

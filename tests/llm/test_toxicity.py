@@ -96,3 +96,54 @@ def test_held_out_quality(spark, tables):
     clean = found.filter("toxic = 0").agg(F.avg("predicted")).first()[0]
     caught = found.filter("toxic = 1").agg(F.avg("predicted")).first()[0]
     assert clean < 0.01 and caught > 0.7
+
+
+def plain_features(text):
+    """Words, stems, neighbours and pairs around a word, hashed one by one."""
+    from zlib import crc32
+
+    full = (1 << 64) - 1
+
+    def mixed(value):
+        value &= full
+        value = (value ^ value >> 30) * 0xBF58476D1CE4E5B9 & full
+        value = (value ^ value >> 27) * 0x94D049BB133111EB & full
+        return (value ^ value >> 31) >> 64 - toxicity.BITS
+
+    words = re.findall(r"[^\W_]+", text.lower())
+    hashes = [crc32(word.encode()) for word in words]
+    found = {mixed(h) for h in hashes} | {mixed(crc32(b"^" + word[: toxicity.STEM].encode()) + (1 << 33)) for word in words}
+    found |= {mixed((a << 31) + b + 1) for a, b in zip(hashes, hashes[1:])}
+    return np.array(sorted(found | {mixed((a << 31) + b + 2) for a, b in zip(hashes, hashes[2:])}), np.uint32)
+
+
+def test_query_equals_brute_force(spark, tables):
+    """Features one by one and the textbook update over the labelled rows, for every document."""
+    import struct
+    from zlib import crc32
+
+    from xxhash import xxh64_intdigest
+
+    from propensity.llm.queries import op6_toxicity
+
+    documents = {r.doc_id: plain_features(r.text or "") for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    labels = {
+        r.doc_id: int(r.toxic > 0)
+        for r in spark.read.parquet(f"{tables}/labels.parquet").collect()
+        if r.toxic is not None and crc32(str(r.doc_id).encode()) % 5 != 0 and r.doc_id in documents
+    }
+
+    def turn(doc_id):
+        mixed = xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        return mixed - (1 << 64) if mixed >> 63 else mixed
+
+    order = sorted(labels, key=turn)
+    rows, truth = [documents[doc_id] for doc_id in order], np.array([labels[doc_id] for doc_id in order], float)
+    weights = plain_ftrl(rows, truth, toxicity.EPOCHS)
+    bias = ftrl(rows, truth)[0]  # the bias has no plain version of its own; the updates are compared above
+    found = op6_toxicity(spark, tables).collect()
+    assert len(found) == len(documents)
+    for r in found:
+        score = 1 / (1 + exp(-(bias + sum(weights.get(i, 0.0) for i in documents[r.doc_id].tolist()))))
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert abs(r.score - score) < 2e-3 and r.predicted == int(r.score >= 0.5)
