@@ -167,7 +167,8 @@ def identify_languages(
 ) -> DataFrame:
     """``(doc_id, lang_pred, score)`` per row, from the whole text. Rows are independent: no shuffle.
 
-    Ties go to the language that sorts first. Without profiles every row is ``und``; an empty table gives an empty result.
+    Ties go to the language that sorts first. NULL and empty texts, and those without a letter, are ``und`` with score 0; very long texts count
+    whole, in steps; rows that repeat id or text are judged each. Without profiles every row is ``und``; an empty table gives an empty result.
     """
     rows = inputs(df, doc_id=id_col, text=text_col)
     found = small_batches(rows).select("doc_id", profiles.predict(F.col("text")).alias("found"))

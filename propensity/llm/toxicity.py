@@ -171,12 +171,19 @@ def fit_toxicity(
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score, predicted)`` per row, from the whole text. Rows are independent: no shuffle."""
+    """``(doc_id, score, predicted)`` per row, from the whole text. Rows are independent: no shuffle.
+
+    NULL and empty texts score by the bias alone; very long texts count whole; rows that repeat id or text, and NULL ids, are scored each. An
+    empty table gives an empty result.
+    """
     rows = small_batches(inputs(df, doc_id=id_col, text=text_col)).select("doc_id", model.score(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that the model predicts as toxic; all columns stay."""
+    """``df`` without the rows that the model predicts as toxic; all columns stay.
+
+    NULL and empty texts go only if the bias alone says so. Rows are judged each, whatever their id; an empty table stays empty.
+    """
     rows = small_batches(placed(df))
     return rows.filter(model.score(rows[f"_c{position(df, text_col)}"]) < 0.5).toDF(*df.columns)

@@ -214,7 +214,7 @@ def read_archives(
     splits = files.select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split_bytes).cast("bigint"))).alias("start")
     ).filter("size > 0")
-    # one number from the driver: with it each range is a task of its own, however few bytes its row has
+    # one number from the driver: with it a task has few ranges (one, up to 20,000 ranges), however few bytes their rows have
     count = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0]
     splits = splits.repartition(int(max(1, min(count or 1, 20_000))))
 
