@@ -1,4 +1,7 @@
-"""The corpus pipeline: operators of ``propensity.llm`` in a row, each over all that the one before kept."""
+"""The corpus pipeline: operators of ``propensity.llm`` in a row, each over all that the one before kept.
+
+All stages take very long texts whole, pass further columns on whatever their names, and leave an empty table empty.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +16,39 @@ from propensity.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labelled ones, does not predict as toxic."""
+    """Documents that the model, fitted on the labelled ones, does not predict as toxic.
+
+    NULL and empty texts stay unless the bias alone rejects them; repeated rows and NULL ids are judged each.
+    """
     return drop_toxic(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; NULL texts equal empty ones.
+
+    Rows that repeat id and text leave one. A row with a NULL id stays, but for its repeats.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id: five words to a shingle, similarity 0.8."""
+    """One document of each group of near-duplicates, that with the smallest id: five words to a shingle, similarity 0.8.
+
+    Texts without a word, and rows with a NULL id, belong to no group and stay; rows that repeat id and text leave one.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for; the one at a source's cut in part."""
+    """Documents as often as the target weights of their sources ask for; the one at a source's cut in part.
+
+    A NULL source is one more source. Texts without a word have nothing to take, and go.
+    """
     return apply_mix(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text (packed little-endian unsigned 32-bit integers), and the bytes decoded from them."""
+    """Token ids of every text (packed little-endian unsigned 32-bit integers), and the bytes decoded from them; NULL texts have none."""
     return encode_and_decode(docs).withColumnRenamed("id", "doc_id")
 
 
