@@ -14,6 +14,8 @@ does not depend on the order or the partitioning of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -41,19 +43,25 @@ from propensity.session import scratch_path
 ROW_BYTES = 64
 
 
-def category_counts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def category_counts(df: DataFrame, keys: list[str], label: str, count: str | None = None) -> DataFrame:
     """Rows and positives per key, ``(*keys, n, positives, unusable)``, in one partial + final aggregate.
 
-    Rows without a label are left out; ``unusable`` counts labels other than 0 and 1.
+    Rows without a label are left out; ``unusable`` counts labels other than 0 and 1. ``count`` names a column of row counts of
+    pre-aggregated input.
     """
     target = F.col(label)
+    rows = F.col(count).cast("bigint") if count else F.lit(1).cast("bigint")
+
+    def counted(condition: Column) -> Column:
+        return F.sum(F.when(condition, rows).otherwise(0))
+
     return (
         df.filter(target.isNotNull())
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(target == 1).alias("positives"),
-            F.count_if(~target.isin(0, 1)).alias("unusable"),
+            F.sum(rows).alias("n"),
+            counted(target == 1).alias("positives"),
+            counted(~target.isin(0, 1)).alias("unusable"),
         )
     )
 
@@ -95,13 +103,19 @@ class _TargetEncoderParams(HasInputCol, HasOutputCol, HasLabelCol):
         "folds by which training rows are encoded without their own label; 0: like all other rows",
         typeConverter=TypeConverters.toInt,
     )
+    countCol = Param(
+        Params._dummy(),
+        "countCol",
+        "column of row counts, where the rows to fit on are counts of rows; empty: they are rows",
+        typeConverter=TypeConverters.toString,
+    )
     keyCol = Param(
         Params._dummy(), "keyCol", "row key that decides the fold", typeConverter=TypeConverters.toString
     )
 
     def __init__(self):
         super().__init__()
-        self._setDefault(smoothing="auto", maxBroadcastBytes=MAX_BROADCAST_BYTES, outOfFold=0)
+        self._setDefault(smoothing="auto", maxBroadcastBytes=MAX_BROADCAST_BYTES, outOfFold=0, countCol="")
 
 
 class AutoTargetEncoder(Estimator, _TargetEncoderParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -149,10 +163,12 @@ class AutoTargetEncoder(Estimator, _TargetEncoderParams, DefaultParamsReadable,
     def _fit(self, dataset: DataFrame) -> AutoTargetEncoderModel:
         spark = dataset.sparkSession
         counts_path = scratch_path(spark, "category-counts")
-        category = F.col(self.getInputCol()).alias("category")
-        category_counts(
-            dataset.select(category, F.col(self.getLabelCol()).alias("label")), ["category"], "label"
-        ).write.parquet(counts_path)
+        count = self.getOrDefault("countCol")
+        columns = [F.col(self.getInputCol()).alias("category"), F.col(self.getLabelCol()).alias("label")]
+        columns += [F.col(count).alias("count")] if count else []
+        category_counts(dataset.select(*columns), ["category"], "label", "count" if count else None).write.parquet(
+            counts_path
+        )
         counts = spark.read.parquet(counts_path)
         total = counts.agg(
             F.sum("n").alias("rows"),
@@ -243,6 +259,41 @@ class _TargetEncoderReader(MLReader):
         return model
 
 
+def label_counts(df: DataFrame, category: str, label: str, fold: str) -> DataFrame:
+    """Rows per category, label and fold, ``(category, label, fold, __count)``: what encoders of any choice of folds are fitted on.
+
+    Columns keep their names, so an encoder with ``countCol="__count"`` takes the counts in place of the rows.
+    """
+    return df.groupBy(category, label, fold).agg(F.count(F.lit(1)).alias("__count"))
+
+
+def encode_with_all(df: DataFrame, models: Sequence[AutoTargetEncoderModel], output: str) -> DataFrame:
+    """``df`` with ``output``: an array of the encodings that each of several models of one column gives.
+
+    The models' tables, one row per category, are joined with each other first, so ``df`` meets one lookup, however many models there are.
+    """
+    first = models[0]
+    column = first.getInputCol()
+    lookup = None
+    for i, model in enumerate(models):
+        own = model.encodings.select(F.col("category").alias("__category"), F.col("n").alias(f"n_{i}"), F.col("encoding").alias(f"e_{i}"))
+        lookup = own if lookup is None else lookup.join(own, "__category", "full")
+    encodings = F.array(*(F.coalesce(f"e_{i}", F.lit(model.share)) for i, model in enumerate(models)))
+    most = F.greatest(*(F.coalesce(f"n_{i}", F.lit(0).cast("bigint")) for i in range(len(models))), F.lit(0).cast("bigint"))
+    lookup = lookup.select("__category", encodings.alias(output), most.alias("__rows"))
+    joined = join_lookup(
+        df.withColumn("__category", F.col(column)),
+        lookup,
+        ["__category"],
+        lookup_bytes=sum(model.lookup_bytes for model in models),
+        rows_column="__rows",
+        total_rows=max(model.rows for model in models),
+        max_broadcast_bytes=first.getOrDefault("maxBroadcastBytes"),
+    ).drop("__category")
+    shares = F.array(*(F.lit(model.share) for model in models))
+    return joined.withColumn(output, F.coalesce(output, shares))
+
+
 def out_of_fold_encode(
     df: DataFrame,
     category: str,

@@ -12,10 +12,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from propensity.operators.metrics import area_under_roc
 from propensity.operators.splitting import with_fold
-from propensity.operators.target_encoding import AutoTargetEncoder
+from propensity.operators.target_encoding import AutoTargetEncoder, encode_with_all, label_counts
 from propensity.plans.evaluation import with_score
 from propensity.plans.forests import KeyedForest, in_threads, prefix_areas
 from propensity.plans.paths import Penalty, fit_paths, linear_areas
@@ -23,7 +24,7 @@ from propensity.schema import LABEL, ROW_KEY
 from propensity.session import scratch
 from propensity.sources.tables import stage, stage_spread
 
-FOLD = "fold"
+FOLD, ENCODINGS = "fold", "__encodings"
 
 
 class FittedFeatures(NamedTuple):
@@ -150,24 +151,63 @@ def _size_of(learner: Estimator) -> Param | None:
 def _staged_folds(
     pipeline: TrainingPipeline, grid: list[dict], train: DataFrame, key: str, folds: int, parallelism: int
 ) -> dict[tuple[int, tuple], tuple[DataFrame, DataFrame]]:
-    """Encoded rows of both sides by fold and setting of the feature stages, written to the shared folder."""
+    """Encoded rows of both sides by fold and setting of the feature stages."""
     learner = pipeline.learner()
+    spark = train.sparkSession
     folded = with_fold(train, key, folds, FOLD)
     settings = {
-        _settings(learner, params): {param: value for param, value in params.items() if param.parent != learner.uid}
+        _settings(learner, params): pipeline.copy({param: value for param, value in params.items() if param.parent != learner.uid})
         for params in grid
     }
+    columns = list(dict.fromkeys(pipeline.learner_columns()))
+    parts = [(fold, name) for fold in range(folds) for name in settings]
+    encoders = [stage for stage in pipeline.getStages() if isinstance(stage, AutoTargetEncoder)]
+    honest = any(stage.getOrDefault("outOfFold") for own in settings.values() for stage in own.getStages()[:1] if encoders)
+    if len(encoders) == 1 and pipeline.getStages()[0] is encoders[0] and not honest:
+        counts = stage(label_counts(folded, encoders[0].getInputCol(), encoders[0].getLabelCol(), FOLD), "fold-counts")
+        wide = dict(zip(settings, in_threads(spark, parallelism, _fold_wide, [(own, folded, counts, folds) for own in settings.values()])))
+
+        def view(fold: int, name: tuple) -> tuple[DataFrame, DataFrame]:
+            return _fold_of(settings[name], wide[name], fold, columns)
+
+        return dict(zip(parts, in_threads(spark, parallelism, view, parts)))
 
     def encode(fold: int, name: tuple) -> tuple[DataFrame, DataFrame]:
-        features = pipeline.copy(settings[name]).fit_features(folded.filter(f"{FOLD} != {fold}").drop(FOLD))
+        features = settings[name].fit_features(folded.filter(f"{FOLD} != {fold}").drop(FOLD))
         held_out = features.transform(folded.filter(f"{FOLD} = {fold}").drop(FOLD))
-        return (
-            stage_spread(features.encoded.select(*dict.fromkeys(pipeline.learner_columns())), "fold-train"),
-            stage(held_out.select(*pipeline.learner_columns()[:2]), "fold-test"),
-        )
+        return stage_spread(features.encoded.select(*columns), "fold-train"), stage(held_out.select(*columns[:2]), "fold-test")
 
-    parts = [(fold, name) for fold in range(folds) for name in settings]
-    return dict(zip(parts, in_threads(train.sparkSession, parallelism, encode, parts)))
+    return dict(zip(parts, in_threads(spark, parallelism, encode, parts)))
+
+
+def _fold_wide(pipeline: TrainingPipeline, folded: DataFrame, counts: DataFrame, folds: int) -> DataFrame:
+    """All rows, staged once for all folds: each has the encoding that every fold's encoder gives it, in an array.
+
+    The encoders are fitted on counts per category, label and fold, not on rows. Stages that learn nothing are applied here as well.
+    """
+    encoder = pipeline.getStages()[0]
+    fit = encoder.copy({encoder.countCol: "__count"}).fit
+    models = [fit(counts.filter(f"{FOLD} != {fold}")) for fold in range(folds)]
+    rows = encode_with_all(folded, models, ENCODINGS)
+    for part in pipeline.getStages()[1:-1]:
+        if isinstance(part, Estimator):
+            break
+        rows = part.transform(rows)
+    return stage_spread(rows, "fold-rows", partition_by=FOLD)
+
+
+def _fold_of(pipeline: TrainingPipeline, wide: DataFrame, fold: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a fold as views of the wide table; what is left to do is cheap next to reading it."""
+    output = pipeline.getStages()[0].getOutputCol()
+    rows = wide.withColumn(output, F.get(ENCODINGS, F.lit(fold))).drop(ENCODINGS)
+    train, held_out = rows.filter(f"{FOLD} != {fold}").drop(FOLD), rows.filter(f"{FOLD} = {fold}").drop(FOLD)
+    learnt = False
+    for part in pipeline.getStages()[1:-1]:
+        learnt = learnt or isinstance(part, Estimator)
+        if learnt:
+            model = part.fit(train) if isinstance(part, Estimator) else part
+            train, held_out = model.transform(train), model.transform(held_out)
+    return train.select(*columns), held_out.select(*columns[:2])
 
 
 def _searched(
@@ -190,9 +230,10 @@ def cross_validate(
 ) -> CrossValidatorModel:
     """Search ``grid`` by mean exact area under ROC over key-hashed folds and refit the best point on all rows.
 
-    Encoders are fitted once per fold and setting of the feature stages. The encoded rows of both sides of a fold, which are
-    all that learners and metrics need, are written to the shared folder once, used by all points, and removed at the
-    end. Nothing is cached. Points of a forest or of boosting that differ only in the number of trees are one fit, of the largest; the
+    Where the target encoder comes first, as in the full feature set, rows are counted once per category, label and fold; all folds' encoders are
+    fitted on these counts, and all rows are written to the shared folder once, with the encodings of every fold. Folds are read as filters of that
+    table. Otherwise both sides of each fold are written once. All points use what is written; it is removed at the end. Nothing is
+    cached. Points of a forest or of boosting that differ only in the number of trees are one fit, of the largest; the
     held-out rows are scored once for all of them (:func:`propensity.plans.forests.prefix_areas`). ``parallelism`` is the number
     of jobs that run at a time; the scheduler shares the cores.
     """

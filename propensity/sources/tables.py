@@ -34,21 +34,21 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and scan it: the lineage ends there, and outlives executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_spread(df: DataFrame, name: str) -> DataFrame:
+def stage_spread(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """:func:`stage` for rows that cost far more than their bytes, such as those of a learner: one split per core at least.
 
     A large table has more splits than cores as it is. A small one would be read by one task; it is dealt anew.
     """
-    staged = stage(df, name)
+    staged = stage(df, name, partition_by)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return staged if staged.rdd.getNumPartitions() >= cores else stage(staged.repartition(cores), name)
+    return staged if staged.rdd.getNumPartitions() >= cores else stage(staged.repartition(cores), name, partition_by)
 
 
 def stage_split(

@@ -358,3 +358,30 @@ def test_models_are_compared_in_one_scan_with_the_metrics_of_each(data):
     assert board.inputFiles() == inputs or set(board.inputFiles()) == set(inputs)
     logical = board._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("Relation [") <= 2  # counts and areas come from the same grouping, whose exchange is shared
+
+
+def test_a_search_counts_and_writes_the_rows_once(data, monkeypatch):
+    """One table of counts and one of rows serve all folds; the encodings of a fold are those of an encoder fitted without it."""
+    from propensity.operators import AutoTargetEncoder, with_fold
+    from propensity.plans import tuning
+
+    written = []
+    for name in ("stage", "stage_spread"):
+        kept = getattr(tuning, name)
+        monkeypatch.setattr(tuning, name, lambda df, to, *more, kept=kept, **options: written.append(to) or kept(df, to, *more, **options))
+    view = tuning._fold_of
+    checked = []
+
+    def compare(pipeline, wide, fold, columns):
+        folded = with_fold(data.train, "appointment_id", 3)
+        encoder = AutoTargetEncoder(inputCol="neighborhood", outputCol="te", labelCol=LABEL)
+        expected = encoder.fit(folded.filter(F.col("fold") != fold)).transform(folded).select("appointment_id", "te")
+        gap = wide.join(expected, "appointment_id").filter(F.abs(F.get("__encodings", F.lit(fold)) - F.col("te")) > 1e-12)
+        checked.append((gap.isEmpty(), wide.count() == folded.count()))
+        return view(pipeline, wide, fold, columns)
+
+    monkeypatch.setattr(tuning, "_fold_of", compare)
+    learner = logistic_regression(max_iter=3)
+    cross_validate(training_pipeline(learner), [{learner.regParam: 0.1}, {learner.regParam: 1.0}], data.train, folds=3)
+    assert sorted(written) == ["fold-counts", "fold-rows"]
+    assert checked == [(True, True)] * 3
