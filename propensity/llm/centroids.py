@@ -20,6 +20,8 @@ from propensity.session import scratch_path
 CLUSTERS, ROUNDS, COMPONENTS, SCALE, SEED = 8, 10, 64, 1024, "3"
 #: bits of a cell, and vectors (those with the smallest seeded hashes) whose quantiles bound the cells
 BITS, SAMPLE = 6, 4096
+#: clusters at most, so that the interval tables of a task stay below 100 MB
+MOST_CLUSTERS = 512
 #: components beyond this many units are refused: squared distances stay below 2^63
 LARGEST = 1 << 27
 #: vectors in one step of a task, and unneeded vectors that are read over rather than skipped
@@ -263,8 +265,8 @@ def cluster_vectors(
     Left out are vectors that are NULL, of another length, or with a component that is NULL, not finite, or beyond ``LARGEST`` units, whose
     squared distances 64 bits cannot hold. Repeated rows and ids count as often as they occur. An empty table has no centroid and gives no row.
     """
-    if not 1 <= clusters <= SAMPLE or not 1 <= bits <= 8:
-        raise ValueError(f"1 to {SAMPLE} clusters and 1 to 8 bits, got {clusters} and {bits}")
+    if not 1 <= clusters <= MOST_CLUSTERS or not 1 <= bits <= 8:
+        raise ValueError(f"1 to {MOST_CLUSTERS} clusters and 1 to 8 bits, got {clusters} and {bits}")
     spark = df.sparkSession
     vectors = integer_vectors(df, id_col, vector_col, components, scale)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)

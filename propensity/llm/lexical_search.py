@@ -28,8 +28,8 @@ BLOCK, BLOCK_BITS = 1024, 1 << 25
 GATHER, GATHER_KEYS = 8192, 1 << 22
 #: documents with the highest bounds that are scored first, per item: they set the bar for all others
 SEEDS = 32
-#: terms of the items that are searched for at a time
-QUERY_TERMS = 1 << 18
+#: terms of the items that are searched for at a time: a task holds a byte per term and document of a block
+QUERY_TERMS = 1 << 15
 #: hash buckets of documents to be scored, which sift the texts before they are joined
 BUCKETS = 1 << 20
 

@@ -80,6 +80,13 @@ def test_fewer_vectors_than_clusters(spark):
     assert rows_of(result) == sorted(brute_force(rows), key=repr) and len(result.centroids) == 3
 
 
+def test_refused_settings(spark):
+    table = spark.createDataFrame(random_rows(3), SCHEMA)
+    for settings in ({"clusters": 0}, {"clusters": 513}, {"bits": 9}):
+        with pytest.raises(ValueError, match="clusters"):
+            cluster_vectors(table, components=4, **settings)
+
+
 def test_empty_table_and_too_large_values(spark):
     assert cluster_vectors(spark.createDataFrame([], SCHEMA)).assigned.count() == 0
     rows = [*random_rows(50), (99, [3e38, 0.0, 0.0, 0.0]), (98, [1e6, 0.0, 0.0, 0.0])]
