@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from propensity.operators.curves import curve_areas
 
+RANGES = 128
+
 
 def score_counts(df: DataFrame, label: str, prediction: str, score: str) -> DataFrame:
     """Rows per ``score``: ``pos`` and ``neg`` by label, ``pos_hit`` and ``neg_hit`` of them predicted as 1.
@@ -112,14 +114,15 @@ def area_under_roc(df: DataFrame, label: str, score: str, count: str | None = No
     return area.agg(*whole.values(), F.max("auc").alias("auc"))
 
 
-def area_of_scores(per_score: DataFrame, ranges: int = 128) -> DataFrame:
+def area_of_scores(per_score: DataFrame, ranges: int | None = None) -> DataFrame:
     """:func:`area_under_roc` of counts per distinct score (``score``, ``pos``, ``neg``); sums of further columns are added.
 
     Each positive row is worth the negatives below it plus half of those tied with it. Equal scores have
-    collapsed, so a hot score is one row. The distinct scores are dealt to ``ranges`` ranges between their approximate
-    percentiles, in one shuffle, and summed up within each; the ranges then add the negatives of all lower ones. Any
+    collapsed, so a hot score is one row. The distinct scores are dealt to ``ranges`` ranges (as many as a shuffle has partitions,
+    but ``RANGES`` at least) between their approximate percentiles, in one shuffle, and summed up within each; the ranges then add the negatives of all lower ones. Any
     boundaries give the exact value: counts are exact integers, so it does not depend on the partitioning either.
     """
+    ranges = ranges or max(RANGES, int(per_score.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     zero = F.lit(0).cast("bigint")
     sums = [name for name in per_score.columns if name != "score"]
     steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
