@@ -82,7 +82,7 @@ class KeyedForest(RandomForestClassifier):
         if least is None:
             raise ValueError("no row with a weight to fit on")
         exact = F.round(given / least * WEIGHT_STEPS) / WEIGHT_STEPS
-        hashed = key_hash(F.col(self.row_key)) if self.getBootstrap() else F.lit(0)
+        trees = range(self.getNumTrees())
         strategy = self.getFeatureSubsetStrategy()
         if strategy == "auto":  # a single tree would take it as all features
             strategy = "sqrt" if self.getNumTrees() > 1 else "all"
@@ -105,16 +105,22 @@ class KeyedForest(RandomForestClassifier):
         )
 
         def fit_tree(number: int) -> RandomForestClassificationModel:
-            drawn = staged.withColumn("hashed", tree_hash(F.col("row_hash"), number)) if self.getBootstrap() else staged
-            weight = F.col("weight") * (poisson_draw(F.col("hashed")) if self.getBootstrap() else 1.0)
-            rows = drawn.select(F.col(self.getFeaturesCol()), label, weight.alias(TREE_WEIGHT))
+            weight = F.col("weight") * F.col(f"tree_{number}") if self.getBootstrap() else F.col("weight")
+            rows = staged.select(F.col(self.getFeaturesCol()), label, weight.alias(TREE_WEIGHT))
             return one.copy({one.seed: self.getSeed() + number}).fit(rows.filter(F.col(TREE_WEIGHT) > 0))
 
         with scratch(spark):  # every tree makes several passes
-            columns = [F.col(self.getFeaturesCol()), label, exact.cast("double").alias("weight"), hashed.alias("row_hash")]
-            staged = stage(dataset.select(*columns), "forest-rows")
-            trees = in_threads(spark, PARALLEL_TREES, fit_tree, [(number,) for number in range(self.getNumTrees())])
-        model = self._copyValues(joined_forest(spark, trees, self.uid))
+            columns = [self.getFeaturesCol(), self.getLabelCol(), exact.cast("double").alias("weight")]
+            if self.getBootstrap():
+                # a column per tree: a pass reads its own only, and all trees run the same generated code
+                hashed = dataset.withColumn("row_hash", key_hash(F.col(self.row_key)))
+                hashed = hashed.withColumns({f"hash_{number}": tree_hash(F.col("row_hash"), number) for number in trees})
+                columns += [poisson_draw(F.col(f"hash_{number}")).cast("byte").alias(f"tree_{number}") for number in trees]
+                staged = stage(hashed.select(*columns), "forest-rows")
+            else:
+                staged = stage(dataset.select(*columns), "forest-rows")
+            fitted = in_threads(spark, PARALLEL_TREES, fit_tree, [(number,) for number in trees])
+        model = self._copyValues(joined_forest(spark, fitted, self.uid))
         model._transfer_params_to_java()  # what the model says of itself comes from there
         return model
 
