@@ -19,7 +19,7 @@ from propensity.session import scratch_path
 
 CLUSTERS, ROUNDS, COMPONENTS, SCALE, SEED = 8, 10, 64, 1024, "3"
 #: bits of a cell, and vectors (those with the smallest seeded hashes) whose quantiles bound the cells
-BITS, SAMPLE = 6, 4096
+BITS, SAMPLE = 8, 4096
 #: clusters at most, so that the interval tables of a task stay below 100 MB
 MOST_CLUSTERS = 512
 #: components beyond this many units are refused: squared distances stay below 2^63
@@ -78,17 +78,48 @@ def interval_tables(edges: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarra
     return nearest * nearest, farthest * farthest
 
 
-def decide(cells: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The nearest centroid where the distance intervals of the cells leave no doubt, ties included, else -1."""
-    low, high = (np.zeros((len(cells), tables[0].shape[2]), np.int64) for _ in range(2))
-    for component in range(cells.shape[1]):
-        low += tables[0][component][cells[:, component]]
-        high += tables[1][component][cells[:, component]]
-    best = high.argmin(axis=1)
-    bound = high[np.arange(len(high)), best][:, None]
-    number = np.arange(low.shape[1])
-    sure = (low > bound) | ((low == bound) & (number > best[:, None])) | (number == best[:, None])
-    return np.where(sure.all(axis=1), best, -1)
+class Cells(NamedTuple):
+    """Tables for one set of centroids. Two differences of squares part a pair of centroids at a point ``x`` by a number that is linear in
+    ``x``: so the ends of a cell bound it as well, and far more tightly than the distances themselves."""
+
+    nearest: np.ndarray  # [component, cell, centroid], as farthest
+    farthest: np.ndarray
+    ends: np.ndarray  # [component, cell]: sum of both ends
+    width: np.ndarray
+    centroids: np.ndarray
+
+    @classmethod
+    def of(cls, edges: np.ndarray, centroids: np.ndarray) -> Cells:
+        first, last = edges[:, :-1], edges[:, 1:] - 1
+        return cls(*interval_tables(edges, centroids), first + last, last - first, centroids)
+
+    def decide(self, cells: np.ndarray) -> np.ndarray:
+        """The nearest centroid where the cells leave no doubt, ties included, else -1.
+
+        First by distance intervals, one per centroid; where these overlap, by the intervals of the differences between the most
+        likely centroid and every other.
+        """
+        low, high = (np.zeros((len(cells), len(self.centroids)), np.int64) for _ in range(2))
+        for component in range(cells.shape[1]):
+            low += self.nearest[component][cells[:, component]]
+            high += self.farthest[component][cells[:, component]]
+        number = np.arange(low.shape[1])
+        best = high.argmin(axis=1)
+        bound = high[np.arange(len(high)), best][:, None]
+        sure = (low > bound) | ((low == bound) & (number > best[:, None])) | (number == best[:, None])
+        found = np.where(sure.all(axis=1), best, -1)
+        likely = (low + high).argmin(axis=1)
+        component = np.arange(cells.shape[1])
+        squares = (self.centroids**2).sum(axis=1)
+        for centroid in np.unique(likely[found < 0]):
+            rows = np.flatnonzero((found < 0) & (likely == centroid))
+            apart = (self.centroids - self.centroids[centroid]).T
+            own = cells[rows]
+            ends, width = self.ends[component, own], self.width[component, own]
+            most = ends @ apart + width @ np.abs(apart) - (squares - squares[centroid])
+            nearer = (most < 0) | ((most == 0) & (number > centroid)) | (number == centroid)
+            found[rows[nearer.all(axis=1)]] = centroid
+        return found
 
 
 def distances(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -169,14 +200,14 @@ def _round(index: DataFrame, edges: np.ndarray, old: np.ndarray | None, new: np.
     that move. Nothing is carried from round to round but sums, so a repeated task does no harm.
     """
     components = len(edges)
-    tables = [None if given is None else interval_tables(edges, given) for given in (old, new)]
+    tables = [None if given is None else Cells.of(edges, given) for given in (old, new)]
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fetch, fetched = _Fetcher(components), 0
         sums = np.zeros((len(new), components + 1), np.int64)
         for batch in batches:
             for part, cells in _steps(batch, components):
-                known = [np.full(len(cells), -1) if t is None else decide(cells, t) for t in tables]
+                known = [np.full(len(cells), -1) if t is None else t.decide(cells) for t in tables]
                 rows = np.flatnonzero((known[0] != known[1]) | (known[1] < 0))
                 if not len(rows):
                     continue
@@ -201,7 +232,7 @@ def _round(index: DataFrame, edges: np.ndarray, old: np.ndarray | None, new: np.
 
 def _assign(index: DataFrame, edges: np.ndarray, centroids: np.ndarray) -> DataFrame:
     """``(vec_id, cluster, distance)``; the distance needs every full vector once, the cluster only those in doubt."""
-    components, tables = len(edges), interval_tables(edges, centroids)
+    components, tables = len(edges), Cells.of(edges, centroids)
     kind = index.schema["vec_id"].dataType.simpleString()
     schema = f"vec_id {kind}, cluster int, distance bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -210,7 +241,7 @@ def _assign(index: DataFrame, edges: np.ndarray, centroids: np.ndarray) -> DataF
         fetch = _Fetcher(components)
         for batch in batches:
             for part, cells in _steps(batch, components):
-                cluster = decide(cells, tables)
+                cluster = tables.decide(cells)
                 vectors = _fetch(fetch, part, np.arange(len(cells)))
                 doubt = np.flatnonzero(cluster < 0)
                 if len(doubt):
@@ -255,8 +286,8 @@ def cluster_vectors(
     """Lloyd's algorithm on integer vectors ``floor(scale * x)``: ``rounds`` assignments and updates, then a last assignment.
 
     Each of the first rounds reads the few-bit cells of all vectors. Tables give, by component and cell, how far a value of the cell can
-    be from each centroid; their sums are intervals of squared distances. Where these settle the nearest centroid (ties: the smaller
-    number) and it is the one of the round before, nothing else is read; sums of clusters change only by the vectors that are fetched.
+    be from each centroid; their sums are intervals of squared distances, and likewise of differences between two of them. Where
+    these settle the nearest centroid (ties: the smaller number) and it is the one of the round before, nothing else is read; sums of clusters change only by the vectors that are fetched.
     Cells are bounded by quantiles of ``SAMPLE`` vectors and the exact extremes of all; all arithmetic is exact.
 
     Start: the vectors with the smallest sha256 of ``seed:vec_id``, NULL ids last, equal ids by their vectors. The columns of ``assigned``: ``vec_id``,

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from propensity.llm.centroids import (
-    cell_edges, cells_of, cluster_vectors, decide, distances, interval_tables,
+    Cells, cell_edges, cells_of, cluster_vectors, distances, interval_tables,
 )
 
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -105,7 +105,7 @@ def test_intervals_hold_the_distances_and_decide_most():
     low, high = (sum(t[d][cells[:, d]] for d in range(64)) for t in interval_tables(edges, centroids))
     exact = distances(vectors, centroids)
     assert (low <= exact).all() and (exact <= high).all()
-    found = decide(cells, interval_tables(edges, centroids))
+    found = Cells.of(edges, centroids).decide(cells)
     sure = found >= 0
     assert (found[sure] == exact.argmin(axis=1)[sure]).all() and sure.mean() > 0.9
 
@@ -114,3 +114,26 @@ def test_later_rounds_fetch_few_vectors(spark):
     rows = random_rows(4000, 64, spread=0.05)
     result = cluster_vectors(spark.createDataFrame(rows, SCHEMA))
     assert result.fetched[0] == 4000 and max(result.fetched[2:], default=0) < 1500
+
+
+def test_differences_decide_where_distances_overlap():
+    """Centroids that lie close together, as those of vectors without clusters do."""
+    random_source = np.random.default_rng(6)
+    vectors = random_source.normal(0, 128, (4000, 64)).astype(np.int64)
+    centroids = random_source.normal(0, 12, (8, 64)).astype(np.int64)
+    edges = cell_edges(vectors[:1000], vectors.min(axis=0), vectors.max(axis=0), 8)
+    cells = cells_of(vectors, edges)
+    found = Cells.of(edges, centroids).decide(cells)
+    sure = found >= 0
+    assert (found[sure] == distances(vectors, centroids).argmin(axis=1)[sure]).all() and sure.mean() > 0.8
+    low, high = (sum(t[d][cells[:, d]] for d in range(64)) for t in interval_tables(edges, centroids))
+    assert ((low <= high.min(axis=1)[:, None]).sum(axis=1) > 1).mean() > 0.5
+
+
+def test_equal_centroids_and_exact_ties_are_decided_by_number():
+    vectors = np.array([[0, 0], [2, 2], [1, 1], [5, 5]], np.int64)
+    centroids = np.array([[0, 0], [2, 2], [2, 2]], np.int64)
+    edges = cell_edges(vectors, vectors.min(axis=0), vectors.max(axis=0), 8)
+    found = Cells.of(edges, centroids).decide(cells_of(vectors, edges))
+    exact = distances(vectors, centroids).argmin(axis=1)
+    assert all(f in (-1, e) for f, e in zip(found, exact))
