@@ -11,13 +11,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propensity.functions.keyhash import MODULUS, key_hash
+from propensity.functions.keyhash import INCREMENT, MODULUS, MULTIPLIER, key_hash
 from propensity.operators.curves import COUNTS, collapsed, counts_batch, curve_areas
+from propensity.plans.shared_trees import (
+    MOST_DRAWN,
+    Seeds,
+    bins_of,
+    boost,
+    fits,
+    grow_forest,
+    java_trees,
+    rules_of,
+    stage_blocks,
+)
 from propensity.schema import ROW_KEY
 from propensity.session import scratch
 from propensity.sources.tables import stage
@@ -35,20 +46,45 @@ def tree_hash(row_hash: Column, tree: int) -> Column:
     return key_hash(F.shiftright(mixed, 9).bitwiseXOR(mixed))
 
 
+def poisson_bounds() -> list[int]:
+    """Where the draws 0 to 11 end; beyond the last, which less than one of 2^31 numbers is, lies 12."""
+    total, term, bounds = 0.0, math.exp(-1), []
+    for count in range(12):
+        term = term / count if count else term
+        total += term
+        bounds.append(int(round(total * MODULUS)))
+    return bounds
+
+
 def poisson_draw(hashed: Column) -> Column:
     """How often a row occurs in a tree's sample: a Poisson draw of mean 1, the point of the distribution at which ``hashed`` lies.
 
     Beyond 12 lies less than one of 2^31 rows.
     """
-    total, term, draw = 0.0, math.exp(-1), None
-    for count in range(12):
-        term = term / count if count else term
-        total += term
-        below = hashed < int(round(total * MODULUS))
-        draw = F.when(below, count) if draw is None else draw.when(below, count)
+    draw = None
+    for count, bound in enumerate(poisson_bounds()):
+        draw = F.when(hashed < bound, count) if draw is None else draw.when(hashed < bound, count)
     return draw.otherwise(12)
 
 
+def drawn_rows(trees: int) -> Callable[[np.ndarray], np.ndarray]:
+    """:func:`poisson_draw` of :func:`tree_hash` for all trees, from the key hashes of a block: ``[tree / 2, row]``, two trees in a byte."""
+    bounds = np.array(poisson_bounds())
+
+    def step(number: np.ndarray) -> np.ndarray:
+        return (number % MODULUS * MULTIPLIER + INCREMENT) % MODULUS
+
+    def draw(row_hash: np.ndarray) -> np.ndarray:
+        packed = np.zeros(((trees + 1) // 2, len(row_hash)), np.uint8)
+        for tree in range(trees):
+            mixed = step(row_hash ^ ((tree + 1) * 40_503))
+            often = np.searchsorted(bounds, step((mixed >> 9) ^ mixed), "right")
+            packed[tree // 2] |= (np.minimum(often, MOST_DRAWN) << 4 * (tree % 2)).astype(np.uint8)
+        return packed
+
+    return draw
+
+
 def in_threads(spark: SparkSession, parallelism: int, call: Callable, tasks: Iterable[tuple]) -> list:
     """Results of ``call(*task)`` in order; threads share the session's properties and the scratch scope."""
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
@@ -63,8 +99,11 @@ class KeyedForest(RandomForestClassifier):
 
     The forest of Spark draws each tree's rows by partition, so it changes with the layout of its input. Here tree number t is Spark's own
     single tree over all rows, each weighted by :func:`poisson_draw` from the hash of its key and t (and its own weight), with the seed ``seed + t`` for
-    the choice of features. The rows are staged once. Trees do not know of each other: they are fitted side by side, each in as many tasks as
-    the staged table has splits, and a forest of n trees is the beginning of any larger one. The fitted model is Spark's, and is saved and loaded as such.
+    the choice of features. A forest of n trees is the beginning of any larger one. The fitted model is Spark's, and is saved and loaded as such.
+
+    Over binned features all trees grow together: rows are staged once as blocks of codes, and a pass over these per level of depth gives the sums
+    by which the open nodes of all trees are split (:mod:`propensity.plans.shared_trees`). Over other features, or where a level's sums exceed ``maxMemoryInMB``,
+    each tree is a fit of its own over staged rows, side by side.
 
     Without bootstrap a tree sees every row once. ``row_key`` names the column of keys; rows need one.
     """
@@ -75,7 +114,37 @@ class KeyedForest(RandomForestClassifier):
         """Columns that fitting reads besides features, label and weight."""
         return [self.row_key] if self.getBootstrap() else []
 
+    def taken_features(self, features: int) -> int:
+        """Features that a node may split by; 0 for a strategy that only Spark knows."""
+        strategy = self.getFeatureSubsetStrategy()
+        if strategy == "auto":
+            strategy = "sqrt" if self.getNumTrees() > 1 else "all"
+        known = {"all": features, "sqrt": math.ceil(math.sqrt(features)), "onethird": math.ceil(features / 3)}
+        return known.get(strategy, 0)
+
     def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
+        bins = bins_of(dataset, self.getFeaturesCol(), self.getMaxBins())
+        taken = self.taken_features(len(bins.arities)) if bins else 0
+        if self.getImpurity() != "gini" or not fits(self, bins, taken, exact=True):
+            return self._fit_apart(dataset)
+        spark, number = dataset.sparkSession, self.getNumTrees()
+        weight = F.col(self.getWeightCol()) if self.isDefined("weightCol") and self.getWeightCol() else F.lit(1.0)
+        rules = rules_of(self, exact=True)
+        with scratch(spark):
+            draws, key = (drawn_rows(number), key_hash(F.col(self.row_key))) if self.getBootstrap() else (None, None)
+            blocks = stage_blocks(dataset.filter(weight > 0), bins, self.getFeaturesCol(), self.getLabelCol(), weight, draws, key)
+            least = blocks.agg(F.min("least")).first()[0]
+            if least is None:
+                raise ValueError("no row with a weight to fit on")
+            subsets = [Seeds(spark, self.getSeed() + tree, len(bins.arities), taken) for tree in range(number)]
+            trees = grow_forest(blocks, bins, rules, subsets, least, WEIGHT_STEPS, self.getBootstrap())
+        classes = spark.sparkContext._jvm.org.apache.spark.ml.classification
+        fitted = classes.RandomForestClassificationModel(self.uid, java_trees(spark, trees, bins, rules), len(bins.arities), 2)
+        model = self._copyValues(RandomForestClassificationModel(fitted))
+        model._transfer_params_to_java()  # what the model says of itself comes from there
+        return model
+
+    def _fit_apart(self, dataset: DataFrame) -> RandomForestClassificationModel:
         spark = dataset.sparkSession
         given = F.col(self.getWeightCol()) if self.isDefined("weightCol") and self.getWeightCol() else F.lit(1.0)
         least = dataset.agg(F.min(F.when(given > 0, given))).first()[0]
@@ -125,6 +194,37 @@ class KeyedForest(RandomForestClassifier):
         return model
 
 
+class SharedBoosting(GBTClassifier):
+    """Spark's gradient-boosted trees, grown over staged blocks of binned rows that carry their margins.
+
+    The learner of Spark holds every row as an object per fit, in partitions as large as the splits of its input; a task then reads what becomes of a whole
+    split. Here a pass reads blocks of a bounded size (:mod:`propensity.plans.shared_trees`). Trees, weights of trees and model are Spark's.
+    With features that are not binned, sampled rows or features, a validation column, or nodes beyond ``maxMemoryInMB``, Spark's learner does the work.
+    """
+
+    def _fit_java(self, dataset: DataFrame):
+        bins = bins_of(dataset, self.getFeaturesCol(), self.getMaxBins())
+        plain = self.getSubsamplingRate() == 1.0 and self.getFeatureSubsetStrategy() == "all" and not self.isDefined("validationIndicatorCol")
+        if not plain or not fits(self, bins, len(bins.arities) if bins else 0, exact=False):
+            return super()._fit_java(dataset)
+        spark, rules = dataset.sparkSession, rules_of(self, exact=False)
+        weight = F.col(self.getWeightCol()) if self.isDefined("weightCol") and self.getWeightCol() else F.lit(1.0)
+        with scratch(spark):
+            blocks = stage_blocks(dataset, bins, self.getFeaturesCol(), self.getLabelCol(), weight)
+            found = blocks.agg(F.sum("bad").alias("bad"), F.min("least").alias("least")).first()
+            if found["bad"]:
+                raise ValueError(f"{found['bad']} rows have a weight that is missing, negative or infinite")
+            if found["least"] is None:
+                raise ValueError("no row with a weight to fit on")
+            trees = boost(blocks, bins, rules, self.getMaxIter(), self.getStepSize())
+        gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+        weights = gateway.new_array(jvm.double, len(trees))
+        for i in range(len(trees)):
+            weights[i] = self.getStepSize() if i else 1.0
+        made = java_trees(spark, trees, bins, rules)
+        return jvm.org.apache.spark.ml.classification.GBTClassificationModel(self.uid, made, weights, len(bins.arities), 2)
+
+
 def joined_forest(spark: SparkSession, forests: list[RandomForestClassificationModel], uid: str) -> RandomForestClassificationModel:
     """One forest of the trees of several, in order."""
     gateway, classes = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.spark.ml.classification
