@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 
 from propensity.plans.features import BINNED_FEATURES, FEATURES, learner_of
-from propensity.plans.forests import KeyedForest
+from propensity.plans.forests import KeyedForest, SharedBoosting
 from propensity.schema import LABEL, WEIGHT
 
 SEED = 42
@@ -67,7 +67,7 @@ def gradient_boosted_trees(
     seed: int = SEED,
 ) -> GBTClassifier:
     """Gradient-boosted trees over binned features, with a fixed seed."""
-    learner = GBTClassifier(
+    learner = SharedBoosting(
         featuresCol=features, labelCol=LABEL, maxIter=iterations, maxDepth=depth, maxBins=MAX_BINS, seed=seed
     )
     return learner.setWeightCol(weight) if weight else learner

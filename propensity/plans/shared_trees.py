@@ -234,7 +234,7 @@ def stage_blocks(rows: DataFrame, bins: Bins, features: str, label: str, weight:
 
 
 def _stage(blocks: DataFrame) -> DataFrame:
-    return stage(blocks, "tree-blocks")
+    return stage(blocks, "tree-blocks", compression="uncompressed")  # read many times, and codes of bins hardly shrink
 
 
 def _held(tree: Tree, bins: Bins, stats: int) -> int:

@@ -34,10 +34,10 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and scan it: the lineage ends there, and outlives executors."""
     path = scratch_path(df.sparkSession, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,0 +1,50 @@
+"""Boosting over staged blocks against Spark's own learner."""
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.sql import functions as F
+
+from propensity.plans import gradient_boosted_trees, training_pipeline
+from propensity.plans.forests import SharedBoosting
+from propensity.schema import LABEL, ROW_KEY
+from propensity.sources import stage
+
+COLUMNS = ["x0", "x1", "x2", "flag"]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    made = spark.range(30_000).select(
+        F.col("id").alias(ROW_KEY), *(F.pow(F.abs(F.hash("id", F.lit(i))) / 2**31, 3).alias(f"x{i}") for i in range(3)),
+        (F.col("id") % 3 == 0).cast("double").alias("flag"), F.when(F.col("id") % 5 == 0, 0.8).otherwise(0.2).alias("weight_col"),
+    )
+    chance = 0.2 + 0.4 * F.col("x0") + 0.2 * F.col("flag")
+    return made.withColumn(LABEL, (F.abs(F.hash(ROW_KEY, F.lit(9))) / 2**31 < chance).cast("double"))
+
+
+def encoded(learner, rows):
+    pipeline = training_pipeline(learner, "columns", columns=COLUMNS)
+    return stage(pipeline.fit_features(rows).encoded.select(*pipeline.learner_columns()), "shared-test")
+
+
+def test_boosting_is_sparks(rows):
+    learner = gradient_boosted_trees(8, depth=4)
+    assert isinstance(learner, SharedBoosting) and isinstance(learner, GBTClassifier)
+    given = encoded(learner, rows)
+    found = learner.fit(given)
+    own = GBTClassifier(
+        featuresCol="binned_features", labelCol=LABEL, weightCol="weight_col", maxIter=8, maxDepth=4, maxBins=256, seed=42
+    ).fit(given)
+    assert found.treeWeights == own.treeWeights and found.getNumTrees == 8
+    raw = [np.array([r[0][1] for r in m.transform(given).select("rawPrediction").collect()]) for m in (found, own)]
+    assert np.abs(raw[0] - raw[1]).max() < 1e-9
+
+
+def test_boosting_refuses_weights_and_labels_it_cannot_use(rows):
+    learner = gradient_boosted_trees(2)
+    given = encoded(learner, rows)
+    with pytest.raises(Exception, match="weight"):
+        learner.fit(given.withColumn("weight_col", F.lit(-1.0)))
+    with pytest.raises(Exception, match="labels are 0 and 1"):
+        learner.fit(given.withColumn(LABEL, F.lit(2.0)))
