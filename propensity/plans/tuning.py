@@ -234,20 +234,25 @@ def cross_validate(
     fitted on these counts, and all rows are written to the shared folder once, with the encodings of every fold. Folds are read as filters of that
     table. Otherwise both sides of each fold are written once. All points use what is written; it is removed at the end. Nothing is
     cached. Points of a forest or of boosting that differ only in the number of trees are one fit, of the largest; the
-    held-out rows are scored once for all of them (:func:`propensity.plans.forests.prefix_areas`). ``parallelism`` is the number
-    of jobs that run at a time; the scheduler shares the cores.
+    held-out rows are scored once for all of them (:func:`propensity.plans.forests.prefix_areas`), as they are for all points of a logistic
+    regression (:func:`propensity.plans.paths.linear_areas`). ``parallelism`` is the number of jobs that run at a time; the scheduler shares the cores.
     """
     spark = train.sparkSession
     learner = pipeline.learner()
     size = _size_of(learner)
+    linear = isinstance(learner, LogisticRegression) and learner.getFamily() != "multinomial"
     groups: dict[tuple, list[int]] = {}
     for point, params in enumerate(grid):
         others = [(param.name, str(value)) for param, value in _own(learner, params).items() if param != size]
-        own = tuple(sorted(others)) if size else point
+        own = tuple(sorted(others)) if size else () if linear else point
         groups.setdefault((_settings(learner, params), own), []).append(point)
 
     def evaluate(fold: int, points: list[int]) -> dict[int, float]:
         rows, held_out = encoded[fold, _settings(learner, grid[points[0]])]
+        if linear:  # held-out rows are read and their areas summed up once for all points
+            models = [pipeline.fit_learner(rows, _own(learner, grid[point])) for point in points]
+            parameters = np.array([[model.intercept, *model.coefficients.toArray()] for model in models])
+            return dict(zip(points, linear_areas(held_out, parameters, *pipeline.learner_columns()[:2]).tolist()))
         if size is None:
             return {points[0]: exact_area(pipeline.fit_learner(rows, _own(learner, grid[points[0]])), held_out)}
         sizes = [grid[point].get(size, learner.getOrDefault(size)) for point in points]
