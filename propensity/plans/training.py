@@ -19,7 +19,7 @@ from propensity.operators.weighting import (
 from propensity.plans.features import BINNED_FEATURES, feature_stages
 from propensity.plans.tuning import TrainingPipeline
 from propensity.schema import LABEL, ROW_KEY
-from propensity.session import scratch
+from propensity.session import scratch, small_splits
 from propensity.sources.tables import stage, stage_split, stage_spread
 
 
@@ -101,7 +101,8 @@ def fit_learners(
     with scratch(data.train.sparkSession):
         read = dict.fromkeys(column for one in pipelines.values() for column in one.learner_columns())
         encoded = stage_spread(features.encoded.select(*read), "encoded-train")
-        models = {name: pipeline.fit_learner(encoded) for name, pipeline in pipelines.items()}
+        with small_splits(data.train.sparkSession):
+            models = {name: pipeline.fit_learner(encoded) for name, pipeline in pipelines.items()}
     return FittedLearners(models, held_out)
 
 

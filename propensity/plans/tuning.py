@@ -21,7 +21,7 @@ from propensity.plans.evaluation import with_score
 from propensity.plans.forests import KeyedForest, in_threads, prefix_areas
 from propensity.plans.paths import Penalty, fit_paths, linear_areas
 from propensity.schema import LABEL, ROW_KEY
-from propensity.session import scratch
+from propensity.session import scratch, small_splits
 from propensity.sources.tables import stage, stage_spread
 
 FOLD, ENCODINGS = "fold", "__encodings"
@@ -88,7 +88,8 @@ class TrainingPipeline(Pipeline):
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         features = self.fit_features(dataset)
-        return PipelineModel([*features.stages, self.fit_learner(features.encoded)])
+        with small_splits(dataset.sparkSession):
+            return PipelineModel([*features.stages, self.fit_learner(features.encoded)])
 
 
 def _inputs_of(part: Estimator) -> set[str]:
@@ -262,7 +263,8 @@ def cross_validate(
     with scratch(spark):
         encoded = _staged_folds(pipeline, grid, train, key, folds, parallelism)
         tasks = [(fold, points) for fold in range(folds) for points in groups.values()]
-        found = in_threads(spark, parallelism, evaluate, tasks)
+        with small_splits(spark):
+            found = in_threads(spark, parallelism, evaluate, tasks)
     areas = np.empty((folds, len(grid)))
     for (fold, _), by_point in zip(tasks, found):
         for point, area in by_point.items():
@@ -312,7 +314,8 @@ def search_logistic_grid(
     with scratch(spark):
         encoded = _staged_folds(pipeline, grid, train, key, folds, parallelism)
         tasks = list(encoded)
-        found = in_threads(spark, parallelism, evaluate, tasks)
+        with small_splits(spark):
+            found = in_threads(spark, parallelism, evaluate, tasks)
     areas = np.empty((folds, len(grid)))
     for (fold, _), by_point in zip(tasks, found):
         for point, area in by_point.items():

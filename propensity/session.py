@@ -66,6 +66,22 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: bytes of a staged table that a learner's task reads, and of a row group, which is not split
+SPLIT_BYTES, ROW_GROUP_BYTES = 8 << 20, 4 << 20
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans that are planned inside have splits of ``SPLIT_BYTES`` at most, for learners whose rows take many times their bytes in the table."""
+    name = "spark.sql.files.maxPartitionBytes"
+    given = spark.conf.get(name)
+    spark.conf.set(name, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder for the intermediate tables made inside, removed at the end whatever happens.

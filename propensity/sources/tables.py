@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensity.operators.splitting import with_split
-from propensity.session import scratch_path
+from propensity.session import ROW_GROUP_BYTES, scratch_path
 
 
 def write_table(
@@ -34,21 +34,23 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None, row_group: int | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and scan it: the lineage ends there, and outlives executors."""
     path = scratch_path(df.sparkSession, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path, compression=compression)
+    writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage_spread(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """:func:`stage` for rows that cost far more than their bytes, such as those of a learner: one split per core at least.
 
-    A large table has more splits than cores as it is. A small one would be read by one task; it is dealt anew.
+    A large table has more splits than cores as it is. A small one would be read by one task; it is dealt anew. Row groups are small, so
+    that a learner's task may read little (:func:`propensity.session.small_splits`).
     """
-    staged = stage(df, name, partition_by)
+    staged = stage(df, name, partition_by, row_group=ROW_GROUP_BYTES)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return staged if staged.rdd.getNumPartitions() >= cores else stage(staged.repartition(cores), name, partition_by)
+    return staged if staged.rdd.getNumPartitions() >= cores else stage(staged.repartition(cores), name, partition_by, row_group=ROW_GROUP_BYTES)
 
 
 def stage_split(
@@ -64,7 +66,8 @@ def stage_split(
     path = scratch_path(spark, "split")
     if columns is not None:
         df = df.select(*dict.fromkeys([key, *columns]))
-    with_split(df, key, train_percent).drop("bucket").write.partitionBy("split").parquet(path)
+    writer = with_split(df, key, train_percent).drop("bucket").write.option("parquet.block.size", ROW_GROUP_BYTES)
+    writer.partitionBy("split").parquet(path)
     staged = spark.read.parquet(path)
     return (
         staged.filter(F.col("split") == "train").drop("split"),
