@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from propensity.functions.keyhash import INCREMENT, MODULUS, MULTIPLIER, key_hash
 from propensity.operators.curves import COUNTS, collapsed, counts_batch, curve_areas
+from propensity.plans.shared_boosting import Fit, Scored, boost, scored, stage_pieces
 from propensity.plans.shared_trees import (
     MOST_DRAWN,
+    Bins,
     Seeds,
+    Tree,
     bins_of,
-    boost,
     fits,
     grow_forest,
     java_trees,
@@ -195,36 +197,73 @@ class KeyedForest(RandomForestClassifier):
 
 
 class SharedBoosting(GBTClassifier):
-    """Spark's gradient-boosted trees, grown over staged blocks of binned rows that carry their margins.
+    """Spark's gradient-boosted trees, grown over staged blocks of binned rows and their margins.
 
     The learner of Spark holds every row as an object per fit, in partitions as large as the splits of its input; a task then reads what becomes of a whole
-    split. Here a pass reads blocks of a bounded size (:mod:`propensity.plans.shared_trees`). Trees, weights of trees and model are Spark's.
+    split. Here a pass reads blocks of a bounded size from flat files (:mod:`propensity.plans.shared_boosting`). Trees, weights of trees and model are Spark's.
     With features that are not binned, sampled rows or features, a validation column, or nodes beyond ``maxMemoryInMB``, Spark's learner does the work.
     """
 
+    def areas_together(self, dataset: DataFrame, held_out: DataFrame, params: list[dict], sizes: list[list[int]]) -> list[list[float]]:
+        """Fits for several choices of parameters, and for each the areas of held-out rows after so many trees.
+
+        Fits that read the same columns share staged rows and passes, and held-out rows are read once for them. Each is as it would be alone.
+        """
+        learners = [self.copy(own) for own in params]
+        alike: dict[tuple, list[int]] = {}
+        for i, learner in enumerate(learners):
+            alike.setdefault(learner._reads(), []).append(i)
+        areas: dict[int, list[float]] = {}
+        for numbers in alike.values():
+            bins, grown = _grown(dataset, [learners[i] for i in numbers])
+            shared = {i: trees for i, trees in zip(numbers, grown) if trees is not None}
+            if shared:
+                runs = [Scored(trees, learners[i].getMaxDepth(), learners[i].getStepSize(), sizes[i]) for i, trees in shared.items()]
+                with scratch(dataset.sparkSession):  # ranges of scores are found in one pass over them and taken in another
+                    scores = stage(scored(held_out, bins, self.getFeaturesCol(), self.getLabelCol(), runs), "scores")
+                    found = iter(_complete(curve_areas(scores), sum(len(sizes[i]) for i in shared)))
+                areas |= {i: [next(found) for _ in sizes[i]] for i in shared}
+            for i in numbers:
+                if i not in shared:
+                    areas[i] = prefix_areas(learners[i]._fit(dataset), held_out, sizes[i], self.getLabelCol())
+        return [areas[i] for i in range(len(learners))]
+
+    def _reads(self) -> tuple:
+        weight = self.getWeightCol() if self.isDefined("weightCol") else None
+        return self.getFeaturesCol(), self.getLabelCol(), weight or None, self.getMaxBins()
+
     def _fit_java(self, dataset: DataFrame):
-        bins = bins_of(dataset, self.getFeaturesCol(), self.getMaxBins())
-        plain = self.getSubsamplingRate() == 1.0 and self.getFeatureSubsetStrategy() == "all" and not self.isDefined("validationIndicatorCol")
-        if not plain or not fits(self, bins, len(bins.arities) if bins else 0, exact=False):
+        bins, (trees,) = _grown(dataset, [self])
+        if trees is None:
             return super()._fit_java(dataset)
-        spark, rules = dataset.sparkSession, rules_of(self, exact=False)
-        weight = F.col(self.getWeightCol()) if self.isDefined("weightCol") and self.getWeightCol() else F.lit(1.0)
-        with scratch(spark):
-            blocks = stage_blocks(dataset, bins, self.getFeaturesCol(), self.getLabelCol(), weight)
-            found = blocks.agg(F.sum("bad").alias("bad"), F.min("least").alias("least")).first()
-            if found["bad"]:
-                raise ValueError(f"{found['bad']} rows have a weight that is missing, negative or infinite")
-            if found["least"] is None:
-                raise ValueError("no row with a weight to fit on")
-            trees = boost(blocks, bins, rules, self.getMaxIter(), self.getStepSize())
+        spark = dataset.sparkSession
         gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
         weights = gateway.new_array(jvm.double, len(trees))
         for i in range(len(trees)):
             weights[i] = self.getStepSize() if i else 1.0
-        made = java_trees(spark, trees, bins, rules)
+        made = java_trees(spark, trees, bins, rules_of(self, exact=False))
         return jvm.org.apache.spark.ml.classification.GBTClassificationModel(self.uid, made, weights, len(bins.arities), 2)
 
 
+def _grown(dataset: DataFrame, learners: list[SharedBoosting]) -> tuple[Bins | None, list[list[Tree] | None]]:
+    """Trees of learners that read the same columns, ``None`` for those that are Spark's to fit."""
+    spark = dataset.sparkSession
+    features, label, weight, most = learners[0]._reads()
+    bins = bins_of(dataset, features, most)
+
+    def shared(one: SharedBoosting) -> bool:
+        plain = one.getSubsamplingRate() == 1.0 and one.getFeatureSubsetStrategy() == "all" and not one.isDefined("validationIndicatorCol")
+        return plain and fits(one, bins, len(bins.arities) if bins else 0, exact=False)
+
+    asked = [Fit(rules_of(one, exact=False), one.getMaxIter(), one.getStepSize()) if shared(one) else None for one in learners]
+    if not any(asked):
+        return bins, [None] * len(learners)
+    with scratch(spark):
+        pieces = stage_pieces(dataset, bins, features, label, F.col(weight) if weight else F.lit(1.0))
+        grown = iter(boost(spark, pieces, bins, [fit for fit in asked if fit]))
+    return bins, [next(grown) if fit else None for fit in asked]
+
+
 def joined_forest(spark: SparkSession, forests: list[RandomForestClassificationModel], uid: str) -> RandomForestClassificationModel:
     """One forest of the trees of several, in order."""
     gateway, classes = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.spark.ml.classification
@@ -274,7 +313,11 @@ def prefix_areas(model: Model, rows: DataFrame, sizes: list[int], label: str) ->
 
     scored = model.copy().setLeafCol("__leaf").transform(rows)
     leaves = scored.select(vector_to_array("__leaf").alias("leaf"), F.col(label).cast("double").alias("label"))
-    areas = {row["curve"]: row["auc"] for row in curve_areas(leaves.mapInArrow(score, COUNTS)).collect()}  # a row per size
-    if len(areas) < len(sizes) or None in areas.values():
+    return _complete(curve_areas(leaves.mapInArrow(score, COUNTS)), len(sizes))
+
+
+def _complete(found: DataFrame, curves: int) -> list[float]:
+    areas = {row["curve"]: row["auc"] for row in found.collect()}
+    if len(areas) < curves or None in areas.values():
         raise ValueError("a fold has rows of one class only")
-    return [areas[i] for i in range(len(sizes))]
+    return [areas[i] for i in range(curves)]

@@ -12,7 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propensity.session import remove_path
 from propensity.sources.tables import stage
 
 #: rows of a block; largest number of codes of features that are counted together; bytes of sums that a pass brings to the driver
@@ -22,7 +21,7 @@ MOST_DRAWN = 15
 #: gains that differ by this part of the impurity are equal where sums are not exact
 TIE = 1e-12
 EPSILON = np.finfo(float).eps
-BLOCKS = "rows bigint, bad bigint, least double, x binary, y binary, w binary, draws binary, margin binary"
+BLOCKS = "rows bigint, bad bigint, least double, x binary, y binary, w binary, draws binary"
 
 
 class Bins(NamedTuple):
@@ -37,6 +36,8 @@ class Bins(NamedTuple):
 
     def codes(self, values: np.ndarray) -> np.ndarray:
         """Codes ``[group, row]`` of bin numbers ``[row, feature]``."""
+        if not ((values >= 0) & (values < np.array(self.arities)) & (values == np.floor(values))).all():
+            raise ValueError("a bin number is out of its range")
         made = np.zeros((len(self.groups), len(values)), np.uint16)
         for g, group in enumerate(self.groups):
             code = np.zeros(len(values), np.int64)
@@ -57,6 +58,10 @@ class Bins(NamedTuple):
         table[: len(whole)] = whole
         return g, table
 
+    def valid(self) -> np.ndarray:
+        """Which values ``[feature, value]`` there are."""
+        return np.arange(max(self.arities)) < np.array(self.arities)[:, None]
+
     def by_feature(self, sums: list[np.ndarray], nodes: int) -> np.ndarray:
         """Sums ``[stat, node, feature, value]`` from those of groups, ``[stat, node * code]``."""
         found = np.zeros((len(sums[0]), nodes, len(self.arities), max(self.arities)))
@@ -136,36 +141,45 @@ class Routes(NamedTuple):
 
     number: int
     group: np.ndarray  # by heap number
-    row: np.ndarray  # row of ``table``, -1 for a leaf
-    table: np.ndarray  # by code: 1 goes right
+    start: np.ndarray  # by heap number: where the codes of its split begin in ``table``
+    table: np.ndarray  # by split and code: 1 goes right
+    next: np.ndarray  # by twice the heap number, and one more to the right: a leaf is its own next
     slot: np.ndarray  # by heap number: place among the open nodes, or -1
     features: np.ndarray  # by open node
     value: np.ndarray  # by heap number
+    levels: int
 
 
-def _routes(tree: Tree, bins: Bins, value: Callable[[Node], float] | None = None) -> Routes:
+def routes_of(tree: Tree, bins: Bins, value: Callable[[Node], float] | None = None, levels: int = 0) -> Routes:
     size = 2 * max([1, *tree.nodes, *tree.open]) + 2
-    group, row, slot = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
-    tables = [np.zeros(GROUP_CODES, np.uint8)]
+    group, start, slot = np.zeros(size, np.int64), np.zeros(size, np.int64), np.full(size, -1)
+    after = np.repeat(np.arange(size), 2)
+    tables = [np.zeros(GROUP_CODES, np.uint8)]  # of leaves
     for heap, (feature, left, _) in tree.splits.items():
         group[heap], table = bins.goes_right(feature, left)
-        row[heap] = len(tables)
+        start[heap] = len(tables) * GROUP_CODES
+        after[2 * heap : 2 * heap + 2] = 2 * heap, 2 * heap + 1
         tables.append(table)
     slot[tree.open] = np.arange(len(tree.open))
     values = np.zeros(size)
     if value:
         for heap, node in tree.nodes.items():
             values[heap] = value(node)
-    return Routes(tree.number, group, row, np.stack(tables), slot, np.array(tree.features), values)
+    return Routes(tree.number, group, start, np.concatenate(tables), after, slot, np.array(tree.features), values, levels)
 
 
-def _places(x: np.ndarray, routes: Routes, levels: int) -> np.ndarray:
+def places(x: np.ndarray, routes: Routes, levels: int) -> np.ndarray:
     """Heap number of the node at which each row is after so many levels."""
-    at, every = np.ones(x.shape[1], np.int64), np.arange(x.shape[1])
-    for _ in range(levels):
-        row = routes.row[at]
-        right = routes.table[row, x[routes.group[at], every]]
-        at = np.where(row >= 0, 2 * at + right, at)
+    rows = x.shape[1]
+    if not levels:
+        return np.ones(rows, np.int64)
+    start = routes.start[1]
+    at = routes.next.take(routes.table[start : start + GROUP_CODES].take(x[routes.group[1]]) + 2)
+    if levels > 1:
+        flat, own, every = x.reshape(-1), routes.group * rows, np.arange(rows)
+        for _ in range(levels - 1):
+            code = flat.take(own.take(at) + every)
+            at = routes.next.take(2 * at + routes.table.take(routes.start.take(at) + code))
     return at
 
 
@@ -174,11 +188,10 @@ class Block(NamedTuple):
     y: np.ndarray
     w: np.ndarray
     draws: np.ndarray | None
-    margin: np.ndarray | None
 
 
 def _blocks(batch: pa.RecordBatch, bins: Bins) -> Iterator[Block]:
-    names = [name for name in ("x", "y", "w", "draws", "margin") if name in batch.schema.names]
+    names = [name for name in ("x", "y", "w", "draws") if name in batch.schema.names]
     for values in zip(*(batch.column(name) for name in names)):
         own = {name: value.as_buffer() for name, value in zip(names, values)}
         y = np.frombuffer(own["y"], np.uint8)
@@ -187,57 +200,70 @@ def _blocks(batch: pa.RecordBatch, bins: Bins) -> Iterator[Block]:
             y,
             np.frombuffer(own["w"], "<f8"),
             np.frombuffer(own["draws"], np.uint8).reshape(-1, len(y)) if own.get("draws") else None,
-            np.frombuffer(own["margin"], "<f8") if own.get("margin") else None,
         )
 
 
+class Checked(NamedTuple):
+    codes: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    bad: int  # rows with a weight that is missing, negative or infinite
+    least: float | None
+
+
+def given_rows(rows: DataFrame, features: str, label: str, weight: Column, key: Column | None = None) -> DataFrame:
+    """What is staged of the rows, as plain columns."""
+    columns = [vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), weight.cast("double").alias("w")]
+    return rows.select(*columns, (F.lit(0) if key is None else key).cast("bigint").alias("h"))
+
+
+def packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of :func:`given_rows` in blocks of half ``most`` rows at least, but for the last, and less than one and a half times ``most``."""
+    held, count = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            part = batch.slice(start, most)
+            x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            held.append((x, *(part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))))
+            count += part.num_rows
+            if count >= most // 2:
+                yield tuple(np.concatenate(column) for column in zip(*held))
+                held, count = [], 0
+    if count:
+        yield tuple(np.concatenate(column) for column in zip(*held))
+
+
+def checked_rows(bins: Bins, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Checked:
+    """A block's codes, labels and weights as they are staged."""
+    if not ((y == 0) | (y == 1)).all():
+        raise ValueError("labels are 0 and 1")
+    usable = w[w > 0]
+    bad = int((~(w >= 0) | np.isinf(w)).sum())
+    return Checked(bins.codes(x), y.astype(np.uint8), w.astype("<f8"), bad, float(usable.min()) if len(usable) else None)
+
+
 def stage_blocks(rows: DataFrame, bins: Bins, features: str, label: str, weight: Column, draws: Callable | None = None, key: Column | None = None) -> DataFrame:
     """Write what the passes read: a row of the table holds a block of codes, labels and weights, and how often each tree draws each row.
 
     Blocks have a bounded size, so a split of the table is as large in memory as it is on disk.
     """
-    columns = [vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), weight.cast("double").alias("w")]
-    given = rows.select(*columns, (F.lit(0) if key is None else key).cast("bigint").alias("h"))
-    arities = np.array(bins.arities)
-
-    def made(parts: list[tuple[np.ndarray, ...]]) -> dict:
-        x, y, w, h = (np.concatenate(part) for part in zip(*parts))
-        if not ((x >= 0) & (x < arities) & (x == np.floor(x))).all():
-            raise ValueError("a bin number is out of its range")
-        if not ((y == 0) | (y == 1)).all():
-            raise ValueError("labels are 0 and 1")
-        usable = w[w > 0]
-        return {
-            "rows": len(y), "bad": int((~(w >= 0) | np.isinf(w)).sum()), "least": float(usable.min()) if len(usable) else None,
-            "x": bins.codes(x).tobytes(), "y": y.astype(np.uint8).tobytes(), "w": w.astype("<f8").tobytes(),
-            "draws": draws(h).tobytes() if draws else None, "margin": None if draws else np.zeros(len(y), "<f8").tobytes(),
-        }
-
-    kinds = [pa.int64(), pa.int64(), pa.float64()] + [pa.binary()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.float64()] + [pa.binary()] * 4
     schema = pa.schema(list(zip([field.split()[0] for field in BLOCKS.split(", ")], kinds)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(start, BLOCK_ROWS)
-                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                held.append((x, *(part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))))
-                count += part.num_rows
-                if count >= BLOCK_ROWS // 2:
-                    yield pa.RecordBatch.from_pylist([made(held)], schema=schema)
-                    held, count = [], 0
-        if count:
-            yield pa.RecordBatch.from_pylist([made(held)], schema=schema)
-
-    return _stage(given.mapInArrow(pack, BLOCKS))
-
+        for x, y, w, h in packed(batches, BLOCK_ROWS):
+            found = checked_rows(bins, x, y, w)
+            made = {
+                "rows": len(y), "bad": found.bad, "least": found.least, "x": found.codes.tobytes(), "y": found.y.tobytes(), "w": found.w.tobytes(),
+                "draws": draws(h).tobytes() if draws else None,
+            }
+            yield pa.RecordBatch.from_pylist([made], schema=schema)
 
-def _stage(blocks: DataFrame) -> DataFrame:
-    return stage(blocks, "tree-blocks", compression="uncompressed")  # read many times, and codes of bins hardly shrink
+    # read many times, and codes of bins hardly shrink
+    return stage(given_rows(rows, features, label, weight, key).mapInArrow(pack, BLOCKS), "tree-blocks", compression="uncompressed")
 
 
-def _held(tree: Tree, bins: Bins, stats: int) -> int:
+def held_bytes(tree: Tree, bins: Bins, stats: int) -> int:
     """Bytes of the sums of a tree's open nodes."""
     return 8 * (stats + 1) * len(tree.open) * len(tree.features[0]) * max(bins.arities)
 
@@ -249,7 +275,7 @@ def _level(
 
     One pass; a task sums over its blocks, and tasks by tree over those, or the driver where all ``tasks`` bring ``SUMS_BYTES`` at most.
     """
-    routes = [_routes(tree, bins) for tree in trees]
+    routes = [routes_of(tree, bins) for tree in trees]
     sizes = bins.sizes
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +288,7 @@ def _level(
                 for block in own:
                     kept, *weights = values(block, tree.number)
                     x = block.x if kept is None else block.x[:, kept]
-                    slot = tree.slot[_places(x, tree, level)]
+                    slot = tree.slot[places(x, tree, level)]
                     if level and (slot < 0).any():
                         inside = slot >= 0
                         slot, x, weights = slot[inside], x[:, inside], [one[inside] for one in weights]
@@ -289,7 +315,7 @@ def _level(
 
     schema = "tree int, sums binary"
     parts = blocks.mapInArrow(add, schema)
-    if tasks * sum(_held(tree, bins, stats) for tree in trees) > SUMS_BYTES:
+    if tasks * sum(held_bytes(tree, bins, stats) for tree in trees) > SUMS_BYTES:
         parts = parts.repartition(min(len(trees), blocks.sparkSession.sparkContext.defaultParallelism), "tree").mapInArrow(merge, schema)
     found: dict[int, np.ndarray] = {}
     for row in parts.collect():
@@ -343,7 +369,7 @@ def _best(sums: np.ndarray, features: np.ndarray, bins: Bins, rules: Rules, node
     return node, (int(features[f]), np.sort(order[f, : cut + 1]), float(gain[f, cut]), *children)
 
 
-def _grow(trees: list[Tree], found: list[np.ndarray], bins: Bins, rules: Rules, level: int) -> None:
+def grow(trees: list[Tree], found: list[np.ndarray], bins: Bins, rules: Rules, level: int) -> None:
     """Split the open nodes by their sums, and open their children."""
     for tree, sums in zip(trees, found):
         waiting: list[int] = []
@@ -363,11 +389,11 @@ def _grow(trees: list[Tree], found: list[np.ndarray], bins: Bins, rules: Rules,
         tree.features = [tree.subset() for _ in tree.open]
 
 
-def _together(trees: list[Tree], bins: Bins, stats: int) -> Iterator[list[Tree]]:
+def together(trees: list[Tree], bins: Bins, stats: int) -> Iterator[list[Tree]]:
     """Trees whose sums are held at a time."""
     group, size = [], 0
     for tree in trees:
-        own = _held(tree, bins, stats)
+        own = held_bytes(tree, bins, stats)
         if group and size + own > SUMS_BYTES:
             yield group
             group, size = [], 0
@@ -390,41 +416,8 @@ def grow_forest(blocks: DataFrame, bins: Bins, rules: Rules, subsets: list[Calla
         return kept, weight[kept], (weight * block.y)[kept]
 
     for level in range(max(1, rules.depth)):
-        for group in _together([tree for tree in trees if tree.open], bins, 2):
-            _grow(group, _level(read, tasks, group, bins, level, values, 2), bins, rules, level)
-    return trees
-
-
-def residual(block: Block, first: bool) -> np.ndarray:
-    """What the next tree is fitted to: the label as -1 or 1, then the negative gradient of the logistic loss."""
-    signed = 2.0 * block.y - 1.0
-    with np.errstate(over="ignore"):
-        return signed if first else 4.0 * signed / (1.0 + np.exp(2.0 * signed * block.margin))
-
-
-def boost(blocks: DataFrame, bins: Bins, rules: Rules, iterations: int, step: float) -> list[Tree]:
-    """Trees one after the other, each fitted to what the ones before leave. Rows carry their margin from tree to tree in the staged blocks."""
-    spark, every = blocks.sparkSession, list(range(len(bins.arities)))
-    trees: list[Tree] = []
-    tasks = 0
-    for number in range(iterations):
-
-        def values(block: Block, _: int, first: bool = number == 0) -> tuple:
-            left = residual(block, first)
-            return None, block.w, block.w * left, block.w * left * left
-
-        tree = Tree(number, lambda: every)
-        read = blocks.select("x", "y", "w", "margin")
-        tasks = tasks if number > 1 else read.rdd.getNumPartitions()  # tables of moved margins are alike
-        for level in range(max(1, rules.depth)):
-            if tree.open:
-                _grow([tree], _level(read, tasks, [tree], bins, level, values, 3), bins, rules, level)
-        trees.append(tree)
-        if number + 1 < iterations:
-            moved = _stage(_moved(blocks, bins, _routes(tree, bins, mean), rules.depth, step if number else 1.0))
-            if number:
-                remove_path(spark, blocks.inputFiles()[0].rsplit("/", 1)[0])
-            blocks = moved
+        for group in together([tree for tree in trees if tree.open], bins, 2):
+            grow(group, _level(read, tasks, group, bins, level, values, 2), bins, rules, level)
     return trees
 
 
@@ -432,17 +425,6 @@ def mean(node: Node) -> float:
     return float(node.stats[1] / node.stats[0]) if node.stats[0] else 0.0
 
 
-def _moved(blocks: DataFrame, bins: Bins, routes: Routes, depth: int, step: float) -> DataFrame:
-    """The blocks with a tree added to the margins."""
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margins = [(own.margin + step * routes.value[_places(own.x, routes, depth)]).tobytes() for own in _blocks(batch, bins)]
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margins, pa.binary()))
-
-    return blocks.mapInArrow(move, blocks.schema)
-
-
 class Seeds:
     """Features of nodes in the order in which the learner draws them: a reservoir of ``take`` of ``features`` from a generator per node."""
 

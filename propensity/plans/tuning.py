@@ -18,7 +18,7 @@ from propensity.operators.metrics import area_under_roc
 from propensity.operators.splitting import with_fold
 from propensity.operators.target_encoding import AutoTargetEncoder, encode_with_all, label_counts
 from propensity.plans.evaluation import with_score
-from propensity.plans.forests import KeyedForest, in_threads, prefix_areas
+from propensity.plans.forests import KeyedForest, SharedBoosting, in_threads, prefix_areas
 from propensity.plans.paths import Penalty, fit_paths, linear_areas
 from propensity.schema import LABEL, ROW_KEY
 from propensity.session import scratch, small_splits
@@ -236,16 +236,22 @@ def cross_validate(
     table. Otherwise both sides of each fold are written once. All points use what is written; it is removed at the end. Nothing is
     cached. Points of a forest or of boosting that differ only in the number of trees are one fit, of the largest; the
     held-out rows are scored once for all of them (:func:`propensity.plans.forests.prefix_areas`), as they are for all points of a logistic
-    regression (:func:`propensity.plans.paths.linear_areas`). ``parallelism`` is the number of jobs that run at a time; the scheduler shares the cores.
+    regression (:func:`propensity.plans.paths.linear_areas`). All boosting fits of a fold grow in shared passes
+    (:meth:`propensity.plans.forests.SharedBoosting.areas_together`). ``parallelism`` is the number of jobs that run at a time; the scheduler shares the cores.
     """
     spark = train.sparkSession
     learner = pipeline.learner()
     size = _size_of(learner)
     linear = isinstance(learner, LogisticRegression) and learner.getFamily() != "multinomial"
+    boosting = isinstance(learner, SharedBoosting)
+
+    def alike(point: int) -> tuple:
+        """What points that one fit serves have in common."""
+        return tuple(sorted((param.name, str(value)) for param, value in _own(learner, grid[point]).items() if param != size))
+
     groups: dict[tuple, list[int]] = {}
     for point, params in enumerate(grid):
-        others = [(param.name, str(value)) for param, value in _own(learner, params).items() if param != size]
-        own = tuple(sorted(others)) if size else () if linear else point
+        own = () if linear or boosting else alike(point) if size else point
         groups.setdefault((_settings(learner, params), own), []).append(point)
 
     def evaluate(fold: int, points: list[int]) -> dict[int, float]:
@@ -256,9 +262,17 @@ def cross_validate(
             return dict(zip(points, linear_areas(held_out, parameters, *pipeline.learner_columns()[:2]).tolist()))
         if size is None:
             return {points[0]: exact_area(pipeline.fit_learner(rows, _own(learner, grid[points[0]])), held_out)}
-        sizes = [grid[point].get(size, learner.getOrDefault(size)) for point in points]
-        model = pipeline.fit_learner(rows, _own(learner, grid[points[int(np.argmax(sizes))]]))
-        return dict(zip(points, prefix_areas(model, held_out, sizes, LABEL)))
+        sizes = {point: grid[point].get(size, learner.getOrDefault(size)) for point in points}
+        runs: dict[tuple, list[int]] = {}
+        for point in points:
+            runs.setdefault(alike(point), []).append(point)
+        counts = [[sizes[point] for point in run] for run in runs.values()]
+        largest = [_own(learner, grid[max(run, key=sizes.get)]) for run in runs.values()]
+        if boosting:
+            areas = learner.areas_together(rows.select(*pipeline.learner_columns()), held_out, largest, counts)
+        else:
+            areas = [prefix_areas(pipeline.fit_learner(rows, own), held_out, sized, LABEL) for own, sized in zip(largest, counts)]
+        return {point: area for run, own in zip(runs.values(), areas) for point, area in zip(run, own)}
 
     with scratch(spark):
         encoded = _staged_folds(pipeline, grid, train, key, folds, parallelism)
