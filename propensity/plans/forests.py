@@ -204,6 +204,9 @@ class SharedBoosting(GBTClassifier):
     With features that are not binned, sampled rows or features, a validation column, or nodes beyond ``maxMemoryInMB``, Spark's learner does the work.
     """
 
+    #: bins and trees, where they were grown with those of other learners
+    grown: tuple[Bins, list[list[Tree]]] | None = None
+
     def areas_together(self, dataset: DataFrame, held_out: DataFrame, params: list[dict], sizes: list[list[int]]) -> list[list[float]]:
         """Fits for several choices of parameters, and for each the areas of held-out rows after so many trees.
 
@@ -217,15 +220,18 @@ class SharedBoosting(GBTClassifier):
         for numbers in alike.values():
             bins, grown = _grown(dataset, [learners[i] for i in numbers])
             shared = {i: trees for i, trees in zip(numbers, grown) if trees is not None}
+            for i, trees in shared.items():
+                learners[i].grown = bins, [trees]
+            models = {i: learners[i]._fit(dataset) for i in numbers}
             if shared:
-                runs = [Scored(trees, learners[i].getMaxDepth(), learners[i].getStepSize(), sizes[i]) for i, trees in shared.items()]
+                runs = [Scored(trees, learners[i].getMaxDepth(), list(models[i].treeWeights), sizes[i]) for i, trees in shared.items()]
                 with scratch(dataset.sparkSession):  # ranges of scores are found in one pass over them and taken in another
                     scores = stage(scored(held_out, bins, self.getFeaturesCol(), self.getLabelCol(), runs), "scores")
                     found = iter(_complete(curve_areas(scores), sum(len(sizes[i]) for i in shared)))
                 areas |= {i: [next(found) for _ in sizes[i]] for i in shared}
             for i in numbers:
                 if i not in shared:
-                    areas[i] = prefix_areas(learners[i]._fit(dataset), held_out, sizes[i], self.getLabelCol())
+                    areas[i] = prefix_areas(models[i], held_out, sizes[i], self.getLabelCol())
         return [areas[i] for i in range(len(learners))]
 
     def _reads(self) -> tuple:
@@ -233,7 +239,7 @@ class SharedBoosting(GBTClassifier):
         return self.getFeaturesCol(), self.getLabelCol(), weight or None, self.getMaxBins()
 
     def _fit_java(self, dataset: DataFrame):
-        bins, (trees,) = _grown(dataset, [self])
+        bins, (trees,) = self.grown or _grown(dataset, [self])
         if trees is None:
             return super()._fit_java(dataset)
         spark = dataset.sparkSession

@@ -38,11 +38,11 @@ class Piece(NamedTuple):
 
 
 class Scored(NamedTuple):
-    """Trees of a fit, and the numbers of trees after which rows are scored."""
+    """Trees of a fit and their weights, and the numbers of trees after which rows are scored."""
 
     trees: list[Tree]
     depth: int
-    step: float
+    weights: list[float]
     sizes: list[int]
 
 
@@ -267,15 +267,15 @@ def scored(rows: DataFrame, bins: Bins, features: str, label: str, runs: list[Sc
     A larger ensemble holds each smaller one, so running sums of what the trees say are the scores of all sizes.
     """
     routes = [[routes_of(tree, bins, mean, max(1, run.depth)) for tree in run.trees[: max(run.sizes)]] for run in runs]
-    steps, sizes = [run.step for run in runs], [run.sizes for run in runs]
+    weights, sizes = [run.weights for run in runs], [run.sizes for run in runs]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values, y, _, _ in packed(batches, BLOCK_ROWS):
             x, positive, found = bins.codes(values), (y == 1).astype(np.float64), []
-            for own, step, wanted in zip(routes, steps, sizes):
+            for own, weight, wanted in zip(routes, weights, sizes):
                 margin, by_size = np.zeros(len(y)), {}
                 for number, tree in enumerate(own):
-                    margin = margin + (step if number else 1.0) * tree.value.take(places(x, tree, tree.levels))
+                    margin = margin + weight[number] * tree.value.take(places(x, tree, tree.levels))
                     if number + 1 in wanted:
                         by_size[number + 1] = margin
                 found += [by_size[size] for size in wanted]
